@@ -1,0 +1,32 @@
+"""Arrays of bounded size, however large the group."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ARRAY_LIMIT = 1000
+
+
+def bounded_collect(
+    df: DataFrame,
+    keys: list[str],
+    value: Column,
+    spread: list[str],
+    alias: str,
+    limit: int = ARRAY_LIMIT,
+) -> DataFrame:
+    """Sorted arrays per key, split into parts of about ``limit`` entries.
+
+    The part count of a key follows from its row count, which is aggregated
+    before the shuffle; rows then go to a part by the hash of ``spread``. A key
+    below the limit has exactly one part, numbered 0. No row is dropped.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    parts = sizes.select(*keys, F.ceil(F.col("_n") / limit).alias("_parts"))
+    placed = df.join(parts, keys).withColumn(
+        "part", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_parts"))
+    )
+    return placed.groupBy(*keys, "part").agg(
+        F.sort_array(F.collect_list(value)).alias(alias),
+    )
