@@ -480,7 +480,7 @@ SELECT CAST(page_id AS VARCHAR) AS pi, 'page' || CAST(page_id AS VARCHAR) || '.r
   CAST(CASE kind WHEN 'limited' THEN 2 WHEN 'timeout' THEN 3 WHEN 'once' THEN 1 ELSE 0 END
     AS BIGINT) AS retry_count,
   CASE kind WHEN 'missing'
-      THEN 'Permanent OCR failure: Ref data not found for: page' || CAST(page_id AS VARCHAR) || '.ref.json'
+      THEN 'Ref data not found for: page' || CAST(page_id AS VARCHAR) || '.ref.json'
     WHEN 'format' THEN 'Permanent OCR failure: Invalid image format'
     WHEN 'timeout' THEN 'Failed after 3 retries: OCR failed: 503 upstream timeout' END AS error,
   CASE WHEN kind = 'old' THEN 8 WHEN kind IN ('limited', 'once', 'fine') THEN length(title) END
