@@ -15,15 +15,19 @@ def bounded_collect(
     spread: list[str],
     alias: str,
     limit: int = ARRAY_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Sorted arrays per key, split into parts of about ``limit`` entries.
 
     The part count of a key follows from its row count, which is aggregated
     before the shuffle; rows then go to a part by the hash of ``spread``. A key
     below the limit has exactly one part, numbered 0. No row is dropped.
+
+    ``sizes`` (keys, ``n_rows``) saves the count where it is known already.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.select(*keys, F.ceil(F.col("_n") / limit).alias("_parts"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    parts = sizes.select(*keys, F.ceil(F.col("n_rows") / limit).alias("_parts"))
     placed = df.join(parts, keys).withColumn(
         "part", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_parts"))
     )

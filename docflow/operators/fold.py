@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,11 +171,15 @@ def backoff_streaks(
     streak = F.when(F.col("_reset").isNull(), F.col("_carry") + F.col("_idx")).otherwise(
         F.col("_idx") - F.col("_reset")
     )
+    # null-safe keys: no filter is derived for one side only, so both branches
+    # keep the same shuffle and Spark reuses it
+    parts = parts.select(*[F.col(c).alias(f"_p{c}") for c in group], "_carry")
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in group])
     return (
-        rows.join(parts, group)
+        rows.join(parts, match)
         .withColumn("streak", streak)
         .withColumn("delay_ms", backoff_ms(F.col("streak"), jitter))
-        .drop("_seg", "_idx", "_reset", "_carry")
+        .drop(*[f"_p{c}" for c in group], "_seg", "_idx", "_reset", "_carry")
     )
 
 

@@ -56,10 +56,15 @@ def failed_refs(refs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def failed_lists(failed: DataFrame, keys: list[str], limit: int = ARRAY_LIMIT) -> DataFrame:
+def failed_lists(
+    failed: DataFrame,
+    keys: list[str],
+    limit: int = ARRAY_LIMIT,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Failed refs as arrays of bounded size; ``part`` > 0 only for large entities."""
     return bounded_collect(
-        failed, keys, F.struct("filename", "error"), ["filename"], "failed_refs", limit
+        failed, keys, F.struct("filename", "error"), ["filename"], "failed_refs", limit, sizes
     )
 
 
@@ -111,9 +116,20 @@ def report_docs(
     A chunk of ordinary size gives one document. A larger one gives several,
     told apart by ``part``; an entity with very many failed refs appears with
     several entries that differ in ``failed_refs`` only.
+
+    ``results`` is read for the entries and for both kinds of size, so it should
+    be a stored table.
     """
     pi_keys = [*CHUNK_KEYS, "pi"]
-    lists = failed_lists(failed.select(*pi_keys, "filename", "error"), pi_keys, failed_limit)
+    n_failed = results.select(*pi_keys, F.col("refs_failed").alias("n_rows"))
+    lists = failed_lists(
+        failed.select(*pi_keys, "filename", "error"),
+        pi_keys,
+        failed_limit,
+        n_failed.where(F.col("n_rows") > 0),
+    )
+    n_lists = F.greatest(F.lit(1), F.ceil(F.col("refs_failed") / failed_limit))
+    n_entries = results.groupBy(*CHUNK_KEYS).agg(F.sum(n_lists).alias("n_rows"))
     lists = lists.withColumnRenamed("part", "failed_part")
     entries = results.join(lists, pi_keys, "left")
     entry = F.struct(
@@ -126,7 +142,7 @@ def report_docs(
         F.col("failed_refs"),
     )
     arrays = bounded_collect(
-        entries, CHUNK_KEYS, entry, ["pi", "failed_part"], "results", results_limit
+        entries, CHUNK_KEYS, entry, ["pi", "failed_part"], "results", results_limit, n_entries
     )
     summary = F.struct("total_refs", "completed", "failed", "skipped", "processing_time_ms")
     return report.join(arrays, CHUNK_KEYS, "left").select(

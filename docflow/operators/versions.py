@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.scalars import network_tag, version_note
 from docflow.operators.bounded import ARRAY_LIMIT, bounded_collect
+from docflow.session import durable
 
 CAS_TRIES = 3
 
@@ -79,69 +80,56 @@ def cas_plan(updates: DataFrame, tips: DataFrame, tries: int = CAS_TRIES) -> Dat
     No iteration is needed: only the first ``tries`` updates of an entity and
     its round-1 winner can commit. Both are found with map-side reduction, and
     the decision goes back to the rows on (entity, update_id), a key that is
-    spread evenly even if one entity gets a third of all updates.
+    spread evenly even if one entity gets a third of all updates. The updates
+    with their current tips are checkpointed, because three branches read them.
     """
-    slim = updates.select("entity", "update_id", "expect_tip")
     current = tips.select("entity", F.col("tip").alias("cur_tip"), F.col("ver").alias("cur_ver"))
+    base = durable(updates.join(current, "entity", "left"))
+    known = base.where(F.col("cur_tip").isNotNull())
+    slim = known.select("entity", "update_id", "cur_tip", "cur_ver")
     fresh = (
-        slim.join(current, "entity")
-        .where(F.col("expect_tip").eqNullSafe(F.col("cur_tip")))
-        .groupBy("entity")
-        .agg(F.min("update_id").alias("first_id"))
+        known.where(F.col("expect_tip") == F.col("cur_tip"))
+        .groupBy("entity", "cur_tip", "cur_ver")
+        .agg(F.min("update_id").alias("update_id"))
+        .withColumn("direct", F.lit(True))
     )
     by_id = Window.partitionBy("entity").orderBy("update_id")
-    head = (
-        slim.withColumn("_rank", F.row_number().over(by_id))
-        .where(F.col("_rank") <= tries)
-        .select("entity", "update_id")
-    )
-    is_first = F.coalesce(F.col("update_id") == F.col("first_id"), F.lit(False))
+    head = slim.withColumn("_rank", F.row_number().over(by_id)).where(F.col("_rank") <= tries)
+
+    # at most tries + 1 rows per entity from here to the join back
     candidates = (
-        head.join(fresh, "entity", "left")
-        .where(~is_first)
-        .select("entity", "update_id", F.lit(False).alias("direct"))
-        .unionByName(
-            fresh.select(
-                "entity", F.col("first_id").alias("update_id"), F.lit(True).alias("direct")
-            )
-        )
+        head.drop("_rank")
+        .withColumn("direct", F.lit(False))
+        .unionByName(fresh)
+        .groupBy("entity", "update_id", "cur_tip", "cur_ver")
+        .agg(F.max("direct").alias("direct"))
     )
-    # at most tries + 1 rows per entity from here to the join back
     turn = Window.partitionBy("entity").orderBy(F.col("direct").desc(), "update_id")
-    whole = Window.partitionBy("entity")
-    nth = F.row_number().over(turn)
-    late = F.when(F.max("direct").over(whole), 0).otherwise(1)
+    late = F.when(F.max("direct").over(Window.partitionBy("entity")), 0).otherwise(1)
     won = (
-        candidates.withColumn("nth", nth.cast("long"))
-        .withColumn("round", (nth + late).cast("long"))
+        candidates.withColumn("nth", F.row_number().over(turn).cast("long"))
+        .withColumn("round", (F.col("nth") + late).cast("long"))
         .where(F.col("round") <= tries)
-        .join(current, "entity")
         .withColumn("new_version", F.col("cur_ver") + F.col("nth"))
-        .withColumn(
-            "new_tip", next_tip(F.col("entity"), F.col("new_version"), F.col("update_id"))
-        )
-        .withColumn(
-            "prev_tip",
-            F.coalesce(F.lag("new_tip").over(Window.partitionBy("entity").orderBy("nth")), "cur_tip"),
-        )
-        .select("entity", "update_id", "round", "new_version", "new_tip", "prev_tip")
+        .withColumn("new_tip", next_tip(F.col("entity"), F.col("new_version"), F.col("update_id")))
     )
+    last_tip = F.lag("new_tip").over(Window.partitionBy("entity").orderBy("nth"))
+    won = won.withColumn("prev_tip", F.coalesce(last_tip, "cur_tip")).select(
+        "entity", "update_id", "round", "new_version", "new_tip", "prev_tip"
+    )
+
     committed = F.col("round").isNotNull()
-    known = F.col("known_tip").isNotNull()
+    name = F.col("entity").cast("string")
     return (
-        updates.join(won, ["entity", "update_id"], "left")
-        .join(tips.select("entity", F.col("tip").alias("known_tip")), "entity", "left")
+        base.join(won, ["entity", "update_id"], "left")
         .withColumn("committed", committed)
         .withColumn(
             "entity_error",
             F.when(committed, F.lit(None).cast("string"))
-            .when(
-                known,
-                F.concat(F.lit("CAS failure for "), F.col("entity").cast("string")),
-            )
-            .otherwise(F.concat(F.lit("Entity not found: "), F.col("entity").cast("string"))),
+            .when(F.col("cur_tip").isNotNull(), F.concat(F.lit("CAS failure for "), name))
+            .otherwise(F.concat(F.lit("Entity not found: "), name)),
         )
-        .drop("known_tip")
+        .drop("cur_tip", "cur_ver")
     )
 
 

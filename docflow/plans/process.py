@@ -123,7 +123,7 @@ def process_chunks(
     slim = results.drop("content")
     pis = _stored(publish(items, slim, store, run_path, write_id), f"{run_path}/pis")
 
-    entities = pi_results(pis, slim, PI_KEYS)
+    entities = _stored(pi_results(pis, slim, PI_KEYS), f"{run_path}/entities")
     chunks = requests.select(
         *CHUNK_KEYS,
         started.alias("started_at"),

@@ -23,7 +23,7 @@ from docflow.plans.enrich import Policy, enrich
 from docflow.plans.extract import extract_once
 from docflow.plans.process import Store, process_chunks as run_process
 from docflow.schema import key_violations as find_violations
-from docflow.session import configure, run_dir
+from docflow.session import configure, durable, run_dir
 from docflow.sources.sinks import write_reports
 from docflow.sources.tables import read_reports, read_versions
 from docflow.streaming.complete import publish_batches, write_complete_chunks
@@ -438,13 +438,16 @@ def _results(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    results, refs = _results(spark, sf_dir)
+    results, _ = _results(spark, sf_dir)
     as_of = F.lit(AS_OF).cast("timestamp")
-    return report.chunk_report(fixtures.chunks(spark, sf_dir), results, as_of), results, refs
+    return report.chunk_report(fixtures.chunks(spark, sf_dir), results, as_of)
 
 
 def _docs(spark, sf_dir):
-    chunk_rows, results, refs = _report(spark, sf_dir)
+    results, refs = _results(spark, sf_dir)
+    results = durable(results)
+    as_of = F.lit(AS_OF).cast("timestamp")
+    chunk_rows = report.chunk_report(fixtures.chunks(spark, sf_dir), results, as_of)
     failed = report.failed_refs(refs, ["batch_id", "chunk_id", "pi"])
     return report.report_docs(chunk_rows, results, failed)
 
@@ -467,7 +470,7 @@ def failed_refs(spark, sf_dir):
 
 @query
 def chunk_report(spark, sf_dir):
-    return _report(spark, sf_dir)[0]
+    return _report(spark, sf_dir)
 
 
 @query
@@ -501,13 +504,13 @@ def report_sink(spark, sf_dir):
 
 @query
 def batch_rollup(spark, sf_dir):
-    reports = _report(spark, sf_dir)[0].where(F.col("chunk_id") % 101 != 100)
+    reports = _report(spark, sf_dir).where(F.col("chunk_id") % 101 != 100)
     return batches.batch_rollup(fixtures.chunks(spark, sf_dir), reports)
 
 
 @query
 def apply_report(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.col("chunk_id") % 5 != 0)
+    docs = durable(_docs(spark, sf_dir).where(F.col("chunk_id") % 5 != 0))
     nodes = fixtures.refs(spark, sf_dir).select("pi", "filename")
     return batches.node_states(batches.apply_report(nodes, docs))
 
