@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,28 +17,45 @@ from docflow.schema import REF_KEYS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "retry_count long, status string, error string"
-_HARD = ("done", "skipped", "permanent")
-_FAILS = ("rate_limit", "transient")
 
 
 def fold_rows(
-    orders: np.ndarray, outcomes: np.ndarray, messages: np.ndarray, before: int, max_retries: int
+    rows: Iterable[tuple[int, str, str | None]], before: int, max_retries: int
 ) -> tuple[str, int, str | None]:
-    """Status, retry count and error after the given rows of one pending ref."""
-    rank = np.argsort(orders, kind="stable")
-    _, first = np.unique(orders[rank], return_index=True)
-    rank = rank[first]
-    outcomes = outcomes[rank]
-    counts = before + np.cumsum(np.isin(outcomes, _FAILS))
-    ends = np.isin(outcomes, _HARD) | ((outcomes == "transient") & (counts >= max_retries))
-    if not ends.any():
-        return "pending", int(counts[-1]), None
-    at = int(np.argmax(ends))
-    outcome, message = outcomes[at], messages[rank[at]]
-    if outcome == "transient":
-        message = f"Failed after {max_retries} retries: {message}"
-    status = outcome if outcome in ("done", "skipped") else "error"
-    return status, int(counts[at]), message if status == "error" else None
+    """Status, retry count and error of a pending ref after more attempts.
+
+    ``rows`` are (order, outcome, message) in any order. Of each row at most its
+    order number is kept, plus the earliest hard end and the ``max_retries``
+    earliest transient failures: the one that exhausts a ref is among those.
+    """
+    hard: tuple | None = None
+    limited = array("q")
+    soft: list[tuple[int, str]] = []
+    for at, outcome, message in rows:
+        if outcome == "rate_limit":
+            limited.append(at)
+        elif outcome == "transient":
+            if (at, message or "") not in soft:
+                insort(soft, (at, message or ""))
+                del soft[max_retries:]
+        elif hard is None or at < hard[0]:
+            hard = (at, outcome, message)
+
+    fails = sorted({*limited, *(at for at, _ in soft)})
+
+    def count(at: int) -> int:
+        return before + bisect_right(fails, at)
+
+    spent = next(((at, text) for at, text in soft if count(at) >= max_retries), None)
+    if spent and (hard is None or spent[0] < hard[0]):
+        at, text = spent
+        return "error", count(at), f"Failed after {max_retries} retries: {text}"
+    if hard is None:
+        return "pending", before + len(fails), None
+    at, outcome, message = hard
+    if outcome == "permanent":
+        return "error", count(at), message
+    return outcome, count(at), None
 
 
 class AttemptFold(StatefulProcessor):
@@ -51,26 +68,17 @@ class AttemptFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", _STATE)
 
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else (0, "pending", None)
-        if old[1] != "pending":
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before, status, _ = self.state.get() or (0, "pending", None)
+        if status != "pending":
             for _ in rows:
                 pass
             return
-        pieces = [(p["at"].to_numpy(), p["outcome"].to_numpy(), p["message"].to_numpy()) for p in rows]
-        at, outcome, message = (np.concatenate(column) for column in zip(*pieces, strict=True))
-        status, count, error = fold_rows(at, outcome, message, int(old[0]), self.max_retries)
+        attempts = ((row["at"], row["outcome"], row["message"]) for row in rows)
+        status, count, error = fold_rows(attempts, int(before), self.max_retries)
         self.state.update((count, status, error))
-        yield pd.DataFrame(
-            {
-                **{name: [value] for name, value in zip(self.keys, key, strict=True)},
-                "status": [status],
-                "retry_count": [count],
-                "error": [error],
-            }
-        )
+        named = dict(zip(self.keys, key, strict=True))
+        yield Row(**named, status=status, retry_count=count, error=error)
 
     def close(self) -> None:
         pass
@@ -86,9 +94,7 @@ def stream_attempt_fold(
     message), for output mode ``update``.
 
     ``order`` is a whole number, total per ref; a ref's attempts may be mixed
-    inside a micro-batch but not across micro-batches. Limit the micro-batch at
-    the source (``maxFilesPerTrigger``): a ref's rows of one micro-batch are
-    sorted together.
+    inside a micro-batch but not across micro-batches.
     """
     attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = attempts.select(*keys, F.col(order).alias("at"), "outcome", "message")
@@ -100,7 +106,7 @@ def stream_attempt_fold(
             T.StructField("error", T.StringType()),
         ]
     )
-    return slim.groupBy(*keys).transformWithStateInPandas(
+    return slim.groupBy(*keys).transformWithState(
         statefulProcessor=AttemptFold(keys, max_retries),
         outputStructType=out,
         outputMode="Update",

@@ -599,8 +599,8 @@ def process_chunks(spark, sf_dir):
     manifest = _manifest(spark, sf_dir).join(tips.select(F.col("entity").cast("long"), "ver"), "entity")
     path = run_dir(spark, "process")
     store = Store(
-        versions=tips,
-        components=manifest.withColumn("entity", _str("entity")),
+        versions=durable(tips),
+        components=durable(manifest.withColumn("entity", _str("entity"))),
         contents=fixtures.part_contents(spark, sf_dir),
         path=f"{path}/store",
     )
