@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.schema import CHUNK_KEYS
+from docflow.session import spread
 
 
 def batch_rollup(dispatched: DataFrame, reports: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def apply_report(node_refs: DataFrame, docs: DataFrame) -> DataFrame:
     named = F.col("is_reported")
     wrong = F.col("failed_error").isNotNull()
     return (
-        node_refs.join(reported.withColumn("is_reported", F.lit(True)), "pi", "left")
+        node_refs.join(spread(reported.withColumn("is_reported", F.lit(True))), "pi", "left")
         .join(failed, ["pi", "filename"], "left")
         .withColumn("ocr_error", F.when(named & wrong, F.col("failed_error")))
         .withColumn("ocr_complete", F.coalesce(named & ~wrong, F.lit(False)))

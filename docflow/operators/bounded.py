@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.session import spread as spread_rows
+
 ARRAY_LIMIT = 1000
 
 
@@ -28,7 +30,7 @@ def bounded_collect(
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     parts = sizes.select(*keys, F.ceil(F.col("n_rows") / limit).alias("_parts"))
-    placed = df.join(parts, keys).withColumn(
+    placed = df.join(spread_rows(parts), keys).withColumn(
         "part", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_parts"))
     )
     return placed.groupBy(*keys, "part").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.jsondoc import field_text, is_null_doc, is_truthy, parse_doc
 from docflow.functions.scalars import is_ref
+from docflow.session import spread
 
 
 def load_manifests(items: DataFrame, tips: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def load_manifests(items: DataFrame, tips: DataFrame) -> DataFrame:
     and, further on, no refs.
     """
     latest = tips.withColumnRenamed("entity", "pi")
-    return items.join(latest, "pi", "left").withColumn(
+    return items.join(spread(latest), "pi", "left").withColumn(
         "fetch_error",
         F.when(
             F.col("tip").isNull(),
@@ -74,7 +75,7 @@ def discovery_totals(items: DataFrame, refs: DataFrame, keys: list[str]) -> Data
     """Per chunk: entities, refs found, entities without any ref."""
     per_pi = refs.groupBy("pi").agg(F.count(F.lit(1)).alias("n"))
     return (
-        items.join(per_pi, "pi", "left")
+        items.join(spread(per_pi), "pi", "left")
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("total_pis"),

@@ -15,8 +15,9 @@ MAX_RETRIES = 3
 MAX_GLOBAL_RETRIES = 5
 
 # Rows of one key that may share a window group. A key whose log is longer is
-# folded segment by segment.
-SEGMENT_ROWS = 1024
+# folded segment by segment; only one summary row per segment is then ordered
+# per key.
+SEGMENT_ROWS = 65536
 
 
 def _running(group: list[str], order: list[str]):
@@ -143,6 +144,7 @@ def backoff_streaks(
     keys: list[str] = CHUNK_KEYS,
     order: str = "step",
     jitter: Column | None = None,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Rate-limit streak and delay after each processing step of a chunk.
 
@@ -152,7 +154,7 @@ def backoff_streaks(
     first, then carried over from the segment summaries.
     """
     group = [*keys, "_seg"]
-    rows = steps.withColumn("_seg", F.floor(F.col(order) / SEGMENT_ROWS))
+    rows = steps.withColumn("_seg", F.floor(F.col(order) / segment_rows))
     ordered, upto = _running(group, [order])
     rows = rows.withColumn("_idx", F.row_number().over(ordered).cast("long")).withColumn(
         "_reset", F.max(F.when(~F.col("rate_limited"), F.col("_idx"))).over(upto)

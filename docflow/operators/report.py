@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docflow.functions.scalars import elapsed_ms, falsy_to, status_of_phase
 from docflow.operators.bounded import ARRAY_LIMIT, bounded_collect
 from docflow.schema import CHUNK_KEYS
+from docflow.session import spread
 
 UNKNOWN_ERROR = "Unknown error"
 RESULTS_LIMIT = 100
@@ -159,7 +160,7 @@ def chunk_status(wanted: DataFrame, chunks: DataFrame, progress: DataFrame) -> D
     """Status read for a table of chunk keys; unknown chunks are not_found."""
     known = chunks.join(progress, CHUNK_KEYS, "left").fillna(0, _COUNTERS)
     return (
-        wanted.join(known, CHUNK_KEYS, "left")
+        wanted.join(spread(known), CHUNK_KEYS, "left")
         .withColumn("status", F.coalesce(status_of_phase(F.col("phase")), F.lit("not_found")))
     )
 
@@ -167,7 +168,7 @@ def chunk_status(wanted: DataFrame, chunks: DataFrame, progress: DataFrame) -> D
 def latest_run(rows: DataFrame, keys: list[str], run: str) -> DataFrame:
     """Rows of the newest run of each chunk; older runs stay stored."""
     newest = rows.groupBy(*keys).agg(F.max(run).alias(run))
-    return rows.join(newest, [*keys, run], "left_semi")
+    return rows.join(spread(newest), [*keys, run], "left_semi")
 
 
 def complete_chunks(refs: DataFrame, chunks: DataFrame, keys: list[str] = CHUNK_KEYS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators.ordered import dense_index
 from docflow.schema import CHUNK_KEYS
+from docflow.session import spread
 
 
 def reject_reason(df: DataFrame) -> Column:
@@ -54,7 +55,7 @@ def admit(requests: DataFrame, chunk_status: DataFrame) -> DataFrame:
     free = F.coalesce(F.col("phase").isin("DONE", "ERROR"), F.lit(True))
     wins = free & (F.struct("received_at", "request_id") == F.col("_first"))
     return (
-        requests.join(chunks, CHUNK_KEYS)
+        requests.join(spread(chunks), CHUNK_KEYS)
         .withColumn("status", F.when(wins, "accepted").otherwise("already_processing"))
         .withColumn(
             "phase",

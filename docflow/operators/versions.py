@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.scalars import network_tag, version_note
 from docflow.operators.bounded import ARRAY_LIMIT, bounded_collect
-from docflow.session import durable
+from docflow.session import durable, spread
 
 CAS_TRIES = 3
 
@@ -54,7 +54,7 @@ def publish_plan(refs: DataFrame, keys: list[str]) -> DataFrame:
     """Components to publish in long form, each with its entity's note."""
     parts = publishable(refs).select(*keys, "filename", "result_cid")
     notes = parts.groupBy(*keys).agg(version_note(F.count(F.lit(1))).alias("note"))
-    return parts.join(notes, keys)
+    return parts.join(spread(notes), keys)
 
 
 def component_maps(refs: DataFrame, keys: list[str], limit: int = ARRAY_LIMIT) -> DataFrame:
@@ -84,7 +84,7 @@ def cas_plan(updates: DataFrame, tips: DataFrame, tries: int = CAS_TRIES) -> Dat
     with their current tips are checkpointed, because three branches read them.
     """
     current = tips.select("entity", F.col("tip").alias("cur_tip"), F.col("ver").alias("cur_ver"))
-    base = durable(updates.join(current, "entity", "left"))
+    base = durable(updates.join(spread(current), "entity", "left"))
     known = base.where(F.col("cur_tip").isNotNull())
     slim = known.select("entity", "update_id", "cur_tip", "cur_ver")
     fresh = (

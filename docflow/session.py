@@ -58,3 +58,14 @@ def durable(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(per_key: DataFrame) -> DataFrame:
+    """Prepare a one-row-per-key aggregate for a join with many rows per key.
+
+    Adaptive skew splitting only acts when both sides of the join come straight
+    from a shuffle made for it. An aggregate on the join key is partitioned by
+    that key already and gets no such shuffle, so a hot key on the other side
+    would stay in one task. Rebalancing the few aggregate rows brings it back.
+    """
+    return per_key.hint("rebalance")

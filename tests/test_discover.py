@@ -1,0 +1,109 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from docflow.operators.contents import dedup_extract, put_contents
+from docflow.operators.discover import (
+    discover_refs,
+    discovery_totals,
+    explode_components,
+    load_manifests,
+    lookup_contents,
+    split_enriched,
+)
+from docflow.operators.versions import entity_tip, manifest_merge
+from tests.conftest import rows
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_discovery(spark):
+    versions = spark.createDataFrame(
+        [("a", 1, "t1"), ("a", 2, "t2"), ("b", 1, "t3")], "entity string, ver long, tip string"
+    )
+    components = spark.createDataFrame(
+        [
+            ("a", 1, "x.ref.json", "c1"),
+            ("a", 2, "x.ref.json", "c2"),
+            ("a", 1, "y.ref.json", "c1"),
+            ("a", 1, "Z.REF.JSON", "c1"),
+            ("a", 1, "meta.json", "c1"),
+            ("a", 1, "n.ref.json", "none"),
+            ("a", 1, "bad.ref.json", "bad"),
+            ("a", 1, "null.ref.json", "null"),
+            ("a", 1, "nourl.ref.json", "nourl"),
+            ("b", 1, "meta.json", "c1"),
+        ],
+        "entity string, ver long, filename string, cid string",
+    )
+    contents = spark.createDataFrame(
+        [
+            ("c1", '{"url":"u1"}'),
+            ("c2", '{"url":"u2","ocr":"t"}'),
+            ("bad", "{"),
+            ("null", "null"),
+            ("nourl", '{"url":""}'),
+        ],
+        "cid string, content string",
+    )
+    items = spark.createDataFrame([("k", "a"), ("k", "b"), ("k", "gone")], "chunk string, pi string")
+
+    found = load_manifests(items, entity_tip(versions))
+    assert rows(found.select("pi", "tip", "fetch_error"), "pi") == [
+        ("a", "t2", None),
+        ("b", "t3", None),
+        ("gone", None, "Entity gone not found"),
+    ]
+    latest = manifest_merge(components)
+    refs = discover_refs(items, latest, contents)
+    assert rows(refs.select("pi", "filename", "original_cid", "cdn_url")) == [
+        ("a", "x.ref.json", "c2", "u2"),
+        ("a", "y.ref.json", "c1", "u1"),
+    ]
+    reasons = lookup_contents(latest.where("filename LIKE '%n%.ref.json'"), contents)
+    assert rows(reasons.select("filename", "drop_reason")) == [
+        ("n.ref.json", "not_found"),
+        ("nourl.ref.json", "no_url"),
+        ("null.ref.json", "bad_json"),
+    ]
+    assert rows(discovery_totals(items, refs, ["chunk"])) == [("k", 3, 2, 2)]
+    skip, todo = split_enriched(refs)
+    assert [r.filename for r in skip.collect()] == ["x.ref.json"]
+    assert [r.filename for r in todo.collect()] == ["y.ref.json"]
+
+
+def test_empty_ocr_is_not_enriched(spark):
+    refs = spark.createDataFrame([('{"ocr":""}',), ('{"ocr":"x"}',), ("{}",)], "ref_data_json string")
+    skip, todo = split_enriched(refs)
+    assert skip.count() == 1
+    assert todo.count() == 2
+
+
+def test_map_shaped_manifests(spark):
+    df = spark.createDataFrame([("e", {"f": "c", "g": "d"}), ("n", {})], "entity string, components map<string,string>")
+    assert rows(explode_components(df)) == [("e", "f", "c"), ("e", "g", "d")]
+
+
+def test_put_is_idempotent(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("a",), ("é",)], "content string")
+    empty = spark.createDataFrame([], "cid string, content string")
+    tagged, fresh = put_contents(df, empty)
+    assert rows(tagged.select("content", "cid").distinct()) == [(t, sha(t)) for t in ("a", "b", "é")]
+    assert sorted(r.cid for r in fresh.collect()) == sorted(map(sha, ("a", "b", "é")))
+    _, again = put_contents(df, fresh)
+    assert again.count() == 0
+
+
+def test_dedup_runs_once_per_text(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"t{i}") for i in range(60)], "id long, text string")
+    sizes = []
+
+    def extract(distinct):
+        sizes.append(distinct.count())
+        return distinct.select("cid", F.upper("text").alias("out"))
+
+    got = rows(dedup_extract(df, "text", extract).select("id", "out"), "id")
+    assert got == [(i, "HOT" if i % 3 else f"T{i}") for i in range(60)]
+    assert sizes == [21]
