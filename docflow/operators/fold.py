@@ -139,6 +139,13 @@ def attempt_fold(
     )
 
 
+def backoff_steps(attempts: DataFrame, keys: list[str] = CHUNK_KEYS) -> DataFrame:
+    """Processing steps of an attempt log: one per chunk and round, rate-limited
+    if any of its attempts was."""
+    limited = F.bool_or(F.col("outcome") == "rate_limit").alias("rate_limited")
+    return attempts.groupBy(*keys, F.col("seq").alias("step")).agg(limited)
+
+
 def backoff_streaks(
     steps: DataFrame,
     keys: list[str] = CHUNK_KEYS,

@@ -45,6 +45,23 @@ def log_tail(
     return first_k(log, keys, newest, k).withColumnRenamed("rank", "age")
 
 
+def log_lines(
+    log: DataFrame,
+    keys: list[str] = CHUNK_KEYS,
+    order: list[str] | None = None,
+    k: int = LOG_SHOWN,
+) -> DataFrame:
+    """The newest ``k`` entries per chunk as text lines, oldest first."""
+    order = order or ["ts", "id"]
+    line = F.concat_ws(" ", F.col(order[0]).cast("string"), F.col("message"))
+    lines = log_tail(log, keys, order, k).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("age")).alias("at"), line.alias("line")))).alias(
+            "_lines"
+        )
+    )
+    return lines.select(*keys, F.col("_lines.line").alias("debug_log"))
+
+
 def kept_log(log: DataFrame, keys: list[str] = CHUNK_KEYS, order: list[str] | None = None) -> DataFrame:
     """The entries a capped log keeps."""
     return log_tail(log, keys, order, LOG_KEPT)

@@ -25,6 +25,13 @@ def entity_tip(
     return versions.groupBy("entity").agg(F.max_by("tip", order).alias("tip"), ver.alias("ver"))
 
 
+def only_entities(df: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of the entities that ``items`` names, before anything is aggregated:
+    a small batch of requests then costs no shuffle of the whole table."""
+    wanted = items.select(F.col("pi").alias("entity")).distinct()
+    return df.join(spread(wanted), "entity", "left_semi")
+
+
 def manifest_merge(components: DataFrame, order: Column | str = "ver") -> DataFrame:
     """Latest content per entity and file name over all versions.
 

@@ -6,7 +6,6 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from docflow.operators.contents import content_id
 from docflow.operators.fold import MAX_RETRIES, SEGMENT_ROWS, attempt_fold
 from docflow.plans.extract import Model, extract_once
 from docflow.schema import ATTEMPTS, REF_KEYS
+from docflow.session import is_marked, mark
 
 
 @dataclass(frozen=True)
@@ -43,12 +43,8 @@ class Policy:
             raise ValueError(f"max_rounds must lie between 1 and {SEGMENT_ROWS - 1}")
 
 
-def _is_done(spark: SparkSession, log_path: str, number: int) -> bool:
-    try:
-        marker = spark.read.schema("id long").parquet(f"{log_path}/done/round={number}")
-        return not marker.isEmpty()
-    except AnalysisException:
-        return False
+def _marker(log_path: str, number: int) -> str:
+    return f"{log_path}/done/round={number}"
 
 
 def _write_round(rows: DataFrame, log_path: str, number: int) -> None:
@@ -56,7 +52,7 @@ def _write_round(rows: DataFrame, log_path: str, number: int) -> None:
     spark = rows.sparkSession
     columns = [c.split()[0] for c in ATTEMPTS.split(", ")]
     rows.select(*columns).write.mode("overwrite").parquet(f"{log_path}/attempts/round={number}")
-    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{log_path}/done/round={number}")
+    mark(spark, _marker(log_path, number))
 
 
 def read_log(spark: SparkSession, log_path: str, number: int | str = "*") -> DataFrame:
@@ -105,7 +101,7 @@ def run_rounds(
     spark = refs.sparkSession
     extra = [payload] if payload else []
     doc = F.col("ref_data_json")
-    if not _is_done(spark, log_path, 0):
+    if not is_marked(spark, _marker(log_path, 0)):
         _write_round(_settled(refs), log_path, 0)
 
     missing = F.coalesce(doc, F.lit("")) == ""
@@ -123,7 +119,7 @@ def run_rounds(
             if pending.isEmpty():
                 return number - 1
             todo = open_refs.join(pending, REF_KEYS)
-        if not _is_done(spark, log_path, number):
+        if not is_marked(spark, _marker(log_path, number)):
             tried = extract_once(
                 todo,
                 load_model,

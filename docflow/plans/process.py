@@ -17,12 +17,14 @@ from docflow.operators.versions import (
     cas_plan,
     entity_tip,
     manifest_merge,
+    only_entities,
     publish_heads,
     publishable,
 )
 from docflow.plans.enrich import Policy, enrich
 from docflow.plans.extract import Model
 from docflow.schema import CHUNK_KEYS, PI_KEYS, key_violations
+from docflow.session import once, stored
 from docflow.sources.sinks import append_versions, write_contents, write_reports
 
 
@@ -36,11 +38,6 @@ class Store:
     path: str
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def accept_requests(requests: DataFrame, chunk_status: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests to run, answers). Invalid requests, requests that name an
     entity twice and requests for a chunk in flight are answered, not run."""
@@ -69,22 +66,31 @@ def publish(
     pis: DataFrame, ref_results: DataFrame, store: Store, run_path: str, write_id: str
 ) -> DataFrame:
     """Append new versions; returns the entities with tip, version and error."""
-    tips = entity_tip(store.versions)
+    spark = pis.sparkSession
     update_id = chunk_label(F.col("batch_id"), F.col("chunk_id"))
-    heads = publish_heads(pis, ref_results, PI_KEYS).withColumnRenamed("pi", "entity")
-    updates = (
-        heads.where(F.col("n_components") > 0)
-        .join(tips.select("entity", F.col("tip").alias("expect_tip")), "entity", "left")
-        .withColumn("update_id", update_id)
-    )
-    plan = _stored(cas_plan(updates, tips), f"{run_path}/plan")
+
+    def plan_versions() -> DataFrame:
+        tips = entity_tip(only_entities(store.versions, pis))
+        heads = publish_heads(pis, ref_results, PI_KEYS).withColumnRenamed("pi", "entity")
+        updates = (
+            heads.where(F.col("n_components") > 0)
+            .join(tips.select("entity", F.col("tip").alias("expect_tip")), "entity", "left")
+            .withColumn("update_id", update_id)
+        )
+        return cas_plan(updates, tips)
+
+    plan = stored(spark, f"{run_path}/plan", plan_versions)
     components = publishable(ref_results).select(
         F.col("pi").alias("entity"),
         update_id.alias("update_id"),
         "filename",
         F.col("result_cid").alias("cid"),
     )
-    append_versions(plan, components, store.path, write_id)
+    once(
+        spark,
+        f"{run_path}/published",
+        lambda: append_versions(plan, components, store.path, write_id),
+    )
     outcome = plan.select(
         *CHUNK_KEYS, F.col("entity").alias("pi"), "new_tip", "new_version", "entity_error"
     )
@@ -103,38 +109,51 @@ def process_chunks(
 
     The tables between the stages are written once and read back: refs (so that
     documents are looked up once), enriched refs (so that nothing downstream
-    repeats the merge) and the publish plan.
+    repeats the merge) and the publish plan. A run that was cut off goes on
+    behind its last finished table when called again with the same
+    ``run_path`` and ``write_id``; a finished one changes nothing.
     """
     spark: SparkSession = requests.sparkSession
-    started = F.lit(spark.sql("SELECT current_timestamp()").first()[0])
-    items = work_items(requests)
-    manifests = load_manifests(items, entity_tip(store.versions))
-    latest = manifest_merge(store.components)
-    refs = discover_refs(
-        manifests.where(F.col("fetch_error").isNull()).select(*PI_KEYS), latest, store.contents
+    chunks = stored(
+        spark,
+        f"{run_path}/chunks",
+        lambda: requests.select(*CHUNK_KEYS, F.current_timestamp().alias("started_at")),
     )
-    refs = _stored(refs, f"{run_path}/refs")
-    results = _stored(
-        enrich(refs, load_model, f"{run_path}/log", policy), f"{run_path}/ref_results"
+    items = work_items(requests)
+
+    def find_refs() -> DataFrame:
+        manifests = load_manifests(items, entity_tip(only_entities(store.versions, items)))
+        known = manifests.where(F.col("fetch_error").isNull()).select(*PI_KEYS)
+        latest = manifest_merge(only_entities(store.components, items))
+        return discover_refs(known, latest, store.contents)
+
+    refs = stored(spark, f"{run_path}/refs", find_refs)
+    results = stored(
+        spark,
+        f"{run_path}/ref_results",
+        lambda: enrich(refs, load_model, f"{run_path}/log", policy),
     )
 
-    _, fresh = put_contents(results.where(F.col("content").isNotNull()), store.contents)
-    write_contents(fresh, f"{store.path}/contents", write_id)
+    def put_new() -> None:
+        _, fresh = put_contents(results.where(F.col("content").isNotNull()), store.contents)
+        write_contents(fresh, f"{store.path}/contents", write_id)
+
+    once(spark, f"{run_path}/contents", put_new)
     slim = results.drop("content")
-    pis = _stored(publish(items, slim, store, run_path, write_id), f"{run_path}/pis")
+    pis = publish(items, slim, store, run_path, write_id)
 
-    entities = _stored(pi_results(pis, slim, PI_KEYS), f"{run_path}/entities")
-    chunks = requests.select(
-        *CHUNK_KEYS,
-        started.alias("started_at"),
+    entities = stored(spark, f"{run_path}/entities", lambda: pi_results(pis, slim, PI_KEYS))
+    ended = chunks.select(
+        "*",
         F.current_timestamp().alias("completed_at"),
         F.lit("DONE").alias("phase"),
         F.lit(None).cast("string").alias("global_error"),
     )
-    report = _stored(
-        chunk_report(chunks, entities, F.current_timestamp()), f"{run_path}/chunk_reports"
-    )
-    write_reports(
-        report_docs(report, entities, failed_refs(slim, PI_KEYS)), f"{run_path}/report_docs"
+    report = stored(
+        spark,
+        f"{run_path}/chunk_reports",
+        lambda: chunk_report(ended, entities, F.current_timestamp()),
     )
+    docs = report_docs(report, entities, failed_refs(slim, PI_KEYS))
+    once(spark, f"{run_path}/reported", lambda: write_reports(docs, f"{run_path}/report_docs"))
     return report

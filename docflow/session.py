@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
@@ -60,6 +62,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_marked(spark: SparkSession, path: str) -> bool:
+    """Whether a step was marked as finished."""
+    try:
+        return not spark.read.schema("id long").parquet(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def once(spark: SparkSession, path: str, action: Callable[[], None]) -> None:
+    """Run a step unless it was finished before."""
+    if not is_marked(spark, path):
+        action()
+        mark(spark, path)
+
+
+def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Build and write a table once, and read it back."""
+    once(spark, f"{path}/done", lambda: build().write.mode("overwrite").parquet(f"{path}/rows"))
+    return spark.read.parquet(f"{path}/rows")
+
+
 def spread(per_key: DataFrame) -> DataFrame:
     """Prepare a one-row-per-key aggregate for a join with many rows per key.
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.operators.versions import cas_plan, entity_tip
+from docflow.operators.versions import cas_plan, entity_tip, only_entities
 from docflow.schema import CHUNK_KEYS
 from docflow.sources.sinks import append_versions
 
@@ -73,7 +73,8 @@ def publish_batches(
         own = _other_writes(
             spark, f"{path}/versions", f"entity {kind}, tip string, ver long", "write", batch_id
         )
-        tips = entity_tip(base.unionByName(own))
+        touched = batch.select(F.col("entity").alias("pi"))
+        tips = entity_tip(only_entities(base.unionByName(own), touched))
         current = tips.select("entity", F.col("tip").alias("expect_tip"))
         fresh = batch.join(current, "entity", "left")
         plan_path = f"{path}/plans/write={batch_id}"

@@ -318,13 +318,17 @@ WITH s AS (
   FROM events GROUP BY 1),
 g AS (SELECT *, SUM(1 - hit) OVER (ORDER BY step) AS grp FROM s),
 k AS (SELECT *, SUM(hit) OVER (PARTITION BY grp ORDER BY step) AS streak FROM g),
-d AS (SELECT *, LEAST(1000 * pow(2.0, LEAST(streak - 1, 5)), 60000.0) AS delay FROM k)
-SELECT step, hit = 1 AS rate_limited, CAST(0 AS BIGINT) AS chunk_id,
-  CAST(streak AS BIGINT) AS streak,
-  CASE WHEN streak > 0
+d AS (SELECT *, LEAST(1000 * pow(2.0, LEAST(streak - 1, 5)), 60000.0) AS delay FROM k),
+w AS (
+  SELECT *, CASE WHEN streak > 0
     THEN CAST(floor(delay + delay * 0.25 * ((step % 21 - 10) / 10.0) + 0.5) AS BIGINT) END
     AS delay_ms
-FROM d""",
+  FROM d)
+SELECT step, hit = 1 AS rate_limited, CAST(0 AS BIGINT) AS chunk_id,
+  CAST(streak AS BIGINT) AS streak, delay_ms,
+  CASE WHEN delay_ms > 1500 THEN delay_ms - 1500 ELSE 0 END AS remaining_ms,
+  COALESCE(delay_ms > 1500, false) AS is_waiting
+FROM w""",
     "chunk_fail_fold": f"""
 WITH {ATTEMPTS},
 f AS (

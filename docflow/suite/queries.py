@@ -11,7 +11,14 @@ from docflow import fixtures
 from docflow.fixtures import AS_OF, CDN, table
 from docflow.functions.classify import classify_error, fallback_eligible, normalise_message
 from docflow.functions.jsondoc import field_text, merge_ocr, parse_doc
-from docflow.functions.scalars import chunk_label, is_ref, network_tag, utf16_length
+from docflow.functions.scalars import (
+    backoff_remaining,
+    chunk_label,
+    in_backoff,
+    is_ref,
+    network_tag,
+    utf16_length,
+)
 from docflow.functions.urls import url_variants
 from docflow.operators import batches, contents, discover, fold, queue, report, versions
 from docflow.operators.cost import cost_rollup as roll_up_cost
@@ -335,7 +342,11 @@ def backoff_streaks(spark, sf_dir):
         .withColumn("chunk_id", F.lit(0).cast("long"))
     )
     jitter = (F.col("step") % 21 - 10) / F.lit(10.0)
-    return fold.backoff_streaks(steps, ["chunk_id"], "step", jitter)
+    streaks = fold.backoff_streaks(steps, ["chunk_id"], "step", jitter)
+    until, as_of = F.col("step") * 1000 + F.col("delay_ms"), F.col("step") * 1000 + 1500
+    return streaks.withColumn("remaining_ms", backoff_remaining(until, as_of)).withColumn(
+        "is_waiting", in_backoff(until, as_of)
+    )
 
 
 @query

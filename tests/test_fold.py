@@ -140,6 +140,17 @@ def test_streaks_over_segments(spark, seed):
     assert got == want
 
 
+def test_steps_of_a_log(spark):
+    df = spark.createDataFrame(
+        [("b", "0", 1, "done"), ("b", "0", 1, "rate_limit"), ("b", "0", 2, "done"), ("b", "1", 1, "transient")],
+        "batch_id string, chunk_id string, seq long, outcome string",
+    )
+    steps = fold.backoff_steps(df)
+    assert rows(steps) == [("b", "0", 1, True), ("b", "0", 2, False), ("b", "1", 1, False)]
+    streaks = fold.backoff_streaks(steps).select("chunk_id", "step", "streak", "delay_ms")
+    assert rows(streaks) == [("0", 1, 1, 1000), ("0", 2, 0, None), ("1", 1, 0, None)]
+
+
 def test_chunk_failures(spark):
     flat = [(c, s, f"e{c}-{s}") for c, n in ((1, 1), (2, 4), (3, 5), (4, 9)) for s in range(1, n + 1)]
     df = spark.createDataFrame(flat, "chunk long, seq long, message string")

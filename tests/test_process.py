@@ -100,6 +100,13 @@ def test_from_requests_to_versions_and_reports(spark, tmp_path):
     assert doc["keep"] == [1]
     assert doc["ocr"] == "text /A3/medium"
 
+    # the same run again, now with the new versions in the store
+    grown = versions.unionByName(written.select("entity", "ver", "tip"))
+    again = Store(grown, components, contents, store.path)
+    report = process_chunks(run, again, model, Policy(cdn_host=HOST), str(tmp_path / "run"), "w1")
+    assert report.count() == 3
+    assert rows(read_versions(spark, store.path)) == rows(written)
+
     nested = read_reports(spark, str(tmp_path / "run" / "report_docs"))
     entries = {
         (r.chunk_id, e.pi): (e.status, e.new_version)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docflow.operators.ordered import dense_index
-from docflow.operators.queue import claim_batch, kept_log, log_tail, next_batch
+from docflow.operators.queue import claim_batch, kept_log, log_lines, log_tail, next_batch
 from docflow.operators.requests import admit, assign_chunks, validate_requests, work_items
 from docflow.schema import KeyViolation, key_violations, require_unique, unexpected_values
 from docflow.sources.tables import read_requests
@@ -88,4 +88,6 @@ def test_ordered_picks(spark):
     )
     tail = rows(log_tail(log).select("age", "id"))
     assert tail == [(age, 130 - age) for age in range(1, 51)]
+    lines = log_lines(log, k=3).first().debug_log
+    assert lines == ["63 m127", "64 m128", "64 m129"]
     assert kept_log(log).agg(F.min("id"), F.count("*")).first()[:] == (30, 100)
