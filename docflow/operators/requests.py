@@ -9,6 +9,8 @@ from docflow.operators.ordered import dense_index
 from docflow.schema import CHUNK_KEYS
 from docflow.session import spread
 
+CHUNK_SIZE = 10
+
 
 def reject_reason(df: DataFrame) -> Column:
     """Null for a valid request. An empty ``pis`` array is valid."""
@@ -67,9 +69,31 @@ def admit(requests: DataFrame, chunk_status: DataFrame) -> DataFrame:
     )
 
 
-def assign_chunks(df: DataFrame, order: list[Column], size: int = 10) -> DataFrame:
-    """Number rows in order and cut them into chunks of ``size``."""
-    ranked = dense_index(df, order, "_rank")
-    return ranked.withColumn("chunk_id", F.floor(F.col("_rank") / float(size)).cast("long")).drop(
-        "_rank"
+def assign_chunks(
+    df: DataFrame, order: list[Column], size: int = CHUNK_SIZE, keys: list[str] | None = None
+) -> DataFrame:
+    """Number rows in order and cut them into chunks of ``size``.
+
+    With ``keys`` (such as the batch) the numbers start at 0 for each key. The
+    rows are still ranked all at once, so one huge batch is no hot group.
+    """
+    keys = keys or []
+    ranked = dense_index(df, [*[F.col(k) for k in keys], *order], "_rank")
+    place = F.col("_rank")
+    if keys:
+        first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+        ranked = ranked.join(spread(first), keys)
+        place = place - F.col("_first")
+    chunk = F.floor(place / float(size)).cast("long")
+    return ranked.withColumn("chunk_id", chunk).drop("_rank", "_first")
+
+
+def chunk_requests(chunked: DataFrame, order: str = "pi") -> DataFrame:
+    """Requests from numbered rows; each array holds one chunk, so its size is
+    the chunk size."""
+    members = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "pi")))
+    return (
+        chunked.groupBy(*CHUNK_KEYS)
+        .agg(members.alias("_members"))
+        .select(*CHUNK_KEYS, F.col("_members.pi").alias("pis"))
     )

@@ -104,21 +104,23 @@ def run_rounds(
     if not is_marked(spark, _marker(log_path, 0)):
         _write_round(_settled(refs), log_path, 0)
 
-    missing = F.coalesce(doc, F.lit("")) == ""
-    open_refs = refs.where(~missing & ~is_truthy(parse_doc(doc), "ocr")).select(
-        *REF_KEYS, url_variants(F.col("cdn_url"), policy.cdn_host).alias("_urls"), *extra
-    )
-    open_refs = open_refs.select(*REF_KEYS, "_urls.primary", "_urls.fallback", *extra)
+    def addressed(rows: DataFrame) -> DataFrame:
+        urls = url_variants(F.col("cdn_url"), policy.cdn_host)
+        rows = rows.select(*REF_KEYS, urls.alias("_urls"), *extra)
+        return rows.select(*REF_KEYS, "_urls.primary", "_urls.fallback", *extra)
 
     streak = 0
     for number in range(1, policy.max_rounds + 1):
         if number == 1:
-            todo = open_refs.withColumn("fails", F.lit(0).cast("long"))
+            missing = F.coalesce(doc, F.lit("")) == ""
+            open_refs = refs.where(~missing & ~is_truthy(parse_doc(doc), "ocr"))
+            todo = addressed(open_refs).withColumn("fails", F.lit(0).cast("long"))
         else:
             pending = _still_pending(read_log(spark, log_path, number - 1), policy.max_retries)
             if pending.isEmpty():
                 return number - 1
-            todo = open_refs.join(pending, REF_KEYS)
+            # the keys say enough: documents are neither read nor parsed again
+            todo = addressed(refs).join(pending, REF_KEYS)
         if not is_marked(spark, _marker(log_path, number)):
             tried = extract_once(
                 todo,

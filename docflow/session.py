@@ -22,6 +22,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # rows a model call's batch may hold at once in a Python worker
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 
 from docflow.operators.ordered import dense_index
 from docflow.operators.queue import claim_batch, kept_log, log_lines, log_tail, next_batch
-from docflow.operators.requests import admit, assign_chunks, validate_requests, work_items
+from docflow.operators.requests import (
+    admit,
+    assign_chunks,
+    chunk_requests,
+    validate_requests,
+    work_items,
+)
 from docflow.schema import KeyViolation, key_violations, require_unique, unexpected_values
 from docflow.sources.tables import read_requests
 from tests.conftest import rows
@@ -68,6 +74,21 @@ def test_assign_chunks_over_many_partitions(spark):
     assert got == [(k, i // 10) for i, k in enumerate(sorted(keys))]
 
 
+def test_chunks_per_batch_and_back_to_requests(spark):
+    flat = [(f"b{n % 3 if n < 300 else 0}", f"{n:04d}") for n in range(700)]
+    df = spark.createDataFrame(flat, "batch_id string, pi string").repartition(5)
+    chunked = assign_chunks(df, [F.col("pi")], 7, ["batch_id"])
+    want = []
+    for batch in ("b0", "b1", "b2"):
+        members = sorted(p for b, p in flat if b == batch)
+        want += [(batch, p, i // 7) for i, p in enumerate(members)]
+    assert rows(chunked.select("batch_id", "pi", "chunk_id")) == sorted(want)
+    requests = chunk_requests(chunked)
+    items = work_items(requests)
+    assert rows(items.select("batch_id", "pi", "chunk_id")) == sorted(want)
+    assert requests.agg(F.max(F.size("pis"))).first()[0] == 7
+
+
 def test_dense_index_of_an_empty_table(spark):
     df = spark.createDataFrame([], "pi string")
     assert dense_index(df, [F.col("pi")], "n").count() == 0
