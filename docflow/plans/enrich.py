@@ -22,7 +22,7 @@ from docflow.operators.contents import content_id
 from docflow.operators.fold import MAX_RETRIES, SEGMENT_ROWS, attempt_fold
 from docflow.plans.extract import Model, extract_once
 from docflow.schema import ATTEMPTS, REF_KEYS
-from docflow.session import is_marked, mark
+from docflow.session import is_done, set_done
 
 
 @dataclass(frozen=True)
@@ -43,16 +43,16 @@ class Policy:
             raise ValueError(f"max_rounds must lie between 1 and {SEGMENT_ROWS - 1}")
 
 
-def _marker(log_path: str, number: int) -> str:
+def _flag(log_path: str, number: int) -> str:
     return f"{log_path}/done/round={number}"
 
 
 def _write_round(rows: DataFrame, log_path: str, number: int) -> None:
-    """Replace the folder of one round, then mark it complete."""
+    """Replace the folder of one round, then flag it complete."""
     spark = rows.sparkSession
     columns = [c.split()[0] for c in ATTEMPTS.split(", ")]
     rows.select(*columns).write.mode("overwrite").parquet(f"{log_path}/attempts/round={number}")
-    mark(spark, _marker(log_path, number))
+    set_done(spark, _flag(log_path, number))
 
 
 def read_log(spark: SparkSession, log_path: str, number: int | str = "*") -> DataFrame:
@@ -101,7 +101,7 @@ def run_rounds(
     spark = refs.sparkSession
     extra = [payload] if payload else []
     doc = F.col("ref_data_json")
-    if not is_marked(spark, _marker(log_path, 0)):
+    if not is_done(spark, _flag(log_path, 0)):
         _write_round(_settled(refs), log_path, 0)
 
     def addressed(rows: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def run_rounds(
                 return number - 1
             # the keys say enough: documents are neither read nor parsed again
             todo = addressed(refs).join(pending, REF_KEYS)
-        if not is_marked(spark, _marker(log_path, number)):
+        if not is_done(spark, _flag(log_path, number)):
             tried = extract_once(
                 todo,
                 load_model,

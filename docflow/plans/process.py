@@ -107,8 +107,8 @@ def process_chunks(
 ) -> DataFrame:
     """Run accepted requests to the end and return the chunk reports.
 
-    The tables between the stages are written once and read back: refs (so that
-    documents are looked up once), enriched refs (so that nothing downstream
+    The tables between the stages are written once and read back: work items,
+    refs (so that documents are looked up once), enriched refs (so that nothing downstream
     repeats the merge) and the publish plan. A run that was cut off goes on
     behind its last finished table when called again with the same
     ``run_path`` and ``write_id``; a finished one changes nothing.
@@ -119,7 +119,7 @@ def process_chunks(
         f"{run_path}/chunks",
         lambda: requests.select(*CHUNK_KEYS, F.current_timestamp().alias("started_at")),
     )
-    items = work_items(requests)
+    items = stored(spark, f"{run_path}/items", lambda: work_items(requests))
 
     def find_refs() -> DataFrame:
         manifests = load_manifests(items, entity_tip(only_entities(store.versions, items)))

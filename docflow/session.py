@@ -64,23 +64,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def is_marked(spark: SparkSession, path: str) -> bool:
-    """Whether a step was marked as finished."""
+def is_done(spark: SparkSession, path: str) -> bool:
+    """Whether a step has finished before."""
     try:
         return not spark.read.schema("id long").parquet(path).isEmpty()
     except AnalysisException:
         return False
 
 
-def mark(spark: SparkSession, path: str) -> None:
+def set_done(spark: SparkSession, path: str) -> None:
     spark.range(1).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def once(spark: SparkSession, path: str, action: Callable[[], None]) -> None:
     """Run a step unless it was finished before."""
-    if not is_marked(spark, path):
+    if not is_done(spark, path):
         action()
-        mark(spark, path)
+        set_done(spark, path)
 
 
 def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -112,7 +112,7 @@ def test_a_killed_run_goes_on_where_it_stopped(spark, refs, tmp_path, monkeypatc
 
     def failing(attempts, log_path, number):
         if number == stop_at:
-            # part of the round is on disk, but the round is not marked done
+            # part of the round is on disk, but the round is not flagged done
             attempts.limit(1).write.mode("overwrite").parquet(f"{log_path}/half")
             raise KeyboardInterrupt
         calls.append(number)

@@ -1,5 +1,5 @@
 from docflow import configure
-from docflow.session import SETTINGS, durable, is_marked, once, run_dir, shared_dir, stored
+from docflow.session import SETTINGS, durable, is_done, once, run_dir, shared_dir, stored
 
 
 def test_settings_and_shuffle_size(spark):
@@ -27,7 +27,7 @@ def test_files_go_below_the_shared_folder(spark):
 def test_steps_run_once(spark, tmp_path):
     runs = []
     path = str(tmp_path / "step")
-    assert not is_marked(spark, path)
+    assert not is_done(spark, path)
     for _ in range(2):
         once(spark, path, lambda: runs.append(1))
 
