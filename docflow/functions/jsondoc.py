@@ -50,12 +50,13 @@ def render_doc(text: Column, ocr: Column | None = None) -> Column:
 
     An existing ``ocr`` keeps its place, a new one goes last.
     """
-    keys = F.array_distinct(F.json_object_keys(text))
-    if ocr is not None:
-        has_ocr = F.array_contains(keys, "ocr")
-        keys = F.when(has_ocr, keys).otherwise(F.array_append(keys, F.lit("ocr")))
+    keys = F.json_object_keys(text)
+    if ocr is None:
+        keys = F.array_distinct(keys)
+    else:
+        keys = F.array_union(keys, F.array(F.lit("ocr")))
         new_value = _json_string(F.coalesce(ocr, F.lit("")))
-    fields = F.try_variant_get(parse_doc(text), "$", "map<string,variant>")
+    fields = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
 
     def line(values: Column, key: Column) -> Column:
         value = F.to_json(F.element_at(values, key))
@@ -63,13 +64,15 @@ def render_doc(text: Column, ocr: Column | None = None) -> Column:
             value = F.when(key == "ocr", new_value).otherwise(value)
         return F.concat(F.lit("  "), _json_string(key), F.lit(": "), value)
 
-    def body(values: Column) -> Column:
-        lines = F.transform(keys, lambda key: line(values, key))
-        return F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
+    def body(doc: Column) -> Column:
+        lines = F.transform(doc["keys"], lambda key: line(doc["fields"], key))
+        joined = F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
+        return F.when(F.size(doc["keys"]) == 0, F.lit("{}")).otherwise(joined)
 
-    # one-element transform: binds the parsed map once instead of once per key
-    built = F.get(F.transform(F.array(fields), body), F.lit(0))
-    return F.when(F.size(keys) == 0, F.lit("{}")).otherwise(built)
+    # one-element transform: binds keys and fields, so the text is parsed once
+    # for each and not once per line
+    parsed = F.array(F.struct(keys.alias("keys"), fields.alias("fields")))
+    return F.get(F.transform(parsed, body), F.lit(0))
 
 
 def merge_ocr(text: Column, ocr: Column) -> Column:
