@@ -37,8 +37,9 @@ WORDS = "[^ \\t-\\r]+"
 class Recipe:
     """Target of a mixture.
 
-    ``entropy``: wanted share of the largest possible entropy (None: as is).
-    ``max_passes``: no source is read more often (None: no limit).
+    ``entropy``: wanted share of the largest possible entropy (None: no target).
+    ``max_passes``: no source is read more often (None: no limit). With a limit alone the
+    mixture is as even as the limit lets it be; with neither, shares stay as they are.
     ``budget``: tokens to give out (None: as many as there are; ``"cover"``: as many as it
     takes to read each source at least once).
     ``block_tokens``: tokens of an output block.
@@ -101,7 +102,7 @@ def exponent(shares: DataFrame, recipe: Recipe) -> float:
     if not known.n:
         return 1.0
     a = F.col("mark") / top
-    chosen = top
+    chosen = top if recipe.max_passes is None else 0
     if recipe.entropy is not None:
         entropy = F.log("z") - a * F.col("s") / F.col("z")
         chosen = _first_true(shares, entropy < recipe.entropy * math.log(max(known.n, 1))) - 1
