@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.schema import CHUNK_KEYS
+from docflow.schema import CHUNK_KEYS, PI_KEYS
 from docflow.session import spread
 
 
@@ -31,42 +31,29 @@ def batch_rollup(dispatched: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
-def flatten_docs(docs: DataFrame) -> DataFrame:
-    """Nested report documents back to one row per entity and failed ref."""
-    entries = docs.select(*CHUNK_KEYS, F.explode("results").alias("r"))
-    return entries.select(
-        *CHUNK_KEYS, "r.*", F.explode_outer("r.failed_refs").alias("failed")
-    ).select(
-        *CHUNK_KEYS,
-        "pi",
-        F.col("status"),
-        "new_tip",
-        "new_version",
-        "refs_completed",
-        "refs_failed",
-        F.col("failed.filename").alias("filename"),
-        F.col("failed.error").alias("error"),
-    )
+def report_lines(entities: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row per reported entity and failed ref; an entity without any has one row."""
+    return entities.join(failed.select(*PI_KEYS, "filename", "error"), PI_KEYS, "left")
 
 
-def apply_report(node_refs: DataFrame, docs: DataFrame) -> DataFrame:
+def apply_report(node_refs: DataFrame, entities: DataFrame, failed: DataFrame) -> DataFrame:
     """Mark the refs of reported nodes.
 
     Refs listed as failed get their error, all other refs of the node are
-    complete. Nodes no report names keep their refs as they were.
+    complete. Nodes no report names keep their refs as they were. Of several
+    reports on a node the one with the newest version names its tip, and of
+    several errors of one ref the greatest stays.
     """
-    flat = flatten_docs(docs)
-    reported = flat.groupBy("pi").agg(
-        F.max("new_tip").alias("new_tip"), F.max("new_version").alias("new_version")
-    )
-    failed = flat.where(F.col("filename").isNotNull()).select(
-        "pi", "filename", F.col("error").alias("failed_error")
+    reported = entities.groupBy("pi").agg(
+        F.max_by("new_tip", "new_version").alias("new_tip"),
+        F.max("new_version").alias("new_version"),
     )
+    failed = failed.groupBy("pi", "filename").agg(F.max("error").alias("failed_error"))
     named = F.col("is_reported")
     wrong = F.col("failed_error").isNotNull()
     return (
         node_refs.join(spread(reported.withColumn("is_reported", F.lit(True))), "pi", "left")
-        .join(failed, ["pi", "filename"], "left")
+        .join(spread(failed), ["pi", "filename"], "left")
         .withColumn("ocr_error", F.when(named & wrong, F.col("failed_error")))
         .withColumn("ocr_complete", F.coalesce(named & ~wrong, F.lit(False)))
         .drop("is_reported", "failed_error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEMS_PER_PART = 4096
+from docflow.session import spread
 
 
 def item_text(kind: Column, source: Column, content: Column) -> Column:
@@ -20,31 +20,20 @@ def head_line(name: Column, depth: Column) -> Column:
     )
 
 
-def assemble_prompts(
-    items: DataFrame, keys: list[str], ord_col: str, per_part: int = ITEMS_PER_PART
+def prompt_lines(
+    items: DataFrame, keys: list[str], ord_col: str, name: Column, depth: Column
 ) -> DataFrame:
-    """Join the ``item`` texts of a group in order, with blank lines between.
+    """Prompts as one row per piece: keys, ``piece`` and ``line``.
 
-    ``ord_col`` counts the items of a group from 0. A group of more than
-    ``per_part`` items comes as several rows, numbered by ``part``, whose texts
-    joined by a blank line are the whole prompt: no task has to hold all of a
-    huge group, and nothing is cut off.
+    Piece 0 of a group is its head line, whatever its items' numbers start with;
+    the items follow in the order of ``ord_col``. Pieces joined by blank lines are the
+    prompt. The form is the same for a group of any size, and no task has to
+    hold a group. ``name`` and ``depth`` must be the same for all rows of a group.
     """
-    part = F.floor(F.col(ord_col) / per_part).cast("long")
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(ord_col), F.col("item"))))
-    return (
-        items.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(ordered.alias("_items"))
-        .select(
-            *keys,
-            "part",
-            F.array_join(F.transform("_items", lambda i: i["item"]), "\n\n").alias("prompt"),
-        )
+    groups = items.groupBy(*keys).agg(
+        F.min(ord_col).alias("_first"), F.first(head_line(name, depth)).alias("line")
     )
-
-
-def with_head(prompts: DataFrame, name: Column, depth: Column) -> DataFrame:
-    """Put the head line in front of the first part."""
-    head = F.concat(head_line(name, depth), F.lit("\n\n"), F.col("prompt"))
-    return prompts.withColumn("prompt", F.when(F.col("part") == 0, head).otherwise(F.col("prompt")))
+    heads = groups.select(*keys, F.lit(0).cast("long").alias("piece"), "line")
+    placed = items.join(spread(groups.select(*keys, "_first")), keys)
+    piece = (F.col(ord_col) - F.col("_first") + 1).cast("long")
+    return heads.unionByName(placed.select(*keys, piece.alias("piece"), F.col("item").alias("line")))

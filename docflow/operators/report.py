@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.scalars import elapsed_ms, falsy_to, status_of_phase
-from docflow.operators.bounded import ARRAY_LIMIT, bounded_collect
 from docflow.schema import CHUNK_KEYS
 from docflow.session import spread
 
 UNKNOWN_ERROR = "Unknown error"
-RESULTS_LIMIT = 100
 _COUNTERS = ["total_refs", "completed", "failed", "skipped", "pending"]
 
 
@@ -57,18 +55,6 @@ def failed_refs(refs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def failed_lists(
-    failed: DataFrame,
-    keys: list[str],
-    limit: int = ARRAY_LIMIT,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Failed refs as arrays of bounded size; ``part`` > 0 only for large entities."""
-    return bounded_collect(
-        failed, keys, F.struct("filename", "error"), ["filename"], "failed_refs", limit, sizes
-    )
-
-
 def chunk_report(chunks: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     """One row per chunk: status, counters, elapsed time, error.
 
@@ -105,54 +91,16 @@ def chunk_report(chunks: DataFrame, results: DataFrame, as_of: Column) -> DataFr
     )
 
 
-def report_docs(
-    report: DataFrame,
-    results: DataFrame,
-    failed: DataFrame,
-    results_limit: int = RESULTS_LIMIT,
-    failed_limit: int = ARRAY_LIMIT,
-) -> DataFrame:
-    """Nested report documents.
-
-    A chunk of ordinary size gives one document. A larger one gives several,
-    told apart by ``part``; an entity with very many failed refs appears with
-    several entries that differ in ``failed_refs`` only.
-
-    ``results`` is read for the entries and for both kinds of size, so it should
-    be a stored table.
-    """
-    pi_keys = [*CHUNK_KEYS, "pi"]
-    n_failed = results.select(*pi_keys, F.col("refs_failed").alias("n_rows"))
-    lists = failed_lists(
-        failed.select(*pi_keys, "filename", "error"),
-        pi_keys,
-        failed_limit,
-        n_failed.where(F.col("n_rows") > 0),
-    )
-    n_lists = F.greatest(F.lit(1), F.ceil(F.col("refs_failed") / failed_limit))
-    n_entries = results.groupBy(*CHUNK_KEYS).agg(F.sum(n_lists).alias("n_rows"))
-    lists = lists.withColumnRenamed("part", "failed_part")
-    entries = results.join(lists, pi_keys, "left")
-    entry = F.struct(
-        F.col("pi"),
-        F.col("status"),
-        F.nullif(F.col("new_tip"), F.lit("")).alias("new_tip"),
-        F.nullif(F.col("new_version"), F.lit(0)).alias("new_version"),
-        F.col("refs_completed"),
-        F.col("refs_failed"),
-        F.col("failed_refs"),
-    )
-    arrays = bounded_collect(
-        entries, CHUNK_KEYS, entry, ["pi", "failed_part"], "results", results_limit, n_entries
-    )
-    summary = F.struct("total_refs", "completed", "failed", "skipped", "processing_time_ms")
-    return report.join(arrays, CHUNK_KEYS, "left").select(
+def entity_rows(results: DataFrame) -> DataFrame:
+    """The entity table of the reports."""
+    return results.select(
         *CHUNK_KEYS,
-        F.coalesce(F.col("part"), F.lit(0)).cast("long").alias("part"),
+        "pi",
         "status",
-        "results",
-        summary.alias("summary"),
-        "error",
+        F.nullif(F.col("new_tip"), F.lit("")).alias("new_tip"),
+        F.nullif(F.col("new_version"), F.lit(0)).alias("new_version"),
+        "refs_completed",
+        "refs_failed",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.scalars import network_tag, version_note
-from docflow.operators.bounded import ARRAY_LIMIT, bounded_collect
+from docflow.operators.ordered import dense_index
 from docflow.session import durable, spread
 
 CAS_TRIES = 3
@@ -64,21 +64,16 @@ def publish_plan(refs: DataFrame, keys: list[str]) -> DataFrame:
     return parts.join(spread(notes), keys)
 
 
-def component_maps(refs: DataFrame, keys: list[str], limit: int = ARRAY_LIMIT) -> DataFrame:
-    """The plan as maps of bounded size; ``part`` > 0 only for very large entities."""
-    parts = publishable(refs).select(*keys, "filename", "result_cid")
-    entry = F.struct("filename", "result_cid")
-    arrays = bounded_collect(parts, keys, entry, ["filename"], "entries", limit)
-    return arrays.select(*keys, "part", F.map_from_entries("entries").alias("components"))
-
-
-def next_tip(entity: Column, ver: Column, update_id: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[c.cast("string") for c in (entity, ver, update_id)]), 256)
+def next_tip(entity: Column, ver: Column, *update_id: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *[c.cast("string") for c in (entity, ver, *update_id)]), 256)
 
 
 def cas_plan(updates: DataFrame, tips: DataFrame, tries: int = CAS_TRIES) -> DataFrame:
     """Which updates commit, in which round, and which end as conflicts.
 
+    The tries are for tips that another writer moved; updates planned on
+    current tips go through ``chain_updates``, which has no such limit.
+
     Each round one update per entity commits: in round 1 the first by
     ``update_id`` whose ``expect_tip`` is the current tip, afterwards the first
     of the rest, since all others then hold a refreshed tip. An update not
@@ -140,6 +135,52 @@ def cas_plan(updates: DataFrame, tips: DataFrame, tries: int = CAS_TRIES) -> Dat
     )
 
 
+def chain_updates(
+    updates: DataFrame, tips: DataFrame, update_keys: list[str] | None = None
+) -> DataFrame:
+    """Versions for updates that are planned on the current tips: all commit.
+
+    The updates of an entity follow each other in the order of ``update_keys``
+    (default ``update_id``), each on top of the one before. Only an entity without
+    a tip fails. The version is the tip's plus the rank among the entity's
+    updates: a global rank minus the entity's first one, so an entity with a third of all
+    updates is spread over many tasks.
+    """
+    update_keys = update_keys or ["update_id"]
+    order = [F.col(c) for c in ("entity", *update_keys)]
+    ranked = durable(dense_index(updates, order, "_rank"))
+    first = ranked.groupBy("entity").agg(F.min("_rank").alias("_first"))
+    current = tips.select("entity", F.col("tip").alias("cur_tip"), F.col("ver").alias("cur_ver"))
+    heads = durable(first.join(current, "entity", "left"))
+    base = ranked.join(spread(heads), "entity")
+    committed = F.col("cur_tip").isNotNull()
+    version = F.col("cur_ver") + F.col("_rank") - F.col("_first") + 1
+    tip = next_tip(F.col("entity"), F.col("new_version"), *[F.col(c) for c in update_keys])
+    base = base.withColumn("new_version", F.when(committed, version)).withColumn(
+        "new_tip", F.when(committed, tip)
+    )
+    # the row before it in the global order is the entity's version before
+    last = base.select(
+        (F.col("_rank") + 1).alias("_rank"),
+        F.col("entity").alias("_entity"),
+        F.col("new_tip").alias("_last"),
+    )
+    name = F.col("entity").cast("string")
+    return (
+        base.join(last, "_rank", "left")
+        .withColumn("committed", committed)
+        .withColumn(
+            "prev_tip",
+            F.when(F.col("_rank") == F.col("_first"), F.col("cur_tip")).otherwise(F.col("_last")),
+        )
+        .withColumn(
+            "entity_error",
+            F.when(~committed, F.concat(F.lit("Entity not found: "), name)),
+        )
+        .drop("cur_tip", "cur_ver", "_rank", "_first", "_entity", "_last")
+    )
+
+
 def version_rows(plan: DataFrame) -> DataFrame:
     """Rows to append to the versions table for the committed part of a plan."""
     return plan.where("committed").select(

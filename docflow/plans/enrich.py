@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ from docflow.functions.scalars import (
 )
 from docflow.functions.urls import url_variants
 from docflow.operators.contents import content_id
-from docflow.operators.fold import MAX_RETRIES, SEGMENT_ROWS, attempt_fold
+from docflow.operators.fold import MAX_RETRIES
 from docflow.plans.extract import Model, extract_once
 from docflow.schema import ATTEMPTS, REF_KEYS
 from docflow.session import is_done, set_done
@@ -27,20 +30,35 @@ from docflow.session import is_done, set_done
 
 @dataclass(frozen=True)
 class Policy:
-    """Limits of the loop. ``pause`` receives the seconds to wait after a round
-    with rate limits; leave it out to go on at once."""
+    """Limits of the loop.
+
+    ``max_rounds``: rounds after which this call stops; what is still pending
+    then stays pending, and a later call goes on. ``concurrency``: tasks that call
+    the model at once (default: the session's parallelism), each with ``threads``
+    calls in flight. ``pause`` receives the seconds to wait after a round with rate
+    limits; None goes on at once. ``model_key`` names the model: a worker keeps it
+    loaded over tasks and rounds.
+    """
 
     cdn_host: str
     max_retries: int = MAX_RETRIES
-    max_rounds: int = 50
+    max_rounds: int | None = None
     concurrency: int | None = None
     threads: int = 4
     call_size: int = 16
-    pause: Callable[[float], None] | None = None
+    pause: Callable[[float], None] | None = time.sleep
+    model_key: str | None = None
 
     def __post_init__(self):
-        if not 0 < self.max_rounds < SEGMENT_ROWS:
-            raise ValueError(f"max_rounds must lie between 1 and {SEGMENT_ROWS - 1}")
+        if self.max_rounds is not None and self.max_rounds < 1:
+            raise ValueError("max_rounds must be at least 1")
+
+
+class Rounds(NamedTuple):
+    """The last round that ran, and whether no ref is pending any more."""
+
+    number: int
+    finished: bool
 
 
 def _flag(log_path: str, number: int) -> str:
@@ -89,14 +107,15 @@ def run_rounds(
     log_path: str,
     policy: Policy,
     payload: str | None = None,
-) -> int:
+) -> Rounds:
     """Attempt every pending ref once per round until none is left.
 
     ``refs`` must be a stored table; it needs the ref keys, ``cdn_url`` and
     ``ref_data_json``. Each attempt row carries the failure count of its ref, so
     the next round's work follows from the last round alone and the whole log
     is never re-folded inside the loop. A round that was cut off is repeated
-    from its start; finished rounds are not run again. Returns the last round.
+    from its start; finished rounds are not run again. With ``max_rounds`` this
+    call may stop early; the next one goes on behind the last finished round.
     """
     spark = refs.sparkSession
     extra = [payload] if payload else []
@@ -109,8 +128,9 @@ def run_rounds(
         rows = rows.select(*REF_KEYS, urls.alias("_urls"), *extra)
         return rows.select(*REF_KEYS, "_urls.primary", "_urls.fallback", *extra)
 
-    streak = 0
-    for number in range(1, policy.max_rounds + 1):
+    streak, called = 0, 0
+    tasks = policy.concurrency or spark.sparkContext.defaultParallelism
+    for number in count(1):
         if number == 1:
             missing = F.coalesce(doc, F.lit("")) == ""
             open_refs = refs.where(~missing & ~is_truthy(parse_doc(doc), "ocr"))
@@ -118,10 +138,13 @@ def run_rounds(
         else:
             pending = _still_pending(read_log(spark, log_path, number - 1), policy.max_retries)
             if pending.isEmpty():
-                return number - 1
+                return Rounds(number - 1, True)
             # the keys say enough: documents are neither read nor parsed again
             todo = addressed(refs).join(pending, REF_KEYS)
         if not is_done(spark, _flag(log_path, number)):
+            if called == policy.max_rounds:
+                return Rounds(number - 1, False)
+            called += 1
             tried = extract_once(
                 todo,
                 load_model,
@@ -129,9 +152,10 @@ def run_rounds(
                 seq=number,
                 payload=payload,
                 carry=["fails"],
-                concurrency=policy.concurrency,
+                concurrency=tasks,
                 threads=policy.threads,
                 call_size=policy.call_size,
+                model_key=policy.model_key,
             )
             failed = F.col("outcome").isin("rate_limit", "transient").cast("long")
             tried = tried.withColumn("fails", F.col("fails") + failed).withColumn(
@@ -143,7 +167,6 @@ def run_rounds(
             streak = 0 if limited.isEmpty() else streak + 1
             if streak:
                 policy.pause(_delay_seconds(streak))
-    return policy.max_rounds
 
 
 def _delay_seconds(streak: int) -> float:
@@ -152,13 +175,29 @@ def _delay_seconds(streak: int) -> float:
 
 
 def ref_status(spark: SparkSession, log_path: str, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """Status of every attempted ref, folded from the whole log.
+    """Status of every attempted ref.
 
-    The number of rounds is bounded well below the segment size, hence one
-    segment per ref. Texts stay out of the fold.
+    The loop attempts a ref until it has ended and no further, and each row carries
+    the failures so far: a ref's last row decides. Texts stay out of it.
     """
-    return attempt_fold(
-        read_log(spark, log_path), max_retries=max_retries, carry=["seq"], one_segment=True
+    last = F.max_by(F.struct("seq", "outcome", "fails", "message"), "seq").alias("l")
+    folded = read_log(spark, log_path).groupBy(*REF_KEYS).agg(last)
+    outcome, spent = F.col("l.outcome"), F.col("l.fails") >= max_retries
+    status = (
+        F.when(outcome.isin("done", "skipped"), outcome)
+        .when((outcome == "permanent") | ((outcome == "transient") & spent), "error")
+        .otherwise("pending")
+    )
+    error = F.when(outcome == "permanent", F.col("l.message")).when(
+        (outcome == "transient") & spent,
+        F.concat(F.lit(f"Failed after {max_retries} retries: "), F.col("l.message")),
+    )
+    return folded.select(
+        *REF_KEYS,
+        status.alias("status"),
+        F.col("l.fails").alias("retry_count"),
+        error.alias("error"),
+        F.col("l.seq").alias("seq"),
     )
 
 
@@ -174,7 +213,9 @@ def enriched_refs(refs: DataFrame, log_path: str, max_retries: int = MAX_RETRIES
         .where(F.col("outcome") == "done")
         .select(*REF_KEYS, "seq", "text", "tokens")
     )
-    joined = refs.join(status, REF_KEYS, "left").join(texts, [*REF_KEYS, "seq"], "left")
+    # both are slim and have one row per ref; the documents are shuffled once
+    ended = status.join(texts, [*REF_KEYS, "seq"], "left")
+    joined = refs.join(ended, REF_KEYS, "left")
     old = F.col("ref_data_json")
     done, skipped = F.col("status") == "done", F.col("status") == "skipped"
     document = F.when(done, merge_ocr(old, F.col("text"))).when(skipped, render_doc(old))

@@ -37,14 +37,34 @@ Model = Callable[[list[Request]], list[Result]]
 
 
 def _guarded(model: Model, requests: list[Request]) -> list[Result]:
-    """A model that raises fails its requests, never the task."""
+    """A model that raises fails its requests, never the task.
+
+    A call with several requests that raises or gives a wrong number of results
+    is repeated request by request, so that each fails or succeeds on its own.
+    """
     try:
         results = list(model(requests))
-    except Exception as problem:  # noqa: BLE001 - any failure is an outcome here
-        return [Result(error=str(problem) or type(problem).__name__)] * len(requests)
-    if len(results) != len(requests):
-        return [Result(error="model returned a wrong number of results")] * len(requests)
-    return results
+        if len(results) == len(requests):
+            return results
+        problem = "model returned a wrong number of results"
+    except Exception as raised:  # noqa: BLE001 - any failure is an outcome here
+        problem = str(raised) or type(raised).__name__
+    if len(requests) == 1:
+        return [Result(error=problem)]
+    return [_guarded(model, [request])[0] for request in requests]
+
+
+_LOADED: dict[str, Model] = {}
+
+
+def _loaded(load_model: Callable[[], Model], model_key: str | None) -> Model:
+    """The model of this worker: loaded once per key, or per task without one."""
+    if model_key is None:
+        return load_model()
+    if model_key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[model_key] = load_model()
+    return _LOADED[model_key]
 
 
 def _call_all(model: Model, requests: list[Request], pool: ThreadPoolExecutor, size: int):
@@ -62,10 +82,12 @@ def extract_once(
     concurrency: int | None = None,
     threads: int = 4,
     call_size: int = 16,
+    model_key: str | None = None,
 ) -> DataFrame:
     """Run the model once over ``todo`` (keys, ``primary``, ``fallback``).
 
-    The model is loaded once per task and called with up to ``call_size``
+    The model is loaded once per worker that sees ``model_key`` (without one,
+    once per task) and called with up to ``call_size``
     requests from ``threads`` threads; calls in flight are tasks x threads.
     ``concurrency`` sets the number of tasks; without it the partitions stay as
     they are and nothing is shuffled. A failed primary call that the rules allow
@@ -92,7 +114,7 @@ def extract_once(
     kept_names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model()
+        model = _loaded(load_model, model_key)
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
                 loads = batch[payload].tolist() if payload else [None] * len(batch)

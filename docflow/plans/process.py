@@ -8,23 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.functions.scalars import chunk_label
+from docflow.functions.scalars import elapsed_ms, status_of_phase
 from docflow.operators.contents import put_contents
 from docflow.operators.discover import discover_refs, load_manifests
-from docflow.operators.report import chunk_report, failed_refs, pi_results, report_docs
+from docflow.operators.report import chunk_progress, chunk_report, failed_refs, pi_results
 from docflow.operators.requests import admit, validate_requests, work_items
 from docflow.operators.versions import (
-    cas_plan,
+    chain_updates,
     entity_tip,
     manifest_merge,
     only_entities,
     publish_heads,
     publishable,
 )
-from docflow.plans.enrich import Policy, enrich
+from docflow.plans.enrich import Policy, enriched_refs, ref_status, run_rounds
 from docflow.plans.extract import Model
-from docflow.schema import CHUNK_KEYS, PI_KEYS, key_violations
-from docflow.session import once, stored
+from docflow.schema import CHUNK_KEYS, PI_KEYS, REF_KEYS, key_violations
+from docflow.session import is_done, once, stored
 from docflow.sources.sinks import append_versions, write_contents, write_reports
 
 
@@ -65,31 +65,28 @@ def accept_requests(requests: DataFrame, chunk_status: DataFrame) -> tuple[DataF
 def publish(
     pis: DataFrame, ref_results: DataFrame, store: Store, run_path: str, write_id: str
 ) -> DataFrame:
-    """Append new versions; returns the entities with tip, version and error."""
+    """Append new versions; returns the entities with tip, version and error.
+
+    An update is one entity in one chunk: batch and chunk stay two columns.
+    """
     spark = pis.sparkSession
-    update_id = chunk_label(F.col("batch_id"), F.col("chunk_id"))
 
     def plan_versions() -> DataFrame:
         tips = entity_tip(only_entities(store.versions, pis))
         heads = publish_heads(pis, ref_results, PI_KEYS).withColumnRenamed("pi", "entity")
-        updates = (
-            heads.where(F.col("n_components") > 0)
-            .join(tips.select("entity", F.col("tip").alias("expect_tip")), "entity", "left")
-            .withColumn("update_id", update_id)
-        )
-        return cas_plan(updates, tips)
+        return chain_updates(heads.where(F.col("n_components") > 0), tips, CHUNK_KEYS)
 
     plan = stored(spark, f"{run_path}/plan", plan_versions)
     components = publishable(ref_results).select(
         F.col("pi").alias("entity"),
-        update_id.alias("update_id"),
+        *CHUNK_KEYS,
         "filename",
         F.col("result_cid").alias("cid"),
     )
     once(
         spark,
         f"{run_path}/published",
-        lambda: append_versions(plan, components, store.path, write_id),
+        lambda: append_versions(plan, components, store.path, write_id, CHUNK_KEYS),
     )
     outcome = plan.select(
         *CHUNK_KEYS, F.col("entity").alias("pi"), "new_tip", "new_version", "entity_error"
@@ -107,6 +104,10 @@ def process_chunks(
 ) -> DataFrame:
     """Run accepted requests to the end and return the chunk reports.
 
+    If the policy limits the rounds and refs are still pending after them, nothing is
+    published or reported: the result says which chunks are processing and how far
+    they are, and the next call goes on.
+
     The tables between the stages are written once and read back: work items,
     refs (so that documents are looked up once), enriched refs (so that nothing downstream
     repeats the merge) and the publish plan. A run that was cut off goes on
@@ -128,10 +129,12 @@ def process_chunks(
         return discover_refs(known, latest, store.contents)
 
     refs = stored(spark, f"{run_path}/refs", find_refs)
+    log = f"{run_path}/log"
+    if not is_done(spark, f"{run_path}/ref_results/done"):
+        if not run_rounds(refs, load_model, log, policy).finished:
+            return _in_between(chunks, refs, ref_status(spark, log, policy.max_retries))
     results = stored(
-        spark,
-        f"{run_path}/ref_results",
-        lambda: enrich(refs, load_model, f"{run_path}/log", policy),
+        spark, f"{run_path}/ref_results", lambda: enriched_refs(refs, log, policy.max_retries)
     )
 
     def put_new() -> None:
@@ -154,6 +157,33 @@ def process_chunks(
         f"{run_path}/chunk_reports",
         lambda: chunk_report(ended, entities, F.current_timestamp()),
     )
-    docs = report_docs(report, entities, failed_refs(slim, PI_KEYS))
-    once(spark, f"{run_path}/reported", lambda: write_reports(docs, f"{run_path}/report_docs"))
+    failed = failed_refs(slim, PI_KEYS)
+    path = f"{run_path}/reports"
+    once(spark, f"{run_path}/reported", lambda: write_reports(report, entities, failed, path))
     return report
+
+
+def _in_between(chunks: DataFrame, refs: DataFrame, status: DataFrame) -> DataFrame:
+    """Chunk reports of a run that is not over: no chunk has an outcome yet.
+
+    Chunks with pending refs are being processed; the others wait to be published.
+    """
+    known = refs.select(*REF_KEYS).join(status, REF_KEYS, "left")
+    counts = chunk_progress(known.withColumn("status", F.coalesce("status", F.lit("pending"))))
+    phase = F.when(F.col("pending") > 0, "PROCESSING").otherwise("PUBLISHING")
+    return (
+        chunks.join(counts, CHUNK_KEYS, "left")
+        .fillna(0, ["total_refs", "completed", "failed", "skipped", "pending"])
+        .select(
+            *CHUNK_KEYS,
+            status_of_phase(phase).alias("status"),
+            "total_refs",
+            "completed",
+            "failed",
+            "skipped",
+            elapsed_ms(F.col("started_at"), F.lit(None), F.current_timestamp()).alias(
+                "processing_time_ms"
+            ),
+            F.lit(None).cast("string").alias("error"),
+        )
+    )

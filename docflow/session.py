@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,9 +44,15 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Only a session in one process may go without it and gets a temporary folder;
+    on a cluster, executors would not see that.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docflow-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -64,11 +71,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_missing(problem: AnalysisException) -> bool:
+    """Whether a read failed because nothing was written there yet."""
+    return problem.getCondition() == "PATH_NOT_FOUND"
+
+
 def is_done(spark: SparkSession, path: str) -> bool:
     """Whether a step has finished before."""
     try:
         return not spark.read.schema("id long").parquet(path).isEmpty()
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not is_missing(problem):
+            raise
         return False
 
 

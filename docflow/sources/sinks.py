@@ -9,34 +9,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.report import entity_rows
 from docflow.operators.versions import version_rows
+from docflow.schema import CHUNK_KEYS, PI_KEYS
 
 
 def write_contents(new_rows: DataFrame, path: str, write_id: str) -> None:
     new_rows.select("cid", "content").write.mode("overwrite").parquet(f"{path}/write={write_id}")
 
 
-def append_versions(plan: DataFrame, components: DataFrame, path: str, write_id: str) -> None:
-    """Append the committed part of a CAS plan.
+def append_versions(
+    plan: DataFrame,
+    components: DataFrame,
+    path: str,
+    write_id: str,
+    update_keys: list[str] | None = None,
+) -> None:
+    """Append the committed part of a plan.
 
-    ``components`` is in long form: entity, update_id, filename, cid.
+    ``components`` is in long form: entity, the ``update_keys`` (default
+    update_id), filename, cid.
     ``plan`` is read twice, so it should be a stored table. The version row is
     written last: components without a version row are invisible to readers
     that join from versions. One writer at a time is assumed, as plain files
     have no transaction log.
     """
-    won = plan.where("committed").select("entity", "update_id", F.col("new_version").alias("ver"))
-    rows = components.join(won, ["entity", "update_id"])
+    keys = ["entity", *(update_keys or ["update_id"])]
+    won = plan.where("committed").select(*keys, F.col("new_version").alias("ver"))
+    rows = components.join(won, keys)
     rows = rows.select("entity", "ver", "filename", "cid")
     rows.write.mode("overwrite").parquet(f"{path}/components/write={write_id}")
     version_rows(plan).write.mode("overwrite").parquet(f"{path}/versions/write={write_id}")
 
 
-def write_reports(docs: DataFrame, path: str) -> None:
-    """Nested report documents as JSON, one folder per batch.
+def write_reports(
+    report: DataFrame, entities: DataFrame, failed: DataFrame, path: str
+) -> None:
+    """Reports as three flat tables: chunks, entities, failed refs.
 
-    The rebalance hint gathers a batch into few files and still splits a batch
-    that is far larger than the others.
+    Their form does not depend on any size. Rows are sorted by batch and chunk inside
+    the files, so a reader of one batch skips most of each file; there is no folder
+    per batch. The chunks come last: entities without their chunk are unfinished.
     """
-    spread = docs.hint("rebalance", F.col("batch_id"))
-    spread.write.mode("overwrite").partitionBy("batch_id").json(path)
+    tables = (
+        ("failed_refs", failed.select(*PI_KEYS, "filename", "error")),
+        ("entities", entity_rows(entities)),
+        ("chunks", report),
+    )
+    for name, rows in tables:
+        ordered = rows.hint("rebalance", F.col("batch_id")).sortWithinPartitions(*CHUNK_KEYS)
+        ordered.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from docflow import schema
 
@@ -35,9 +34,6 @@ def read_contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.CONTENTS).parquet(path)
 
 
-def read_reports(
-    spark: SparkSession, path: str, columns: StructType | None = None
-) -> DataFrame:
-    """Report documents as written by ``write_reports``."""
-    reader = spark.read.schema(columns) if columns else spark.read
-    return reader.json(path)
+def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, entities, failed refs) as written by ``write_reports``."""
+    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "entities", "failed_refs"))

@@ -8,8 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.operators.versions import cas_plan, entity_tip, only_entities
+from docflow.operators.versions import chain_updates, entity_tip, only_entities
 from docflow.schema import CHUNK_KEYS
+from docflow.session import is_missing, spread
 from docflow.sources.sinks import append_versions
 
 
@@ -18,7 +19,9 @@ def _other_writes(spark: SparkSession, path: str, schema: str, label: str, this)
     try saw."""
     try:
         stored = spark.read.schema(f"{schema}, {label} string").parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not is_missing(problem):
+            raise
         return spark.createDataFrame([], schema)
     return stored.where(F.col(label) != str(this)).drop(label)
 
@@ -39,8 +42,12 @@ def write_complete_chunks(
     def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = _other_writes(spark, path, f"{key_schema}, total_refs long", "batch", batch_id)
-        full = batch.join(totals, keys).where(F.col("n_final") >= F.col("total_refs"))
-        new = full.select(*keys, "total_refs").join(known.select(*keys), keys, "left_anti")
+        # both tables are cut down to the chunks of this micro-batch first
+        touched = spread(batch.select(*keys))
+        due = totals.join(touched, keys, "left_semi")
+        seen = known.select(*keys).join(touched, keys, "left_semi")
+        full = batch.join(due, keys).where(F.col("n_final") >= F.col("total_refs"))
+        new = full.select(*keys, "total_refs").join(seen, keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
@@ -63,7 +70,8 @@ def publish_batches(
 
     ``versions`` gives the versions stored before the stream; what the stream
     itself appended is added from its own folders. A repeated micro-batch plans
-    against the same tips and replaces its own folders.
+    against the same tips and replaces its own folders. Every update of a known
+    entity commits, however the stream is cut into micro-batches.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -75,10 +83,8 @@ def publish_batches(
         )
         touched = batch.select(F.col("entity").alias("pi"))
         tips = entity_tip(only_entities(base.unionByName(own), touched))
-        current = tips.select("entity", F.col("tip").alias("expect_tip"))
-        fresh = batch.join(current, "entity", "left")
         plan_path = f"{path}/plans/write={batch_id}"
-        cas_plan(fresh, tips).write.mode("overwrite").parquet(plan_path)
+        chain_updates(batch, tips).write.mode("overwrite").parquet(plan_path)
         append_versions(spark.read.parquet(plan_path), components, path, str(batch_id))
 
     return (

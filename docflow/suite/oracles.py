@@ -152,6 +152,38 @@ found_v AS (
   WHERE m.filename LIKE '%.ref.json'
     AND m.partkey % 19 <> 0 AND m.partkey % 13 <> 0 AND m.partkey % 11 <> 0)"""
 
+PROCESSED = f"""
+WITH {FOUND},
+s AS (
+  SELECT *, CASE WHEN partkey % 5 = 0 THEN 'skipped' WHEN partkey % 3 = 0 OR partkey % 7 = 0
+    THEN 'error' ELSE 'done' END AS status FROM found_v),
+p AS (
+  SELECT c_custkey AS pi, CAST(floor(c_custkey / 10.0) AS BIGINT) AS chunk_id,
+    COUNT(s.pi) AS total_refs, COUNT(CASE WHEN status = 'done' THEN 1 END) AS completed,
+    COUNT(CASE WHEN status = 'error' THEN 1 END) AS failed,
+    COUNT(CASE WHEN status = 'skipped' THEN 1 END) AS skipped
+  FROM customer LEFT JOIN s ON s.pi = c_custkey GROUP BY 1, 2),
+q AS (
+  SELECT *, CASE WHEN failed > 0 AND completed + skipped > 0 THEN 'partial'
+    WHEN failed > 0 THEN 'error' ELSE 'success' END AS status FROM p)
+SELECT CAST(chunk_id AS VARCHAR) AS chunk_id,
+  CASE WHEN bool_and(status = 'success') THEN 'success' WHEN bool_and(status = 'error')
+    THEN 'error' ELSE 'partial' END AS status,
+  CAST(SUM(total_refs) AS BIGINT) AS total_refs, CAST(SUM(completed) AS BIGINT) AS completed,
+  CAST(SUM(failed) AS BIGINT) AS failed, CAST(SUM(skipped) AS BIGINT) AS skipped
+FROM q GROUP BY chunk_id"""
+
+PUBLISHED = f"""{FOUND},
+states_v AS (
+  SELECT *, 'text of part ' || CAST(partkey AS VARCHAR) AS old_text,
+    CASE WHEN partkey % 5 = 0 THEN 'skipped' WHEN partkey % 3 = 0 OR partkey % 7 = 0 THEN 'error'
+      ELSE 'done' END AS status FROM found_v),
+versions_v AS (
+  SELECT CAST(s.pi AS VARCHAR) AS entity, CAST(s.chunk_id AS VARCHAR) AS chunk_id,
+    t.ver + 1 AS ver, t.tip AS prev_tip, COUNT(*) AS n
+  FROM states_v s JOIN tips_v t ON t.entity = s.pi
+  WHERE s.status IN ('done', 'skipped') GROUP BY 1, 2, 3, 4)"""
+
 URLS = """
 urls_v AS (
   SELECT page_id, html, CASE page_id % 4
@@ -269,10 +301,13 @@ SELECT CASE c_custkey % 3 WHEN 0 THEN 'II' WHEN 1 THEN 'ii' ELSE '01' END
 FROM customer""",
     "doc_merge": """
 SELECT doc_id,
-  CASE WHEN doc_id % 11 = 0 THEN ''
+  CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ''
     ELSE 'https://docs.example.org/' || source || '/' || CAST(doc_id AS VARCHAR) END AS url,
-  doc_id AS inner_id, lang, source, sha256(text || ' "end"' || chr(10)) AS ocr_id
-FROM documents WHERE doc_id % 13 <> 0""",
+  CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS inner_id,
+  CASE WHEN doc_id % 13 <> 0 THEN lang END AS lang,
+  CASE WHEN doc_id % 13 <> 0 THEN source END AS source,
+  CASE WHEN doc_id % 13 <> 0 THEN sha256(text || ' "end"' || chr(10)) END AS ocr_id
+FROM documents""",
     "manifest_lookup": f"""
 WITH {TIPS}
 SELECT p_partkey AS pi, tip, ver,
@@ -300,9 +335,10 @@ SELECT CAST(floor(c_custkey / 10.0) AS BIGINT) AS chunk_id, COUNT(*) AS total_pi
   COUNT(*) - COUNT(n) AS pis_without_refs
 FROM customer LEFT JOIN n ON pi = c_custkey GROUP BY 1""",
     "skip_enriched": """
-SELECT doc_id, doc_id % 5 = 0 AND text <> '' AS skipped,
-  CASE WHEN doc_id % 5 = 0 AND text <> '' THEN length(text) END AS ocr_text_length
-FROM documents WHERE doc_id % 13 <> 0""",
+SELECT doc_id, doc_id % 5 = 0 AND doc_id % 13 <> 0 AND text <> '' AS skipped,
+  CASE WHEN doc_id % 5 = 0 AND doc_id % 13 <> 0 AND text <> '' THEN length(text) END
+    AS ocr_text_length
+FROM documents""",
     "content_put": """
 SELECT DISTINCT sha256(text) AS cid, length(text) AS size FROM documents
 WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')""",
@@ -431,13 +467,22 @@ SELECT batch_id, COUNT(*) AS n_chunks,
   COUNT(*) = COUNT(status) AS all_ended
 FROM s GROUP BY batch_id""",
     "apply_report": f"""
-WITH {RESULTS}
-SELECT f.pi, r.pi IS NOT NULL AS ocr_complete,
-  CASE WHEN r.pi IS NULL THEN 0 ELSE COUNT(CASE WHEN f.status = 'error' THEN 1 END) END
-    AS n_errors,
-  r.new_tip, r.new_version
-FROM refs_v f LEFT JOIN results_v r ON r.pi = f.pi AND r.chunk_id % 5 <> 0
-GROUP BY f.pi, r.pi, r.new_tip, r.new_version""",
+WITH {RESULTS},
+n AS (
+  SELECT f.pi, r.pi IS NOT NULL AS ocr_complete,
+    CASE WHEN r.pi IS NULL THEN 0 ELSE COUNT(CASE WHEN f.status = 'error' THEN 1 END) END
+      AS n_errors,
+    r.new_tip, r.new_version
+  FROM refs_v f LEFT JOIN results_v r ON r.pi = f.pi AND r.chunk_id % 5 <> 0
+  GROUP BY f.pi, r.pi, r.new_tip, r.new_version)
+SELECT pi, ocr_complete, n_errors,
+  CASE WHEN ocr_complete AND pi % 6 = 0 THEN 'aaa'
+    WHEN ocr_complete AND pi % 3 = 0 AND COALESCE(new_version, -1) < 0 THEN 'zzz'
+    ELSE new_tip END AS new_tip,
+  CASE WHEN ocr_complete AND pi % 6 = 0 THEN 9
+    WHEN ocr_complete AND pi % 3 = 0 THEN GREATEST(COALESCE(new_version, 0), 0)
+    ELSE new_version END AS new_version
+FROM n""",
     "cost_rollup": """
 SELECT source, COUNT(*) AS n_calls, CAST(SUM(n_chars) AS BIGINT) AS prompt_tokens,
   CAST(SUM(doc_id % 100) AS BIGINT) AS completion_tokens,
@@ -445,13 +490,12 @@ SELECT source, COUNT(*) AS n_calls, CAST(SUM(n_chars) AS BIGINT) AS prompt_token
     AS cost_usd
 FROM documents GROUP BY source""",
     "assemble_prompts": """
-SELECT conv_id, CAST(floor(turn / 4096.0) AS BIGINT) AS part,
-  CASE WHEN floor(turn / 4096.0) = 0
-    THEN 'Directory: ' || CAST(conv_id AS VARCHAR) || ' (depth 1)' || chr(10) || chr(10)
-    ELSE '' END
-  || string_agg('## ' || upper(role) || ': ' || CAST(turn AS VARCHAR) || chr(10) || text,
-    chr(10) || chr(10) ORDER BY turn) AS prompt
-FROM conversations GROUP BY conv_id, floor(turn / 4096.0)""",
+SELECT conv_id, 0 AS piece, 'Directory: ' || CAST(conv_id AS VARCHAR) || ' (depth 1)' AS line
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+UNION ALL
+SELECT conv_id, turn - MIN(turn) OVER (PARTITION BY conv_id) + 1 AS piece,
+  '## ' || upper(role) || ': ' || CAST(turn AS VARCHAR) || chr(10) || text AS line
+FROM conversations""",
     "extract_pages": f"""
 WITH {URLS},
 e AS (
@@ -493,26 +537,30 @@ SELECT CAST(page_id AS VARCHAR) AS pi, 'page' || CAST(page_id AS VARCHAR) || '.r
   CASE WHEN kind = 'old' THEN 'old text' WHEN kind IN ('limited', 'once', 'fine') THEN title END
     AS ocr
 FROM k""",
-    "process_chunks": f"""
+    "process_chunks": PROCESSED,
+    "process_resume": PROCESSED,
+    "process_pending": f"""
 WITH {FOUND},
 s AS (
-  SELECT *, CASE WHEN partkey % 5 = 0 THEN 'skipped' WHEN partkey % 3 = 0 OR partkey % 7 = 0
-    THEN 'error' ELSE 'done' END AS status FROM found_v),
-p AS (
-  SELECT c_custkey AS pi, CAST(floor(c_custkey / 10.0) AS BIGINT) AS chunk_id,
-    COUNT(s.pi) AS total_refs, COUNT(CASE WHEN status = 'done' THEN 1 END) AS completed,
-    COUNT(CASE WHEN status = 'error' THEN 1 END) AS failed,
-    COUNT(CASE WHEN status = 'skipped' THEN 1 END) AS skipped
-  FROM customer LEFT JOIN s ON s.pi = c_custkey GROUP BY 1, 2),
-q AS (
-  SELECT *, CASE WHEN failed > 0 AND completed + skipped > 0 THEN 'partial'
-    WHEN failed > 0 THEN 'error' ELSE 'success' END AS status FROM p)
-SELECT CAST(chunk_id AS VARCHAR) AS chunk_id,
-  CASE WHEN bool_and(status = 'success') THEN 'success' WHEN bool_and(status = 'error')
-    THEN 'error' ELSE 'partial' END AS status,
-  CAST(SUM(total_refs) AS BIGINT) AS total_refs, CAST(SUM(completed) AS BIGINT) AS completed,
-  CAST(SUM(failed) AS BIGINT) AS failed, CAST(SUM(skipped) AS BIGINT) AS skipped
-FROM q GROUP BY chunk_id""",
+  SELECT *, CASE WHEN partkey % 5 = 0 THEN 'skipped' WHEN partkey % 3 = 0 THEN 'error'
+    WHEN partkey % 7 = 0 THEN 'pending' ELSE 'done' END AS status FROM found_v)
+SELECT CAST(CAST(floor(c_custkey / 10.0) AS BIGINT) AS VARCHAR) AS chunk_id, 'processing' AS status,
+  COUNT(s.pi) AS total_refs, COUNT(CASE WHEN s.status = 'done' THEN 1 END) AS completed,
+  COUNT(CASE WHEN s.status = 'error' THEN 1 END) AS failed,
+  COUNT(CASE WHEN s.status = 'skipped' THEN 1 END) AS skipped
+FROM customer LEFT JOIN s ON s.pi = c_custkey GROUP BY 1""",
+    "process_versions": f"""
+WITH {PUBLISHED}
+SELECT entity, ver, sha256(entity || '|' || CAST(ver AS VARCHAR) || '|b0|' || chunk_id) AS tip,
+  prev_tip, 'OCR: Updated ' || CAST(n AS VARCHAR) || ' refs' AS note, n AS n_components
+FROM versions_v""",
+    "process_components": f"""
+WITH {PUBLISHED}
+SELECT v.entity, v.ver, s.filename,
+  CASE WHEN s.status = 'skipped' THEN s.old_text ELSE 'words of ' || CAST(s.partkey AS VARCHAR) END
+    AS ocr
+FROM versions_v v JOIN states_v s ON CAST(s.pi AS VARCHAR) = v.entity
+WHERE s.status IN ('done', 'skipped')""",
     "stream_complete_chunks": """
 SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS total_refs
 FROM events GROUP BY 1, 2
@@ -528,6 +576,5 @@ SELECT r.entity, t.ver + r.n AS ver,
   sha256(CAST(r.entity AS VARCHAR) || '|' || CAST(t.ver + r.n AS VARCHAR) || '|'
     || CAST(r.update_id AS VARCHAR)) AS tip,
   COALESCE(f.n_files, 0) AS n_files
-FROM r JOIN tips_v t ON t.entity = r.entity LEFT JOIN f ON f.version_id = r.update_id
-WHERE r.n <= 3""",
+FROM r JOIN tips_v t ON t.entity = r.entity LEFT JOIN f ON f.version_id = r.update_id""",
 }

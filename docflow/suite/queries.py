@@ -22,8 +22,7 @@ from docflow.functions.scalars import (
 from docflow.functions.urls import url_variants
 from docflow.operators import batches, contents, discover, fold, queue, report, versions
 from docflow.operators.cost import cost_rollup as roll_up_cost
-from docflow.operators.prompts import assemble_prompts as join_items
-from docflow.operators.prompts import item_text, with_head
+from docflow.operators.prompts import item_text, prompt_lines
 from docflow.operators.requests import admit, reject_reason, work_items as explode_items
 from docflow.operators.requests import assign_chunks as cut_chunks
 from docflow.plans.enrich import Policy, enrich
@@ -32,7 +31,7 @@ from docflow.plans.process import Store, process_chunks as run_process
 from docflow.schema import key_violations as find_violations
 from docflow.session import configure, durable, run_dir
 from docflow.sources.sinks import write_reports
-from docflow.sources.tables import read_reports, read_versions
+from docflow.sources.tables import read_components, read_contents, read_reports, read_versions
 from docflow.streaming.complete import publish_batches, write_complete_chunks
 from docflow.streaming.fold import latest_updates, stream_attempt_fold as fold_stream, write_updates
 from docflow.suite.models import asset_model, letter_model, title_model
@@ -195,7 +194,7 @@ QUERIES["network_tag"] = QUERIES.pop("network_tags")
 
 @query
 def doc_merge(spark, sf_dir):
-    docs = fixtures.ref_documents(spark, sf_dir).where(F.col("doc_id") % 13 != 0)
+    docs = fixtures.ref_documents(spark, sf_dir)
     merged = docs.select(
         "doc_id", merge_ocr(F.col("json"), F.concat(F.col("text"), F.lit(' "end"\n'))).alias("json")
     )
@@ -276,7 +275,7 @@ def discovery_totals(spark, sf_dir):
 
 @query
 def skip_enriched(spark, sf_dir):
-    docs = fixtures.ref_documents(spark, sf_dir).where(F.col("doc_id") % 13 != 0)
+    docs = fixtures.ref_documents(spark, sf_dir)
     skip, todo = discover.split_enriched(docs, "json")
     length = utf16_length(field_text(parse_doc(F.col("json")), "ocr"))
     return skip.select(
@@ -454,14 +453,14 @@ def _report(spark, sf_dir):
     return report.chunk_report(fixtures.chunks(spark, sf_dir), results, as_of)
 
 
-def _docs(spark, sf_dir):
+def _reports(spark, sf_dir):
     # both are stored tables in a real run
     results, refs = _results(spark, sf_dir, durable(fixtures.refs(spark, sf_dir)))
     results = durable(results)
     as_of = F.lit(AS_OF).cast("timestamp")
     chunk_rows = report.chunk_report(fixtures.chunks(spark, sf_dir), results, as_of)
     failed = report.failed_refs(refs, ["batch_id", "chunk_id", "pi"])
-    return report.report_docs(chunk_rows, results, failed)
+    return chunk_rows, results, failed
 
 
 @query
@@ -509,9 +508,9 @@ def complete_chunks(spark, sf_dir):
 @query
 def report_sink(spark, sf_dir):
     path = run_dir(spark, "reports")
-    docs = _docs(spark, sf_dir)
-    write_reports(docs, path)
-    return batches.flatten_docs(read_reports(spark, path, docs.schema))
+    write_reports(*_reports(spark, sf_dir), path)
+    _, entities, failed = read_reports(spark, path)
+    return batches.report_lines(entities, failed)
 
 
 @query
@@ -522,9 +521,28 @@ def batch_rollup(spark, sf_dir):
 
 @query
 def apply_report(spark, sf_dir):
-    docs = durable(_docs(spark, sf_dir).where(F.col("chunk_id") % 5 != 0))
+    _, results, failed = _reports(spark, sf_dir)
+    entities = report.entity_rows(results).where(F.col("chunk_id") % 5 != 0)
+    failed = failed.where(F.col("chunk_id") % 5 != 0)
+    # every third entity is reported by a second chunk, with an older and a newer version
+    again = entities.where(F.col("pi") % 3 == 0)
+    older = again.select(
+        "batch_id", (-F.col("chunk_id") - 1).alias("chunk_id"), "pi", "status",
+        F.lit("zzz").alias("new_tip"), F.lit(0).cast("long").alias("new_version"),
+        "refs_completed", "refs_failed",
+    )
+    newer = older.withColumn("new_tip", F.lit("aaa")).withColumn(
+        "new_version", F.lit(9).cast("long")
+    )
+    newer = newer.where(F.col("pi") % 2 == 0)
+    twice = failed.withColumn("chunk_id", -F.col("chunk_id") - 1)
     nodes = fixtures.refs(spark, sf_dir).select("pi", "filename")
-    return batches.node_states(batches.apply_report(nodes, docs))
+    applied = batches.apply_report(
+        nodes,
+        entities.unionByName(older).unionByName(newer),
+        failed.unionByName(twice),
+    )
+    return batches.node_states(applied)
 
 
 # --- documented extras -------------------------------------------------------
@@ -545,7 +563,7 @@ def assemble_prompts(spark, sf_dir):
     items = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", item_text(F.col("role"), F.col("turn"), F.col("text")).alias("item")
     )
-    return with_head(join_items(items, ["conv_id"], "turn"), F.col("conv_id"), F.lit(1))
+    return prompt_lines(items, ["conv_id"], "turn", F.col("conv_id"), F.lit(1))
 
 
 # --- extraction --------------------------------------------------------------
@@ -585,7 +603,7 @@ def enrich_pages(spark, sf_dir):
         page_refs(spark, sf_dir),
         title_model,
         run_dir(spark, "enrich"),
-        Policy(cdn_host=CDN, max_rounds=8),
+        Policy(cdn_host=CDN, pause=None),
         payload="html",
     )
     return done.select(
@@ -600,8 +618,8 @@ def enrich_pages(spark, sf_dir):
     )
 
 
-@query
-def process_chunks(spark, sf_dir):
+def _process(spark, sf_dir, path, policy):
+    """One call of the whole path; a second call with the same path goes on."""
     requests = (
         _customers(spark, sf_dir)
         .groupBy(F.lit("b0").alias("batch_id"), _str("chunk_id").alias("chunk_id"))
@@ -609,17 +627,54 @@ def process_chunks(spark, sf_dir):
     )
     tips = _tips(spark, sf_dir).withColumn("entity", _str("entity"))
     manifest = _manifest(spark, sf_dir).join(tips.select(F.col("entity").cast("long"), "ver"), "entity")
-    path = run_dir(spark, "process")
     store = Store(
         versions=durable(tips),
         components=durable(manifest.withColumn("entity", _str("entity"))),
         contents=fixtures.part_contents(spark, sf_dir),
         path=f"{path}/store",
     )
-    done = run_process(
-        requests, store, asset_model, Policy(cdn_host=CDN, max_rounds=5), f"{path}/run", "w0"
-    )
-    return done.select("chunk_id", "status", "total_refs", "completed", "failed", "skipped")
+    return run_process(requests, store, asset_model, policy, f"{path}/run", "w0")
+
+
+_REPORT = ["chunk_id", "status", "total_refs", "completed", "failed", "skipped"]
+
+
+@query
+def process_chunks(spark, sf_dir):
+    path = run_dir(spark, "process")
+    return _process(spark, sf_dir, path, Policy(cdn_host=CDN)).select(*_REPORT)
+
+
+@query
+def process_pending(spark, sf_dir):
+    """The state after one round: nothing is final, nothing is published."""
+    path = run_dir(spark, "process-pending")
+    return _process(spark, sf_dir, path, Policy(cdn_host=CDN, max_rounds=1)).select(*_REPORT)
+
+
+@query
+def process_resume(spark, sf_dir):
+    path = run_dir(spark, "process-resume")
+    _process(spark, sf_dir, path, Policy(cdn_host=CDN, max_rounds=1))
+    return _process(spark, sf_dir, path, Policy(cdn_host=CDN)).select(*_REPORT)
+
+
+@query
+def process_versions(spark, sf_dir):
+    path = run_dir(spark, "process-versions")
+    _process(spark, sf_dir, path, Policy(cdn_host=CDN))
+    written = read_versions(spark, f"{path}/store")
+    return written.select("entity", "ver", "tip", "prev_tip", "note", "n_components")
+
+
+@query
+def process_components(spark, sf_dir):
+    path = run_dir(spark, "process-components")
+    _process(spark, sf_dir, path, Policy(cdn_host=CDN))
+    files = read_components(spark, f"{path}/store")
+    texts = read_contents(spark, f"{path}/store/contents/*")
+    ocr = field_text(parse_doc(F.col("content")), "ocr")
+    return files.join(texts, "cid", "left").select("entity", "ver", "filename", ocr.alias("ocr"))
 
 
 # --- streams -----------------------------------------------------------------

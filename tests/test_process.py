@@ -107,12 +107,8 @@ def test_from_requests_to_versions_and_reports(spark, tmp_path):
     assert report.count() == 3
     assert rows(read_versions(spark, store.path)) == rows(written)
 
-    nested = read_reports(spark, str(tmp_path / "run" / "report_docs"))
-    entries = {
-        (r.chunk_id, e.pi): (e.status, e.new_version)
-        for r in nested.collect()
-        for e in r.results or []
-    }
+    _, entities, _ = read_reports(spark, str(tmp_path / "run" / "reports"))
+    entries = {(r.chunk_id, r.pi): (r.status, r.new_version) for r in entities.collect()}
     assert entries == {
         ("0", "e1"): ("success", 2),
         ("0", "e2"): ("error", None),
@@ -120,3 +116,29 @@ def test_from_requests_to_versions_and_reports(spark, tmp_path):
         ("1", "e1"): ("success", 3),
         ("1", "e3"): ("success", 5),
     }
+
+
+def test_a_run_with_pending_refs_is_neither_published_nor_reported(spark, tmp_path):
+    busy = {"on": True}
+
+    def limited():
+        on = busy["on"]
+        return lambda requests: [Result(error="429") if on else Result(text="t", tokens=1) for _ in requests]
+
+    kind = "entity string, ver long, filename string, cid string"
+    store = Store(
+        spark.createDataFrame([("e1", 1, "t1")], "entity string, ver long, tip string"),
+        spark.createDataFrame([("e1", 1, "a.ref.json", "c1")], kind),
+        spark.createDataFrame([("c1", url("A1"))], "cid string, content string"),
+        str(tmp_path / "store"),
+    )
+    requests = spark.createDataFrame([("b", "0", ["e1"])], "batch_id string, chunk_id string, pis array<string>")
+    run = str(tmp_path / "run")
+    for _ in range(2):
+        got = process_chunks(requests, store, limited, Policy(cdn_host=HOST, max_rounds=2, pause=None), run, "w")
+        assert rows(got.select("status", "total_refs", "completed", "failed")) == [("processing", 1, 0, 0)]
+    assert not (tmp_path / "store").exists() and not (tmp_path / "run" / "reports").exists()
+    busy["on"] = False
+    got = process_chunks(requests, store, limited, Policy(cdn_host=HOST, max_rounds=9, pause=None), run, "w")
+    assert rows(got.select("status", "total_refs", "completed", "failed")) == [("success", 1, 1, 0)]
+    assert rows(read_versions(spark, store.path).select("entity", "ver")) == [("e1", 2)]

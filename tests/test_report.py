@@ -1,4 +1,3 @@
-import json
 from decimal import Decimal
 
 import pytest
@@ -6,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import batches, report
 from docflow.operators.cost import cost_rollup, cost_usd
-from docflow.operators.prompts import assemble_prompts, item_text, with_head
+from docflow.operators.prompts import item_text, prompt_lines
 from docflow.sources.sinks import write_reports
 from docflow.sources.tables import read_reports
 from tests.conftest import rows, values
@@ -86,35 +85,30 @@ def test_chunk_report(spark, results):
         assert report.chunk_report(chunks, some, as_of).where("chunk_id = '0'").first().status == status
 
 
-def test_nested_documents_round_trip(spark, refs, results, tmp_path):
+def test_reports_come_back_as_flat_tables(spark, refs, results, tmp_path):
     as_of = F.lit("2024-01-01 00:00:09").cast("timestamp")
     chunks = chunk_rows(spark, ("b", "0", "DONE", None), ("b", "1", "DONE", None))
     summary = report.chunk_report(chunks, results, as_of)
     failed = report.failed_refs(refs, KEYS)
     assert {r.error for r in failed.collect()} == {"boom", "Unknown error"}
-    docs = report.report_docs(summary, results, failed).cache()
-    doc = json.loads(docs.where("chunk_id = '0'").select(F.to_json(F.struct("*"))).first()[0])
-    by_pi = {r["pi"]: r for r in doc["results"]}
-    assert len(by_pi) == len(STATUSES)
-    assert "failed_refs" not in by_pi["ok"]
-    assert "new_version" not in by_pi["ok"]
-    assert by_pi["bad"]["failed_refs"] == [
-        {"filename": "f0", "error": "Unknown error"},
-        {"filename": "f1", "error": "boom"},
-    ]
-    assert doc["summary"]["completed"] == 3
-    write_reports(docs, str(tmp_path / "reports"))
-    back = read_reports(spark, str(tmp_path / "reports"), docs.schema)
-    assert rows(batches.flatten_docs(back), "pi", "filename") == rows(
-        batches.flatten_docs(docs), "pi", "filename"
-    )
-
-
-def test_documents_of_a_huge_entity_are_split_and_whole(spark):
-    refs = spark.range(3000).select(
+    path = str(tmp_path / "reports")
+    write_reports(summary, results, failed, path)
+    back = read_reports(spark, path)
+    assert rows(back[0]) == rows(summary)
+    assert rows(back[1]) == rows(report.entity_rows(results))
+    assert rows(back[2]) == rows(failed)
+    bad = {r.filename: r.error for r in back[2].where("pi = 'bad'").collect()}
+    assert bad == {"f0": "Unknown error", "f1": "boom"}
+    lines = batches.report_lines(back[1], back[2])
+    assert lines.where("pi = 'ok'").count() == 1 and lines.where("pi = 'bad'").count() == 2
+
+
+@pytest.mark.parametrize("size", [99, 101, 999, 1001])
+def test_reports_have_one_form_at_any_size(spark, tmp_path, size):
+    refs = spark.range(size).select(
         F.lit("b").alias("batch_id"),
         F.lit("0").alias("chunk_id"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 50)).alias("pi"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("pi"),
         F.concat(F.lit("f"), F.col("id")).alias("filename"),
         F.lit("error").alias("status"),
         F.lit("e").alias("error"),
@@ -123,15 +117,14 @@ def test_documents_of_a_huge_entity_are_split_and_whole(spark):
         "*", F.lit("t").alias("new_tip"), F.lit(1).cast("long").alias("new_version"),
         F.lit(None).cast("string").alias("entity_error"),
     )
-    results = report.pi_results(pis, refs, KEYS).cache()
+    results = report.pi_results(pis, refs, KEYS)
     summary = report.chunk_report(chunk_rows(spark, ("b", "0", "DONE", None)), results, F.current_timestamp())
-    docs = report.report_docs(summary, results, report.failed_refs(refs, KEYS), 10, 50).cache()
-    flat = batches.flatten_docs(docs)
-    assert flat.where("filename IS NOT NULL").select("pi", "filename").distinct().count() == 3000
-    assert flat.count() == 3000
-    assert docs.count() > 3
-    biggest = docs.select(F.max(F.size("results"))).first()[0]
-    assert biggest < 40
+    path = str(tmp_path / "reports")
+    write_reports(summary, results, report.failed_refs(refs, KEYS), path)
+    chunks, entities, failed = read_reports(spark, path)
+    assert (chunks.count(), failed.count()) == (1, size)
+    assert chunks.first().failed == size == entities.agg(F.sum("refs_failed")).first()[0]
+    assert entities.columns == [*KEYS, "status", "new_tip", "new_version", "refs_completed", "refs_failed"]
 
 
 def test_status_reads(spark, refs):
@@ -163,14 +156,11 @@ def test_batch_rollup_and_apply(spark, refs, results):
     )
     assert rows(batches.batch_rollup(sent, reports)) == [("b", 2, 1, 1, True), ("c", 2, 1, 0, False)]
 
-    summary = report.chunk_report(
-        chunk_rows(spark, ("b", "0", "DONE", None)), results, F.current_timestamp()
-    )
-    docs = report.report_docs(summary, results, report.failed_refs(refs, KEYS))
     nodes = refs.select("pi", "filename").unionByName(
         spark.createDataFrame([("stranger", "f0")], "pi string, filename string")
     )
-    applied = batches.apply_report(nodes, docs).cache()
+    entities, failed = report.entity_rows(results), report.failed_refs(refs, KEYS)
+    applied = batches.apply_report(nodes, entities, failed).cache()
     got = {(r.pi, r.filename): (r.ocr_complete, r.ocr_error) for r in applied.collect()}
     assert got["some", "f0"] == (True, None)
     assert got["some", "f1"] == (False, "boom")
@@ -191,16 +181,27 @@ def test_cost_is_exact(spark):
     assert rows(cost_rollup(calls, ["source"])) == [("s", 10, 70, 45, Decimal("0.0000084"))]
 
 
-def test_prompts_come_in_order_and_in_parts(spark):
-    df = spark.range(25).select(
+def test_the_newest_report_of_a_node_counts(spark):
+    nodes = spark.createDataFrame([("n", "f0"), ("n", "f1")], "pi string, filename string")
+    kind = "batch_id string, chunk_id string, pi string, new_tip string, new_version long"
+    entities = spark.createDataFrame([("b", "0", "n", "zzz_old", 2), ("b", "1", "n", "aaa_new", 3)], kind)
+    failed = spark.createDataFrame(
+        [("b", "0", "n", "f0", "x"), ("b", "1", "n", "f0", "y")],
+        "batch_id string, chunk_id string, pi string, filename string, error string",
+    )
+    got = batches.apply_report(nodes, entities, failed)
+    assert rows(got.select("filename", "new_tip", "new_version", "ocr_error")) == [
+        ("f0", "aaa_new", 3, "y"),
+        ("f1", "aaa_new", 3, None),
+    ]
+
+
+@pytest.mark.parametrize("first", [0, 4095, 4096])
+def test_prompts_start_with_their_head(spark, first):
+    df = spark.range(first, first + 25).select(
         F.lit("g").alias("group"), F.col("id").alias("n"),
         item_text(F.lit("ocr"), F.concat(F.lit("s"), F.col("id")), F.lit("text")).alias("item"),
     ).repartition(5)
-    items = [f"## OCR: s{n}\ntext" for n in range(25)]
-    whole = assemble_prompts(df, ["group"], "n")
-    assert rows(whole) == [("g", 0, "\n\n".join(items))]
-    parts = rows(assemble_prompts(df, ["group"], "n", per_part=10), "part")
-    assert [p[1] for p in parts] == [0, 1, 2]
-    assert "\n\n".join(p[2] for p in parts) == "\n\n".join(items)
-    headed = with_head(whole, F.col("group"), F.lit(2)).first().prompt
-    assert headed.startswith("Directory: g (depth 2)\n\n## OCR: s0\n")
+    got = rows(prompt_lines(df, ["group"], "n", F.col("group"), F.lit(2)), "piece")
+    assert got[0] == ("g", 0, "Directory: g (depth 2)")
+    assert got[1:] == [("g", i + 1, f"## OCR: s{first + i}\ntext") for i in range(25)]

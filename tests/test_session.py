@@ -1,3 +1,5 @@
+import pytest
+
 from docflow import configure
 from docflow.session import SETTINGS, durable, is_done, once, run_dir, shared_dir, stored
 
@@ -40,3 +42,15 @@ def test_steps_run_once(spark, tmp_path):
         assert df.columns == ["empty"]
         assert df.count() == 0
     assert runs == [1, 2]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from docflow.suite.oracles import ORACLES
+from docflow.suite.queries import QUERIES
 from check import TABLES, same
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,10 +23,11 @@ def db():
 
 
 def test_every_query_has_an_expected_result():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     got = queries()[name](spark, SF_DIR).toPandas()
     assert same(got, db.execute(oracle_sql()[name]).df()) is None

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators.versions import (
     cas_plan,
-    component_maps,
+    chain_updates,
     entity_tip,
     manifest_merge,
     publish_heads,
@@ -100,22 +100,20 @@ def test_publish_plan(spark):
         ("q", 0, None),
         ("r", 0, None),
     ]
-    assert rows(component_maps(refs, ["pi"]).select("pi", "part", "components"), "pi") == [
-        ("p", 0, {"f1": "c1", "f2": "c2"})
-    ]
 
 
-def test_large_maps_are_split_and_whole(spark):
-    refs = spark.range(1000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("pi"),
-        F.concat(F.lit("f"), F.col("id")).alias("filename"),
-        F.lit("done").alias("status"),
-        F.lit("c").alias("result_cid"),
-    )
-    maps = component_maps(refs, ["pi"], limit=20).cache()
-    assert maps.agg(F.sum(F.size("components"))).first()[0] == 1000
-    hot = maps.where("pi = 'hot'")
-    assert hot.agg(F.sum(F.size("components"))).first()[0] == 334
-    assert hot.count() >= 15
-    assert hot.agg(F.max(F.size("components"))).first()[0] < 60
-    assert maps.where("pi != 'hot'").agg(F.max("part")).first()[0] == 0
+def test_every_update_commits_in_order(spark):
+    tips = spark.createDataFrame([("e", "t9", 9), ("f", "t1", 1)], "entity string, tip string, ver long")
+    keys = ["batch_id", "chunk_id"]
+    updates = [("e", "a:b", "c"), ("e", "a", "b:c"), ("e", "b", "9"), ("gone", "a", "0")]
+    updates += [("f", "b", f"{i:03}") for i in range(200)]
+    frame = spark.createDataFrame(updates, "entity string, batch_id string, chunk_id string")
+    plan = chain_updates(frame.repartition(4), tips, keys).collect()
+    assert len(plan) == len(updates)
+    assert [r.entity for r in plan if not r.committed] == ["gone"]
+    assert next(r.entity_error for r in plan if not r.committed) == "Entity not found: gone"
+    for entity, (tip, ver) in {"e": ("t9", 9), "f": ("t1", 1)}.items():
+        own = sorted((r.batch_id, r.chunk_id, r.new_version, r.prev_tip, r.new_tip) for r in plan if r.entity == entity)
+        assert [r[2] for r in own] == list(range(ver + 1, ver + 1 + len(own)))
+        assert [r[3] for r in own] == [tip, *[r[4] for r in own[:-1]]]
+        assert len({r[4] for r in own}) == len(own)
