@@ -29,7 +29,8 @@ _TABLE = bytes(
     i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32
     for i in range(256)
 )
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: The same words in a text as it is, capitals included.
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 HITS = (
     "n_words long, hits array<struct<start: int, stop: int>>, items array<string>, "
