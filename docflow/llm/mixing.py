@@ -63,13 +63,13 @@ def _hash(key: Column, turn: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _first_true(shares: DataFrame, test: Column) -> int | None:
+def _first_true(shares: DataFrame, test: Column) -> int:
     """Smallest grid number for which ``test`` of the sums holds; it holds from there on.
 
     ``test`` uses columns z, s (sums of p^a and of p^a ln p), low and high (least and
     largest p^(a-1)) of each exponent.
     """
-    low, high = 0, 1 << GRID_BITS  # the answer lies in low..high, if there is one
+    low, high = 0, (1 << GRID_BITS) + 1  # the last stands for none
     while low < high:
         width = max(1, (high - low) >> LEVELS_PER_JOB)
         marks = list(range(low, high, width))

@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docflow.llm import suffixtree as st
+from docflow.llm.common import spaced_words
+from docflow.llm.queries import lm_score
+from tests.llm.conftest import table
+
+
+def held(doc_id):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+
+
+def plain_base(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        if not held(doc_id):
+            counts.update([*spaced_words(text), b""])
+    n, v = sum(counts.values()), len(counts)
+    out = []
+    for doc_id, text in rows:
+        words = [*spaced_words(text), b""]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        out.append((doc_id, len(words), sum(counts[w] > 0 for w in words), base))
+    return out, n
+
+
+def test_base_columns_and_gain(llm, small):
+    rows = [(r.doc_id, r.text) for r in llm.read.parquet(f"{small}/documents.parquet").collect()]
+    wanted, n = plain_base(rows)
+    got = {r.doc_id: r for r in lm_score(llm, small).collect()}
+    for doc_id, tokens, known, base in wanted:
+        r = got[doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (tokens, known, n, held(doc_id))
+        assert r.base_score == pytest.approx(base, abs=1e-6)
+    unseen = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+
+
+def state_sums(model):
+    """Total probability after each context; words outside the vocabulary by their base."""
+    tree, width = model.tree, len(model.vocabulary.ids)
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    norm = model.tokens + model.words + 1
+    other = (sum(counts[w] + 1 for w in counts if w not in model.vocabulary.ids) + 1) / norm
+    every = np.arange(width)
+    sums = []
+    for length in (1, 2):
+        total = len(tree.rest[length - 1])
+        for state in range(total):
+            if not tree.kept[length - 1][state]:
+                continue
+            if length == 1:
+                context = [int(np.flatnonzero(tree.number == state)[0])]
+            else:
+                pair = int(tree.pairs[state])
+                context = [int(np.flatnonzero(tree.number == pair // width)[0]), pair % width]
+            size = length + 1
+            ids = np.stack([np.full(width + 1, c) for c in context] + [np.append(every, -1)], 1)
+            logs = tree.score(ids.ravel(), np.full(width + 1, size))[length::size]
+            p = 10.0**logs
+            sums.append(p[:-1].sum() + p[-1] * other)
+    return sums
+
+
+def test_every_state_sums_to_one(llm):
+    rng = np.random.default_rng(0)
+    texts = []
+    for i in range(300):
+        words, w = [], "a"
+        for _ in range(60):
+            w = {"a": "b", "b": "c", "c": rng.choice(["a", "x", "y"])}.get(w, rng.choice(["a", "b"]))
+            words.append(str(w))
+        texts.append((i, " ".join(words) + (f" rare{i}" if i % 3 else "")))
+    limits = st.Limits(min_word=0.001, min_context=0.01, min_next=0.01, min_gain=1.0)
+    model = st.train(table(llm, texts), limits)
+    sums = state_sums(model)
+    assert len(sums) > 5 and np.allclose(sums, 1.0, atol=1e-6)
+    scored = st.score(table(llm, texts), model).agg(F.sum("score"), F.sum("base_score")).first()
+    assert scored[0] > 0.5 * scored[1]  # half the bits are gone
+    assert any(model.tree.kept[1])
+
+
+def test_edges(llm):
+    rows = [(1, None), (2, ""), (3, "One two"), (3, "One two"), (None, "two"), (4, "new " * 50_000)]
+    docs = table(llm, rows).withColumn("n_tokens", F.lit(0)).withColumn("row", F.lit(0))
+    train = docs.where("doc_id < 4")
+    got = [tuple(r) for r in st.score(docs, st.train(train)).collect()]
+    assert sorted(map(repr, (g[:3] for g in got))) == sorted(
+        map(repr, [(1, 1, 1), (2, 1, 1), (3, 3, 3), (3, 3, 3), (None, 2, 2), (4, 50_001, 1)])
+    )
+    untrained = st.score(docs, st.train(docs.limit(0))).collect()
+    assert len(untrained) == 6 and all(r.score == r.base_score == 0 for r in untrained)
+    assert st.score(docs.limit(0), st.train(train)).collect() == []
