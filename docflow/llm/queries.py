@@ -20,6 +20,9 @@ from docflow.llm import (
     toxicity,
 )
 from docflow.llm.common import prepared
+from docflow.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -128,5 +131,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": benchmark_hits,
     "op10_fingerprints": fingerprints,
 }
-
-ORACLES: dict[str, str] = {}

@@ -191,8 +191,12 @@ def one_of_each(docs: DataFrame, shingle_words: int = 3, distance: int = 2) -> D
     found = near_duplicates(slim, shingle_words, distance)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = saved(kept, "simhash-kept")
+    # shuffled at any size: the ids kept grow with the corpus, and a plan that turns
+    # from broadcast to shuffle on the way makes its cost hard to foresee
     result = keyed.join(
-        kept.select(F.col("doc_id").alias("_simhash_key")), "_simhash_key", "left_semi"
+        kept.select(F.col("doc_id").alias("_simhash_key")).hint("shuffle_merge"),
+        "_simhash_key",
+        "left_semi",
     )
     if not kept.where("n > 1").isEmpty():
         result = result.dropDuplicates(["_simhash_key"])

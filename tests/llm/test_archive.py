@@ -14,12 +14,12 @@ from tests.llm.conftest import table
 
 ids = st.one_of(
     st.lists(st.integers(0, 2**32 - 1), max_size=300),
-    st.lists(st.integers(0, 5), max_size=900),
-    st.integers(0, 50_000).map(lambda n: [n % 777] * (n % 9000)),
+    st.lists(st.integers(0, 5), max_size=300),
+    st.integers(0, 50_000).map(lambda n: [n % 777] * (n % 400)),
 )
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=30, deadline=None)
 @given(ids)
 def test_ids_come_back(values):
     data = idcoder.encode_ids(np.array(values, dtype=np.int64))
@@ -28,7 +28,7 @@ def test_ids_come_back(values):
 
 def test_blocks_are_independent_and_repetition_is_cheap():
     rng = np.random.default_rng(1)
-    values = np.tile(rng.integers(0, 50_000, 50), 400)
+    values = np.tile(rng.integers(0, 50_000, 50), 90)
     data = idcoder.encode_ids(values)
     assert len(data) * 8 < 2 * len(values)
     heads, payloads = idcoder.split_blocks(data)
