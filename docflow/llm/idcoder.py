@@ -1,7 +1,7 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block holds up to ``BLOCK`` ids, starts from an empty model and carries two
-checksums, so it can be read alone. Three predictions are mixed for each id:
+checksums (and one for its head), so it can be read alone. Three predictions are mixed for each id:
 
 * order 2: the id that last followed the previous two ids,
 * order 1: the id that last followed the previous one,
@@ -31,6 +31,8 @@ BLOCK = 4096
 LANES = 1024
 MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIIIB")  # magic, ids, words, crc of ids, crc of words, id bits
+_CRC = struct.Struct("<I")  # of the head
+_HEAD_SIZE = _HEAD.size + _CRC.size
 
 _TOTAL_BITS = 24
 _TOTAL = 1 << _TOTAL_BITS
@@ -257,12 +259,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> bytes:
     out = []
     for block, payload in zip(blocks, writer.close(), strict=True):
         raw = np.asarray(block).astype("<u4").tobytes()
-        out.append(
-            _HEAD.pack(
-                MAGIC, len(block), len(payload) // 2, zlib.crc32(raw), zlib.crc32(payload), bits
-            )
+        head = _HEAD.pack(
+            MAGIC, len(block), len(payload) // 2, zlib.crc32(raw), zlib.crc32(payload), bits
         )
-        out.append(payload)
+        out += [head, _CRC.pack(zlib.crc32(head)), payload]
     return b"".join(out)
 
 
@@ -331,15 +331,18 @@ def split_blocks(data: bytes) -> tuple[list[tuple], list[bytes]]:
     """Heads (ids, words, crc of ids, id bits) and payloads of consecutive blocks."""
     heads, payloads, at = [], [], 0
     while at < len(data):
-        if at + _HEAD.size > len(data):
+        if at + _HEAD_SIZE > len(data):
             raise DamagedBlock("a block's head is cut off")
         magic, ids, words, crc, payload_crc, bits = _HEAD.unpack_from(data, at)
-        payload = data[at + _HEAD.size : at + _HEAD.size + 2 * words]
-        if magic != MAGIC or len(payload) != 2 * words or zlib.crc32(payload) != payload_crc:
+        (head_crc,) = _CRC.unpack_from(data, at + _HEAD.size)
+        if magic != MAGIC or zlib.crc32(data[at : at + _HEAD.size]) != head_crc:
+            raise DamagedBlock(f"the head of block {len(heads)} is damaged")
+        payload = data[at + _HEAD_SIZE : at + _HEAD_SIZE + 2 * words]
+        if len(payload) != 2 * words or zlib.crc32(payload) != payload_crc:
             raise DamagedBlock(f"block {len(heads)} is damaged")
         heads.append((ids, words, crc, bits))
         payloads.append(payload)
-        at += _HEAD.size + 2 * words
+        at += _HEAD_SIZE + 2 * words
     return heads, payloads
 
 
