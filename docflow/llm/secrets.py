@@ -3,8 +3,9 @@
 Patterns find assignments, access keys and hex strings. Long runs of identifier
 characters elsewhere are judged by the mean log-likelihood ratio of their character
 pairs under two first-order models: random strings, learned from the runs that patterns
-mark as secrets, and ordinary identifiers, learned from all other runs. Both are
-counted over the whole corpus. Everything is expressed in columns.
+mark as secrets, and ordinary identifiers, learned from the unmarked runs without digits.
+Unmarked runs with digits are not learned from, only judged: there the unmarked secrets
+would be. Both are counted over the whole corpus. Everything is expressed in columns.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ ASSIGN_CHARS = 12
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 RUN = "[A-Za-z0-9+/_=-]{16,}"
+#: Unmarked runs of this form are the labelled ordinary identifiers.
+ORDINARY = "^[A-Za-z_-]+$"
 #: Characters a run can consist of.
 ALPHABET = 66
+#: Weight of a character's own share against counted pairs.
+SMOOTHING = 10.0
 #: Least mean log-likelihood ratio per character pair, in nats.
 MIN_RATIO = 0.5
 
@@ -130,7 +135,9 @@ def _ratios(scanned: DataFrame) -> DataFrame:
 
     The counts have at most two rows per pair of the alphabet.
     """
-    runs = scanned.select(F.explode("runs").alias("r"))
+    runs = scanned.select(F.explode("runs").alias("r")).where(
+        F.col("r.secret") | F.col("r.text").rlike(ORDINARY)
+    )
     pairs = runs.select(
         F.col("r.secret").alias("secret"),
         F.explode(
@@ -145,19 +152,29 @@ def _ratios(scanned: DataFrame) -> DataFrame:
     )
     counts = saved(counts, "secret-pairs")
     grid = counts.sparkSession.range(128 * 128).select(F.col("id").cast("int").alias("pair"))
+    classes = ("random", "plain")
     full = grid.join(counts, "pair", "left").select(
         "pair",
         F.floor(F.col("pair") / 128).alias("first"),
-        F.coalesce("random", F.lit(0)).alias("random"),
-        F.coalesce("plain", F.lit(0)).alias("plain"),
-    )
-    firsts = full.groupBy("first").agg(
-        F.sum("random").alias("all_random"), F.sum("plain").alias("all_plain")
+        (F.col("pair") % 128).alias("second"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in classes],
     )
-    ratio = F.log((F.col("random") + 1) / (F.col("all_random") + ALPHABET)) - F.log(
-        (F.col("plain") + 1) / (F.col("all_plain") + ALPHABET)
+    firsts = full.groupBy("first").agg(*[F.sum(c).alias(f"{c}_first") for c in classes])
+    seconds = full.groupBy("second").agg(*[F.sum(c).alias(f"{c}_second") for c in classes])
+    totals = full.groupBy(F.lit(1).alias("one")).agg(*[F.sum(c).alias(f"{c}_all") for c in classes])
+    joined = (
+        full.join(firsts, "first")
+        .join(seconds, "second")
+        .join(F.broadcast(totals), F.col("one") == F.when(F.col("pair") >= 0, 1))
     )
-    rows = full.join(firsts, "first").select(F.struct("pair", ratio.alias("ratio")).alias("x"))
+
+    def log_chance(c: str) -> Column:
+        """Of the second character after the first, smoothed by its own share."""
+        share = (F.col(f"{c}_second") + 1) / (F.col(f"{c}_all") + ALPHABET)
+        return F.log((F.col(c) + SMOOTHING * share) / (F.col(f"{c}_first") + SMOOTHING))
+
+    ratio = log_chance("random") - log_chance("plain")
+    rows = joined.select(F.struct("pair", ratio.alias("ratio")).alias("x"))
     ordered = F.sort_array(F.collect_list("x"))
     return rows.agg(F.transform(ordered, lambda x: x["ratio"]).alias("ratios"))
 
