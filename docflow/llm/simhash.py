@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm.common import saved, spaced_words
 from docflow.llm.components import components
+from docflow.llm.similar import similar_links
 
 BITS = 64
 SEED = 42
@@ -179,18 +180,34 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, shingle_words: int = 3, distance: int = 2) -> DataFrame:
+def one_of_each(
+    docs: DataFrame,
+    shingle_words: int = 3,
+    distance: int = 2,
+    similar_words: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    All columns stay. Rows with one id are one document, of which one row stays.
+    Documents are linked by their fingerprints, or by a Jaccard similarity of at least
+    ``similarity`` between their sets of ``similar_words``-word shingles. All columns stay. Rows with one id are one document, of which one row stays.
     Rows without id count by their text and stay only in groups without any id.
     """
     by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = docs.withColumn("_simhash_key", F.coalesce(F.col("doc_id").cast("long"), by_text))
     slim = keyed.select(F.col("_simhash_key").alias("doc_id"), "text")
-    found = near_duplicates(slim, shingle_words, distance)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = saved(kept, "simhash-kept")
+    found = saved(near_duplicates(slim, shingle_words, distance), "simhash-found")
+    counts = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")
+    )
+    counts = saved(counts, "simhash-counts")
+    close = similar_links(slim, similar_words, similarity)
+    by_print = found.where("doc_id > component_id").select(
+        F.col("component_id").alias("a"), F.col("doc_id").alias("b")
+    )
+    groups = components(by_print.union(close))
+    kept = counts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti")
+    kept = saved(kept.select("doc_id", "n"), "simhash-kept")
     # shuffled at any size: the ids kept grow with the corpus, and a plan that turns
     # from broadcast to shuffle on the way makes its cost hard to foresee
     result = keyed.join(

@@ -1,0 +1,132 @@
+"""Links between texts that share most of their word shingles.
+
+Complements SimHash, whose 64 bits cannot be searched for the distances that such
+texts have. Candidates agree in a band of four of 64 minimum hashes; each is then
+verified by the exact Jaccard similarity of the shingle sets. At a similarity of 0.8
+a pair of a small band is missed with a probability of 0.0002. Bands shared by
+many texts are not paired up: they are cut finer by their neighbouring band, and what is
+still crowded is compared with its smallest member.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docflow.llm.common import saved, spaced_words
+
+BANDS, ROWS = 16, 4
+#: Members of a band up to which all its pairs are compared.
+BAND_PAIRS = 24
+_FACTORS = np.random.default_rng(8).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(
+    2
+) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted; a shorter text is one shingle, none is empty."""
+    words = spaced_words(text)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    width = min(shingle_words, len(words))
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(
+        np.array([digest(joined[a:b]) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+    )
+
+
+def _sketch(text: str | None, shingle_words: int) -> tuple[int, list[int]]:
+    """Hash of the whole set, and band keys; (0, []) for texts without words."""
+    hashes = shingle_set(text, shingle_words)
+    if not len(hashes):
+        return 0, []
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[i : i + 2048, None] * _FACTORS).min(axis=0), out=least)
+    signed = lambda data, seed: xxhash.xxh64_intdigest(data, seed) - 2**63
+    bands = least.reshape(BANDS, ROWS)
+    return signed(hashes.tobytes(), 0), [signed(b.tobytes(), i) for i, b in enumerate(bands)]
+
+
+def _pairs_of(keyed: DataFrame) -> DataFrame:
+    """All pairs of small groups; of others each member with the smallest."""
+    few = (
+        keyed.where(F.col("n") <= BAND_PAIRS)
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        .select("ids", F.posexplode("ids").alias("i", "a"))
+        .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+    )
+    crowded = keyed.where(F.col("n") > BAND_PAIRS).select("key", "id", "least")
+    return few.union(crowded.where("id > least").select(F.col("least").alias("a"), "id"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows (key, id) of keys with several members, with their number and smallest."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    return rows.join(sizes.where("n > 1"), "key")
+
+
+def similar_links(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of ids whose texts have at least this Jaccard similarity.
+
+    ``docs`` has doc_id (not null) and text; rows with one id count as the first of
+    them. Texts with the same shingles are linked to the smallest id among them and
+    only that one is compared further. Texts without words are linked to nothing.
+    """
+
+    @F.pandas_udf("whole long, bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(
+                [_sketch(t, shingle_words) for t in texts], columns=["whole", "bands"]
+            )
+
+    sketches = saved(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "similar-sketches")
+    sketches = sketches.where(F.size("bands") > 0)
+    first = sketches.groupBy("whole").agg(F.min("doc_id").alias("id"))
+    first = saved(first, "similar-first")
+    same = sketches.select("doc_id", "whole").join(first, "whole")
+    same = same.where("doc_id > id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+
+    single = sketches.join(first.select(F.col("id").alias("doc_id"), "whole"), ["doc_id", "whole"])
+    single = single.dropDuplicates(["doc_id"])
+    banded = single.select(
+        F.col("doc_id").alias("id"), "bands", F.posexplode("bands").alias("i", "key")
+    )
+    finer = F.xxhash64("key", F.get("bands", (F.col("i") + 1) % BANDS))
+    rows = saved(banded.select("id", "key", finer.alias("finer")), "similar-bands")
+    coarse = saved(_grouped(rows), "similar-coarse")
+    fine = _grouped(
+        coarse.where(F.col("n") > BAND_PAIRS).select("id", F.col("finer").alias("key"))
+    )
+    found = _pairs_of(coarse.select("id", "key", "n", "least")).union(_pairs_of(fine))
+    found = saved(found.distinct(), "similar-candidates")
+
+    @F.pandas_udf("double")
+    def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            values = []
+            for x, y in zip(left, right, strict=True):
+                a, b = shingle_set(x, shingle_words), shingle_set(y, shingle_words)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                values.append(shared / max(1, len(a) + len(b) - shared))
+            yield pd.Series(values, dtype="float64")
+
+    texts = docs.select("doc_id", "text")
+    joined = found.join(texts.withColumnsRenamed({"doc_id": "a", "text": "left"}), "a").join(
+        texts.withColumnsRenamed({"doc_id": "b", "text": "right"}), "b"
+    )
+    close = joined.select("a", "b", jaccard("left", "right").alias("j")).where(
+        F.col("j") >= similarity
+    )
+    return same.union(close.select("a", "b"))

@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import random
+
+from docflow.llm import simhash, similar
+from docflow.llm.components import components
+from tests.llm.conftest import table
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def near(a, b):
+    x, y = shingles(a), shingles(b)
+    return bool(x | y) and len(x & y) >= 0.8 * len(x | y)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def corpus():
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = ["", None, "one two", "One  two", passage]
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        texts += [edited(rng, words, rng.choice([0, 0, 1, 2, 4, 9])) for _ in range(6)]
+        texts.append(" ".join(words) + " " + passage)
+    words = [f"h{i}" for i in range(200)]
+    texts += [edited(rng, words, 1) for _ in range(60)]  # more than a band's pairs
+    return list(enumerate(texts))
+
+
+def test_groups_like_all_pairs(llm):
+    rows = corpus()
+    got = dict(map(tuple, components(similar.similar_links(table(llm, rows))).collect()))
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if near(a, b):
+                assert got.get(i, i) == got.get(j, j), (i, j)
+    for i, root in got.items():
+        assert any(near(rows[i][1], b) for j, b in rows if j != i)
+    assert similar.similar_links(table(llm, rows).limit(0)).collect() == []
+
+
+def test_one_of_each_similar_group_stays(llm):
+    rows = corpus()
+    kept = {r.doc_id for r in simhash.one_of_each(table(llm, rows)).collect()}
+    texts = dict(rows)
+    for i in kept:
+        assert not any(near(texts[i], texts[j]) for j in kept if j < i)
+    assert 0 in kept and 2 in kept and 1 not in kept and 3 not in kept
