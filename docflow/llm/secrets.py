@@ -161,16 +161,12 @@ def _ratios(scanned: DataFrame) -> DataFrame:
     )
     firsts = full.groupBy("first").agg(*[F.sum(c).alias(f"{c}_first") for c in classes])
     seconds = full.groupBy("second").agg(*[F.sum(c).alias(f"{c}_second") for c in classes])
-    totals = full.groupBy(F.lit(1).alias("one")).agg(*[F.sum(c).alias(f"{c}_all") for c in classes])
-    joined = (
-        full.join(firsts, "first")
-        .join(seconds, "second")
-        .join(F.broadcast(totals), F.col("one") == F.when(F.col("pair") >= 0, 1))
-    )
+    totals = {c: counts.agg(F.coalesce(F.sum(c), F.lit(0)).alias(c)).scalar() for c in classes}
+    joined = full.join(firsts, "first").join(seconds, "second")
 
     def log_chance(c: str) -> Column:
         """Of the second character after the first, smoothed by its own share."""
-        share = (F.col(f"{c}_second") + 1) / (F.col(f"{c}_all") + ALPHABET)
+        share = (F.col(f"{c}_second") + 1) / (totals[c] + ALPHABET)
         return F.log((F.col(c) + SMOOTHING * share) / (F.col(f"{c}_first") + SMOOTHING))
 
     ratio = log_chance("random") - log_chance("plain")
