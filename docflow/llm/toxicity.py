@@ -29,7 +29,8 @@ SAMPLE_PER_CLASS = 8000
 #: Lengths in bytes of the word beginnings.
 STEMS = (4, 5, 6, 7, 8)
 #: Features whose counts in toxic and clean documents differ by at least this chi-square
-#: statistic are kept, the strongest first.
+#: statistic, and are likelier in toxic ones, are kept, the strongest first. Benign words
+#: thus never outweigh an insult, and a text without any feature is clean.
 MIN_CHI_SQUARE = 20.0
 MAX_FEATURES = 4096
 RIDGE = 0.3
@@ -124,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grader:
         counts.where((F.col("t") + F.col("c")) >= 5)
         .withColumn("chi", chi)
         .where(F.col("chi") >= MIN_CHI_SQUARE)
+        .where(F.col("t") * clean > F.col("c") * toxic)
         .orderBy(F.col("chi").desc(), "word")
         .limit(MAX_FEATURES)
         .collect()

@@ -81,13 +81,13 @@ def test_toxicity_of_documents(llm):
 
 
 def test_toxicity_edges(llm):
-    rows = [(i, "you fool" if i % 2 else "fine words") for i in range(40)]
-    labels = table(llm, [(i, 0, i % 2) for i in range(40)] + [(None, 0, 1), (41, 0, None)], LABELS)
+    rows = [(i, "you fool" if i % 4 == 1 else "fine words") for i in range(40)]
+    labels = table(llm, [(i, 0, int(i % 4 == 1)) for i in range(40)] + [(None, 0, 1), (41, 0, None)], LABELS)
     docs = table(llm, rows + [(100, None), (101, ""), (101, ""), (None, "YOU FOOL! " * 50_000)])
     docs = docs.withColumn("severity", F.lit("clash")).withColumn("g", F.lit(1))
     got = {(r.doc_id, r.rejected) for r in toxicity.toxicity_grades(docs, labels).collect()}
     assert {(1, True), (2, False), (None, True)} <= got and (100, True) not in got
     kept = toxicity.clean_documents(docs, labels)
-    assert kept.columns == docs.columns and kept.where("doc_id % 2 = 1 AND doc_id < 40").isEmpty()
+    assert kept.columns == docs.columns and kept.where("doc_id % 4 = 1 AND doc_id < 40").isEmpty()
     assert toxicity.clean_documents(docs, labels.limit(0)).count() == docs.count()
     assert toxicity.toxicity_grades(docs.limit(0), labels).collect() == []
