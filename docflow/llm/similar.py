@@ -3,26 +3,38 @@
 Complements SimHash, whose 64 bits cannot be searched for the distances that such
 texts have. Candidates agree in a band of four of 64 minimum hashes; each is then
 verified by the exact Jaccard similarity of the shingle sets. At a similarity of 0.8
-a pair of a small band is missed with a probability of 0.0002. Bands shared by
-many texts are not paired up: they are cut finer by their neighbouring band, and what is
-still crowded is compared with its smallest member.
+a pair that no crowd holds is missed with a probability of 0.0002 (it agrees in no band).
+
+Bands shared by many texts, crowds, are not paired up. Their members are first compared
+with a few of them, which links most near copies. What is still in different groups is
+joined exactly: two sets of that similarity share a shingle among their rarest ones
+(prefix filter, any one order of the shingles will do), and have sizes within the
+similarity of each other. Pairs of one group need no comparison, so a crowd of near
+copies costs its members times those left over, and unlike texts around a shared passage
+do not meet, as their rarest shingles are their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.common import saved, spaced_words
+from docflow.llm.components import components
+from docflow.session import spread
 
 BANDS, ROWS = 16, 4
 #: Members of a band up to which all its pairs are compared.
 BAND_PAIRS = 24
+#: Counters by which shingles are ordered; shingles of one counter follow their hash.
+COUNTERS = 1 << 20
 _FACTORS = np.random.default_rng(8).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(
     2
 ) + np.uint64(1)
@@ -58,7 +70,7 @@ def _sketch(text: str | None, shingle_words: int) -> tuple[int, list[int]]:
 
 
 def _pairs_of(keyed: DataFrame) -> DataFrame:
-    """All pairs of small groups; of others each member with the smallest."""
+    """All pairs of small groups; of others each member with the leader."""
     few = (
         keyed.where(F.col("n") <= BAND_PAIRS)
         .groupBy("key")
@@ -66,14 +78,101 @@ def _pairs_of(keyed: DataFrame) -> DataFrame:
         .select("ids", F.posexplode("ids").alias("i", "a"))
         .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
     )
-    crowded = keyed.where(F.col("n") > BAND_PAIRS).select("key", "id", "least")
-    return few.union(crowded.where("id > least").select(F.col("least").alias("a"), "id"))
+    crowded = keyed.where(F.col("n") > BAND_PAIRS).where("id <> leader")
+    return few.union(crowded.select(F.least("id", "leader"), F.greatest("id", "leader")))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Rows (key, id) of keys with several members, with their number and smallest."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    return rows.join(sizes.where("n > 1"), "key")
+    """Rows (key, id) of keys with several members, with their number and any one leader."""
+    sizes = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("key", "id")).alias("leader")
+    )
+    return rows.join(spread(sizes.where("n > 1")), "key")
+
+
+def _in_groups(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with ``id``, and the group ``g`` that the links put it in."""
+    groups = components(links).select(F.col("node").alias("id"), "root")
+    return rows.join(groups, "id", "left").select(
+        *rows.columns, F.coalesce("root", "id").alias("g")
+    )
+
+
+def _leader_pairs(crowd: DataFrame) -> DataFrame:
+    """Each member of a key with any one of the key, if their groups differ."""
+    other = F.struct(F.col("id").alias("leader"), F.col("g").alias("of"))
+    leaders = crowd.groupBy("key").agg(F.min_by(other, F.xxhash64("id", "key")).alias("l"))
+    met = crowd.join(spread(leaders), "key").where(F.col("g") != F.col("l.of"))
+    return met.select(
+        F.least("id", "l.leader").alias("a"), F.greatest("id", "l.leader").alias("b")
+    ).distinct()
+
+
+def _least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of this size shares at least with any similar one."""
+    return max(1, math.ceil(similarity * size - 1e-9))
+
+
+def _rarest(texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(id, size, shingle): the shingles of which similar sets share one, rare ones first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = shingle_set(text, shingle_words) & np.uint64(COUNTERS - 1)
+                np.add.at(counts, at.astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(counts[used])], names=["at", "n"]
+        )
+
+    found = texts.select("text").mapInArrow(count, "at long, n long")
+    table = found.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[table.column("at").to_numpy()] = table.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("size long, shingles array<long>")
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch:
+                own = shingle_set(text, shingle_words)
+                often = shared.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((own, often))
+                take = len(own) - _least_shared(len(own), similarity) + 1
+                rows.append((len(own), own[order[:take]].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["size", "shingles"])
+
+    return texts.select("id", first("text").alias("f")).select(
+        "id", "f.size", F.explode("f.shingles").alias("shingle")
+    )
+
+
+def _joined_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different groups that share a shingle and have fitting sizes.
+
+    A shingle is left out if one group has it alone. Otherwise the members of its
+    largest group meet those of the others only.
+    """
+    kinds = postings.groupBy("shingle", "g").agg(F.count(F.lit(1)).alias("n"))
+    mains = kinds.groupBy("shingle").agg(
+        F.max_by("g", "n").alias("main"), F.count(F.lit(1)).alias("kinds")
+    )
+    mains = spread(mains.where("kinds > 1").select("shingle", "main"))
+    several = saved(postings.join(mains, "shingle"), "similar-postings")
+    x, y = several.where("g <> main").alias("x"), several.alias("y")
+    close = (F.col("x.size") >= similarity * F.col("y.size") - 1e-6) & (
+        F.col("y.size") >= similarity * F.col("x.size") - 1e-6
+    )
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") != F.col("y.g")) & close
+    met = met & ((F.col("y.g") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    return (
+        x.join(y, met)
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        .distinct()
+    )
 
 
 def similar_links(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -106,10 +205,9 @@ def similar_links(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
     finer = F.xxhash64("key", F.get("bands", (F.col("i") + 1) % BANDS))
     rows = saved(banded.select("id", "key", finer.alias("finer")), "similar-bands")
     coarse = saved(_grouped(rows), "similar-coarse")
-    fine = _grouped(
-        coarse.where(F.col("n") > BAND_PAIRS).select("id", F.col("finer").alias("key"))
-    )
-    found = _pairs_of(coarse.select("id", "key", "n", "least")).union(_pairs_of(fine))
+    crowd = coarse.where(F.col("n") > BAND_PAIRS)
+    fine = _grouped(crowd.select("id", F.col("finer").alias("key")))
+    found = _pairs_of(coarse.select("id", "key", "n", "leader")).union(_pairs_of(fine))
     found = saved(found.distinct(), "similar-candidates")
 
     @F.pandas_udf("double")
@@ -123,10 +221,24 @@ def similar_links(docs: DataFrame, shingle_words: int = 5, similarity: float = 0
             yield pd.Series(values, dtype="float64")
 
     texts = docs.select("doc_id", "text")
-    joined = found.join(texts.withColumnsRenamed({"doc_id": "a", "text": "left"}), "a").join(
-        texts.withColumnsRenamed({"doc_id": "b", "text": "right"}), "b"
-    )
-    close = joined.select("a", "b", jaccard("left", "right").alias("j")).where(
-        F.col("j") >= similarity
-    )
-    return same.union(close.select("a", "b"))
+
+    def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        joined = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "left"}), "a").join(
+            texts.withColumnsRenamed({"doc_id": "b", "text": "right"}), "b"
+        )
+        close = joined.select("a", "b", jaccard("left", "right").alias("j"))
+        return saved(close.where(F.col("j") >= similarity).select("a", "b"), name)
+
+    close = verified(found, texts, "similar-close")
+    if crowd.isEmpty():
+        return same.union(close)
+
+    own = crowd.select(F.col("id").alias("doc_id")).distinct()
+    texts = saved(texts.join(own, "doc_id").dropDuplicates(["doc_id"]), "similar-crowd")
+    crowd = crowd.select("id", "key")
+    led = saved(_in_groups(crowd, close), "similar-led")
+    close = close.union(verified(saved(_leader_pairs(led), "similar-leaders"), texts, "similar-close"))
+    rarest = _rarest(texts.withColumnRenamed("doc_id", "id"), shingle_words, similarity)
+    postings = saved(_in_groups(rarest, close), "similar-rarest")
+    left = saved(_joined_pairs(postings, similarity), "similar-left")
+    return same.union(close).union(verified(left, texts, "similar-close"))

@@ -56,3 +56,33 @@ def test_one_of_each_similar_group_stays(llm):
     for i in kept:
         assert not any(near(texts[i], texts[j]) for j in kept if j < i)
     assert 0 in kept and 2 in kept and 1 not in kept and 3 not in kept
+
+
+def crowds():
+    """Hundreds of copies at similarities around 0.8, and texts around one passage."""
+    rng = random.Random(11)
+    words = [f"c{i}" for i in range(500)]
+    texts = [edited(rng, words, rng.choice([5, 5, 6, 6, 7, 8])) for _ in range(300)]
+    passage = " ".join(f"q{i}" for i in range(260))
+    for i in range(80):
+        own = " ".join(f"o{rng.randrange(10**6)}" for _ in range(70 if i % 4 else 20))
+        texts.append(f"{passage} {own}")
+    return list(enumerate(texts))
+
+
+def test_crowds_group_like_all_pairs(llm):
+    rows = crowds()
+    sets = [shingles(t) for _, t in rows]
+    wanted = [
+        (i, j)
+        for i, a in enumerate(sets)
+        for j, b in enumerate(sets[:i])
+        if len(a & b) >= 0.8 * len(a | b)
+    ]
+    assert len(wanted) > 5000
+    linked = [(r.a, r.b) for r in similar.similar_links(table(llm, rows)).collect()]
+    assert set(linked) <= {(j, i) for i, j in wanted}
+    got = dict(map(tuple, components(table(llm, linked, "a long, b long")).collect()))
+    missed = [(i, j) for i, j in wanted if got.get(i, i) != got.get(j, j)]
+    assert not missed, (len(missed), len(wanted))
+    assert len(linked) < len(wanted) / 2  # few pairs of one group are compared
