@@ -99,3 +99,60 @@ def test_edges(llm):
     untrained = st.score(docs, st.train(docs.limit(0))).collect()
     assert len(untrained) == 6 and all(r.score == r.base_score == 0 for r in untrained)
     assert st.score(docs.limit(0), st.train(train)).collect() == []
+
+
+def test_contexts_grow_with_the_corpus(llm):
+    """Contexts and words far below the broadcast shares still tell their next word."""
+    rng = np.random.default_rng(1)
+    texts = []
+    for i in range(400):
+        words = []
+        for _ in range(40):
+            a = rng.integers(400)
+            words += [f"a{a}", f"b{a}", f"c{(a * 7 + 3) % 400}", f"n{rng.integers(50)}"]
+        texts.append((i, " ".join(words)))
+    docs = table(llm, texts)
+    wide = st.Limits(min_word=0.01, min_context=0.01, min_next=0.01)  # few fit the tree
+    shares = st.Limits(min_word=1e-9, min_context=1e-9, min_next=1e-9)  # all do
+    for limits in (wide, shares):
+        got = st.score(docs, st.train(docs, limits)).agg(F.sum("score"), F.sum("base_score"))
+        score, base = got.first()
+        # two of four words follow from the one before, the others are drawn evenly
+        assert score > 0.66 * base, (score, base)
+
+
+def test_probabilities_beyond_the_tree_sum_to_one(llm):
+    rng = np.random.default_rng(2)
+    texts = [
+        (i, " ".join(f"w{min(rng.geometric(0.15), 30)}" for _ in range(80)) + " x y z")
+        for i in range(60)
+    ]
+    limits = st.Limits(min_word=0.02, min_context=0.05, min_next=0.05, min_gain=1.0, min_count=5)
+    model = st.train(table(llm, texts), limits)
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    norm = model.tokens + model.words + 1
+    for context in ("x y", "y", "w1 w2", "w3", "w9", "x", "z"):
+        own = spaced_words(context)
+        last = [*(w for w in counts if w), b""]
+        words = [[*own, w] if w else own for w in last]
+        ids, sizes = model.vocabulary.encode(words)
+        logs, by = model.tree.walk(ids, sizes)
+        added, left = st._beyond(words, sizes, by, model.beyond, st.beyond.WordHashes())
+        assert not any(left.to_pylist())  # at this size all are broadcast
+        at = np.cumsum(sizes) - sizes + len(own)
+        rare = zip(ids[at] < 0, last, strict=True)
+        base = [math.log10((counts[w] + 1) / norm) if r else 0.0 for r, w in rare]
+        assert sum(10 ** (logs[at] + added[at] + base)) == pytest.approx(1.0, abs=2e-3)
+    assert model.beyond.table.where("value > 0").count() > 0
+
+
+def test_rows_that_are_not_broadcast_count_too(llm, monkeypatch):
+    texts = [(i, f"a{i % 9} b{i % 9} c{i % 9} " * 9) for i in range(90)]
+    limits = st.Limits(min_word=0.05, min_context=0.05, min_next=0.05)
+    docs = table(llm, texts)
+    near = st.score(docs, st.train(docs, limits)).agg(F.sum("score")).first()[0]
+    monkeypatch.setattr(st.beyond, "FREQUENT", 2.0)
+    model = st.train(docs, limits)
+    far = st.score(docs, model)
+    assert not len(model.beyond.keys)
+    assert far.agg(F.sum("score")).first()[0] == pytest.approx(near)
