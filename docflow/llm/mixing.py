@@ -207,17 +207,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if short else df
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with ``mix_key``, by which they are placed: the id, if one row has it.
+
+    Rows that share an id, or have none, are told apart by their text and a number.
+    They are written once, so that every branch reads the same numbers.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = docs.withColumn("mix_key", key)
+    sizes = docs.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n"))
+    again = saved(sizes.where("n > 1").select("mix_key"), "mix-again")
+    if again.isEmpty():
+        return docs
+    number = F.monotonically_increasing_id().cast("string")
+    told = F.concat_ws("|", "mix_key", F.xxhash64("text").cast("string"), number)
+    several = docs.join(again, "mix_key", "left_semi").withColumn("mix_key", told)
+    return docs.join(again, "mix_key", "left_anti").unionByName(saved(several, "mix-several"))
+
+
 def mixed(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     """The rows of the mixture: all columns of ``docs`` and mix_source, mix_pass, mix_weight,
     mix_tokens, mix_block. A document that is read twice is in two rows.
 
     Documents need doc_id, text and source. A null source is the source with
-    the empty name; null texts have no tokens. Rows with the same doc_id share their
-    places, so repeated rows go together. Columns of the new names are replaced. No
+    the empty name; null texts have no tokens. Rows with the same doc_id, or
+    without one, have places of their own. Columns of the new names are replaced. No
     rows: no result.
     """
     recipe = recipe or Recipe()
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    own = [c for c in docs.columns if c not in NEW]
+    docs = _keyed(docs)
+    key = F.col("mix_key")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     slim = saved(
         docs.select(
@@ -228,8 +248,7 @@ def mixed(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     plan = _plans(slim, recipe)
     budget = plan.agg(F.max("budget")).first()[0] or 0.0
     blocks = max(1, math.ceil(budget / recipe.block_tokens))
-    own = [c for c in docs.columns if c not in NEW]
-    planned = docs.select(*[f"`{c}`" for c in own]).withColumn("mix_source", source)
+    planned = docs.select(*[f"`{c}`" for c in own], "mix_key").withColumn("mix_source", source)
     planned = planned.join(_small(plan), "mix_source")
     last = _hash(key, F.col("whole") + 1, "pass")
     taken = F.col("whole") + F.when(last <= F.col("last_hash"), 1).otherwise(0)

@@ -106,3 +106,17 @@ def test_equal_sources_stay_equal(llm, entropy_share):
     rows = [(i, "x y z", f"s{i % 4}") for i in range(40)]
     got = mixing.mixed(table(llm, rows, SOURCED), mixing.Recipe(entropy_share)).collect()
     assert len(got) == 40 and all(abs(r.mix_weight - 0.25) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_that_share_an_id_fill_their_quota(llm, doc_id):
+    rows = [(doc_id, "a b c d", "many")] * 400
+    rows += [(1000 + i, "e f g h", "few") for i in range(40)]
+    got = mixing.mixed(table(llm, rows, SOURCED), mixing.Recipe(1.0, None, 400, 40)).collect()
+    spent, blocks = Counter(), set()
+    for r in got:
+        spent[r.mix_source] += r.mix_tokens
+        if r.mix_source == "many":
+            blocks.add(r.mix_block)
+    assert spent == {"many": 200, "few": 200}
+    assert len(blocks) > 5
