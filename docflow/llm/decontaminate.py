@@ -9,7 +9,6 @@ the other and carry what they hit, so a broadcast stays bounded whatever the siz
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -164,6 +163,40 @@ def _pass(text: Column, before: Column | None, items: list, spark) -> Column:
     return further(text, before)
 
 
+def _pieces(text: str | None, size: int) -> list[str | None]:
+    """A text of at most ``size`` words, or pieces that hold each of its windows."""
+    words = item_words(text)
+    if len(words) <= size:
+        return [text]
+    step = max(1, size - WINDOW + 1)
+    cuts = range(0, max(1, len(words) - WINDOW + 1), step)
+    parts = (b" ".join(words[i : i + step + WINDOW - 1]) for i in cuts)
+    return [p.decode("utf-8", "surrogatepass") for p in parts]
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
+    """(name, text) of all items, dealt into lists of at most ``block_words`` words.
+
+    Only a piece as short as a window may be longer. There is at least one list.
+    """
+
+    @F.pandas_udf("array<string>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_pieces(t, block_words) for t in texts], dtype=object)
+
+    rows = benchmark.distinct().select("name", F.explode(pieces("text")).alias("text"))
+    items, held = [], 0
+    for name, text in rows.toLocalIterator():
+        n = len(item_words(text))
+        if items and held + n > block_words:
+            yield items
+            items, held = [], 0
+        items.append((name, text))
+        held += n
+    yield items
+
+
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, column: str = "_hits", block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -178,14 +211,8 @@ def with_hits(
     named = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text"
     )
-    total = named.agg(
-        F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")))
-    ).first()[0]
-    blocks = max(1, math.ceil((total or 0) / block_words))
     result = docs
-    for block in range(blocks):
-        part = named.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
-        items = [(r["name"], r["text"]) for r in part.collect()]
+    for block, items in enumerate(_blocks(named, block_words)):
         before = F.col(column) if block else None
         result = result.withColumn(column, _pass(F.col("text"), before, items, spark))
     return result

@@ -70,3 +70,15 @@ def test_removal(llm):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
     cut = {r.doc_id: r.text for r in dc.without_spans(docs, items).collect()}
     assert cut == {1: "Keep this,  - and that.", 2: "clean text", 3: None}
+
+
+def test_blocks_are_bounded(llm):
+    long = " ".join(f"w{i}" for i in range(300))
+    items = [(1, "ABC DEF " * 20), (2, long)] + [(3, "one two three " * 10)] * 50
+    named = table(llm, [(str(i), t) for i, t in items], "name string, text string")
+    blocks = list(dc._blocks(named, 60))
+    assert all(sum(len(dc.item_words(t)) for _, t in b) <= 60 for b in blocks)
+    assert sum(name == "3" for b in blocks for name, _ in b) == 1
+    docs = [(i, " ".join(f"w{j}" for j in range(i, i + 13))) for i in range(0, 290, 7)]
+    docs.append((999, "abc def " * 10))
+    assert found(table(llm, docs), table(llm, items, ITEM), block_words=60) == plain(docs, items)
