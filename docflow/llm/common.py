@@ -56,3 +56,9 @@ def label_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return known.where("y = 0").orderBy(*order).limit(per_class).union(
         known.where("y > 0").withColumn("y", F.lit(1)).orderBy(*order).limit(per_class)
     )
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of the sampled ids, one row each: of repeated ids the least text."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))

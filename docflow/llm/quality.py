@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import id_crc, label_sample
+from docflow.llm.common import id_crc, label_sample, sampled_texts
 
 #: Most labelled documents of either class that are learned from.
 SAMPLE_PER_CLASS = 3000
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Space:
             rows = [(y, *terms(t)) for y, t in zip(batch["y"], batch["text"], strict=True)]
             yield pd.DataFrame(rows, columns=["y", "numbers", "counts"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = sampled_texts(docs, sample)
     table = chosen.select("y", "text").mapInPandas(run, _TERMS).toPandas()
     rows = list(zip(table["numbers"], table["counts"], strict=True))
     rows = [(np.asarray(n, dtype=np.int64), np.asarray(c)) for n, c in rows]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import label_sample
+from docflow.llm.common import label_sample, sampled_texts
 from docflow.llm.decontaminate import item_words
 
 #: Most labelled documents of either class that are learned from.
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grader:
             words = [sorted(features_of(t)) for t in batch["text"]]
             yield pd.DataFrame({"y": batch["y"], "words": words})
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = sampled_texts(docs, sample)
     table = chosen.select("y", "text").mapInPandas(split, "y int, words array<binary>")
     sizes = {r["y"]: r["n"] for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)

@@ -91,3 +91,18 @@ def test_toxicity_edges(llm):
     assert kept.columns == docs.columns and kept.where("doc_id % 4 = 1 AND doc_id < 40").isEmpty()
     assert toxicity.clean_documents(docs, labels.limit(0)).count() == docs.count()
     assert toxicity.toxicity_grades(docs.limit(0), labels).collect() == []
+
+
+def test_a_repeated_id_counts_once(llm):
+    from docflow.llm import common
+
+    docs = table(llm, [(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")] + [(1, "b")] * 50)
+    sample = table(llm, [(1, 0), (2, 1)], "doc_id long, y int")
+    got = sorted(map(tuple, common.sampled_texts(docs, sample).collect()))
+    assert got == [(1, "a", 0), (2, None, 1)]
+    rows = [(i, f"fine calm word{i % 5} text") for i in range(30)]
+    rows += [(100 + i, f"vile nasty word{i % 5} text") for i in range(30)]
+    labels = table(llm, [(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    once = toxicity.fit(table(llm, rows), labels)
+    more = toxicity.fit(table(llm, rows + [rows[0]] * 300), labels)
+    assert repr(once) == repr(more)
