@@ -190,11 +190,17 @@ def one_of_each(
     """One document of each group of near-duplicates, the one with the smallest id.
 
     Documents are linked by their fingerprints, or by a Jaccard similarity of at least
-    ``similarity`` between their sets of ``similar_words``-word shingles. All columns stay. Rows with one id are one document, of which one row stays.
-    Rows without id count by their text and stay only in groups without any id.
+    ``similarity`` between their sets of ``similar_words``-word shingles. All columns stay. Rows with one id and one text are one document, of which one row stays;
+    rows with one id and other texts are documents of their own. Rows without id come last,
+    so they stay only in groups without any id.
     """
-    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("_simhash_key", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    number = F.col("doc_id").cast("long")
+    key = F.struct(
+        number.isNull().alias("last"),
+        F.coalesce(number, F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    keyed = docs.withColumn("_simhash_key", key)
     slim = keyed.select(F.col("_simhash_key").alias("doc_id"), "text")
     found = saved(near_duplicates(slim, shingle_words, distance), "simhash-found")
     counts = found.groupBy("doc_id").agg(

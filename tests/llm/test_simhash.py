@@ -117,3 +117,11 @@ def test_one_of_each(llm):
     docs = table(llm, rows).withColumn("extra", F.lit(1))
     got = sorted(map(tuple, simhash.one_of_each(docs).collect()), key=repr)
     assert got == sorted([(2, text, 1), (9, "else", 1), (None, "new", 1)], key=repr)
+
+
+def test_unlike_texts_of_one_id_stay(llm):
+    text = " ".join(f"w{i}" for i in range(50))
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text), (1, other), (1, other), (2, other + " more"), (3, "else")]
+    got = sorted(map(tuple, simhash.one_of_each(table(llm, rows)).collect()))
+    assert got == sorted([(1, text), (1, other), (3, "else")])
