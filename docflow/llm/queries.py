@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables."""
+"""The operators as queries over the given tables."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from docflow.llm import (
     iblt,
     mixing,
     quality,
+    repair,
     secrets,
     simhash,
     suffixtree,
@@ -119,6 +120,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.with_edits(_docs(spark, sf_dir))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.damage_and_repair(rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix_sources,
     "op2_toxicity": toxicity_grades,
@@ -130,4 +136,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash_dedup,
     "op9_decontaminate": benchmark_hits,
     "op10_fingerprints": fingerprints,
+    "op13_conversation_repair": conversation_repair,
 }
