@@ -41,6 +41,46 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
   coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id"""
 
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (
+    SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i
+    FROM w, (SELECT unnest(range(1, 6)) AS k) x WHERE len(w) >= k) y),
+f AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a
+  FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+inner_parts AS (
+  SELECT lang, a, w, s, unnest(range(1, k - s + 2)) AS i
+  FROM (SELECT *, unnest(range(2, k)) AS s FROM f WHERE k > 2) x),
+covered AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM inner_parts GROUP BY 1, 2),
+kept AS (
+  SELECT f.* FROM f LEFT JOIN covered c ON c.lang = f.lang AND c.phrase = f.phrase
+  WHERE f.k > 1 AND (c.longer IS NULL OR 100 * c.longer < 100 * f.a)),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS left_part,
+    array_to_string(w[c + 1 : k], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept) x),
+scored AS (
+  SELECT cuts.*, l.a AS l, r.a AS r, n.n,
+    CAST((CAST(1000 AS HUGEINT) * cuts.a * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = left_part
+    JOIN f r ON r.lang = cuts.lang AND r.phrase = right_part JOIN n ON n.lang = cuts.lang),
+lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
 _MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "[OUT]", "[ROLE]", "[TEXT]", "[/ROLE]", "[ESC]")
 
 
@@ -150,4 +190,5 @@ ORACLES = {
     "op1_mix_sources": MIX,
     "op4_chat_format": CHAT,
     "op9_decontaminate": DECONTAMINATE,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -13,6 +13,7 @@ from docflow.llm import (
     decontaminate,
     iblt,
     mixing,
+    phrases,
     quality,
     repair,
     secrets,
@@ -120,6 +121,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.with_edits(_docs(spark, sf_dir))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents", "lang", "text"))
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return repair.damage_and_repair(rows)
@@ -136,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash_dedup,
     "op9_decontaminate": benchmark_hits,
     "op10_fingerprints": fingerprints,
+    "op12_collocations": phrase_collocations,
     "op13_conversation_repair": conversation_repair,
 }
