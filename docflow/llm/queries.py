@@ -18,6 +18,7 @@ from docflow.llm import (
     repair,
     secrets,
     simhash,
+    sitetree,
     suffixtree,
     toxicity,
 )
@@ -121,6 +122,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.with_edits(_docs(spark, sf_dir))
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents", "lang", "text"))
 
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash_dedup,
     "op9_decontaminate": benchmark_hits,
     "op10_fingerprints": fingerprints,
+    "op11_page_text": page_texts,
     "op12_collocations": phrase_collocations,
     "op13_conversation_repair": conversation_repair,
 }
