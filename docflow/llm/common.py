@@ -30,6 +30,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shielded(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns but the ``needed`` ones renamed, and new names by old ones.
+
+    The new names are ``own_`` and a number, so no column that is added meets one.
+    """
+    names = {c: c if c in needed else f"own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def spaced_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -25,9 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import saved, spaced_words
+from docflow.llm.common import saved, spaced_words, unused
 from docflow.llm.components import components
-from docflow.llm.similar import similar_links
 
 BITS = 64
 SEED = 42
@@ -180,19 +179,12 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(
-    docs: DataFrame,
-    shingle_words: int = 3,
-    distance: int = 2,
-    similar_words: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id.
+def one_of_each(docs: DataFrame, shingle_words: int = 3, distance: int = 2) -> DataFrame:
+    """One document of each component of ``near_duplicates``, the one with the smallest id.
 
-    Documents are linked by their fingerprints, or by a Jaccard similarity of at least
-    ``similarity`` between their sets of ``similar_words``-word shingles. All columns stay. Rows with one id and one text are one document, of which one row stays;
-    rows with one id and other texts are documents of their own. Rows without id come last,
-    so they stay only in groups without any id.
+    All columns stay, whatever their names. Rows with one id and one text are one document,
+    of which one row stays; rows with one id and other texts are documents of their own.
+    Rows without id come last, so they stay only in groups without any id. No rows: no result.
     """
     number = F.col("doc_id").cast("long")
     key = F.struct(
@@ -200,27 +192,16 @@ def one_of_each(
         F.coalesce(number, F.lit(0)).alias("id"),
         F.xxhash64("text").alias("text_hash"),
     )
-    keyed = docs.withColumn("_simhash_key", key)
-    slim = keyed.select(F.col("_simhash_key").alias("doc_id"), "text")
-    found = saved(near_duplicates(slim, shingle_words, distance), "simhash-found")
-    counts = found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")
-    )
-    counts = saved(counts, "simhash-counts")
-    close = similar_links(slim, similar_words, similarity)
-    by_print = found.where("doc_id > component_id").select(
-        F.col("component_id").alias("a"), F.col("doc_id").alias("b")
-    )
-    groups = components(by_print.union(close))
-    kept = counts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti")
-    kept = saved(kept.select("doc_id", "n"), "simhash-kept")
+    name = unused(docs, "simhash_key")
+    keyed = docs.withColumn(name, key)
+    found = near_duplicates(keyed.select(F.col(name).alias("doc_id"), "text"), shingle_words, distance)
+    first = found.where("doc_id = component_id")
+    kept = saved(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
     # shuffled at any size: the ids kept grow with the corpus, and a plan that turns
     # from broadcast to shuffle on the way makes its cost hard to foresee
     result = keyed.join(
-        kept.select(F.col("doc_id").alias("_simhash_key")).hint("shuffle_merge"),
-        "_simhash_key",
-        "left_semi",
+        kept.select(F.col("doc_id").alias(name)).hint("shuffle_merge"), name, "left_semi"
     )
     if not kept.where("n > 1").isEmpty():
-        result = result.dropDuplicates(["_simhash_key"])
-    return result.drop("_simhash_key")
+        result = result.dropDuplicates([name])
+    return result.drop(name)

@@ -114,14 +114,35 @@ def test_components_of_paths_and_stars(llm):
 def test_one_of_each(llm):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text), (2, text), (2, text), (None, text), (9, "else"), (None, "new"), (None, "new")]
-    docs = table(llm, rows).withColumn("extra", F.lit(1))
-    got = sorted(map(tuple, simhash.one_of_each(docs).collect()), key=repr)
-    assert got == sorted([(2, text, 1), (9, "else", 1), (None, "new", 1)], key=repr)
+    docs = table(llm, rows)
+    names = ("_simhash_key", "simhash_key", "fp", "component_id", "n")
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    one = simhash.one_of_each(docs)
+    assert one.columns == docs.columns
+    got = sorted(map(tuple, one.collect()), key=repr)
+    assert got == sorted([(2, text, *names), (9, "else", *names), (None, "new", *names)], key=repr)
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_one_of_each_is_the_smallest_of_its_component(llm):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        base = words[(i % 12) * 30 : (i % 12) * 30 + 200]
+        if i >= 12 and rng.random() < 0.7:
+            base = [*base[:-1], f"end{i}"]
+        rows.append((i, " ".join(base)))
+    docs = table(llm, rows)
+    wanted = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == wanted
+    assert len(wanted) < len(rows)
 
 
 def test_unlike_texts_of_one_id_stay(llm):
     text = " ".join(f"w{i}" for i in range(50))
     other = " ".join(f"v{i}" for i in range(50))
-    rows = [(1, text), (1, other), (1, other), (2, other + " more"), (3, "else")]
+    rows = [(1, text), (1, other), (1, other), (2, other), (3, "else")]
     got = sorted(map(tuple, simhash.one_of_each(table(llm, rows)).collect()))
     assert got == sorted([(1, text), (1, other), (3, "else")])
