@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.common import unused
+
 WINDOW = 13
 #: Words of benchmark text that one broadcast may hold.
 BLOCK_WORDS = 2_000_000
@@ -232,20 +234,18 @@ def contaminated(hits: Column) -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without the contaminated ones; all columns and other rows stay."""
-    columns = docs.columns
-    return (
-        with_hits(docs, benchmark, "_hits")
-        .where(~contaminated(F.col("_hits")))
-        .select(*[f"`{c}`" for c in columns])
-    )
+    name = unused(docs, "hits")
+    marked = with_hits(docs, benchmark, name)
+    return marked.where(~contaminated(F.col(name))).drop(name)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents, hit passages cut out of their texts."""
-    marked = with_hits(docs, benchmark, "_hits")
+    name = unused(docs, "hits")
+    marked = with_hits(docs, benchmark, name)
     kept = F.concat(
         F.aggregate(
-            F.col("_hits.spans"),
+            F.col(name)["spans"],
             F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
             lambda acc, s: F.struct(
                 F.concat(
@@ -259,5 +259,5 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     return marked.withColumn(
-        "text", F.when(F.size("_hits.spans") > 0, kept).otherwise(F.col("text"))
-    ).select(*[f"`{c}`" for c in docs.columns])
+        "text", F.when(F.size(F.col(name)["spans"]) > 0, kept).otherwise(F.col("text"))
+    ).drop(name)

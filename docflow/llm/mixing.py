@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import saved
+from docflow.llm.common import saved, shielded
 
 GRID_BITS = 20
 #: Levels of the bisection that one job settles.
@@ -235,7 +235,7 @@ def mixed(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     rows: no result.
     """
     recipe = recipe or Recipe()
-    own = [c for c in docs.columns if c not in NEW]
+    docs, names = shielded(docs.drop(*NEW), ("doc_id", "text", "source"))
     docs = _keyed(docs)
     key = F.col("mix_key")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -248,7 +248,7 @@ def mixed(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
     plan = _plans(slim, recipe)
     budget = plan.agg(F.max("budget")).first()[0] or 0.0
     blocks = max(1, math.ceil(budget / recipe.block_tokens))
-    planned = docs.select(*[f"`{c}`" for c in own], "mix_key").withColumn("mix_source", source)
+    planned = docs.withColumn("mix_source", source)
     planned = planned.join(_small(plan), "mix_source")
     last = _hash(key, F.col("whole") + 1, "pass")
     taken = F.col("whole") + F.when(last <= F.col("last_hash"), 1).otherwise(0)
@@ -260,7 +260,14 @@ def mixed(docs: DataFrame, recipe: Recipe | None = None) -> DataFrame:
         planned.withColumn("mix_pass", F.explode(turns))
         .withColumn("mix_block", F.least(F.floor(place * blocks), F.lit(blocks - 1)).cast("long"))
         .withColumn("mix_tokens", n_words(F.col("text")))
-        .select(*[f"`{c}`" for c in own], "mix_source", "mix_pass", F.col("weight").alias("mix_weight"), "mix_tokens", "mix_block")
+        .select(
+            *[F.col(inner).alias(c) for c, inner in names.items()],
+            "mix_source",
+            "mix_pass",
+            F.col("weight").alias("mix_weight"),
+            "mix_tokens",
+            "mix_block",
+        )
     )
 
 

@@ -63,12 +63,13 @@ def test_edges(llm):
 
 def test_removal(llm):
     docs = table(llm, [(1, f"Keep this, {LONG} - and that."), (2, "clean text"), (3, None)])
-    docs = docs.withColumn("_extra", F.lit(7))
+    docs = docs.withColumn("_extra", F.lit(7)).withColumn("_hits", F.lit(1)).withColumn("hits", F.lit(2))
     items = table(llm, [(1, LONG)], ITEM)
     kept = dc.clean_documents(docs, items)
-    assert kept.columns == ["doc_id", "text", "_extra"]
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert kept.columns == ["doc_id", "text", "_extra", "_hits", "hits"]
+    assert sorted((r.doc_id, r._hits, r.hits) for r in kept.collect()) == [(2, 1, 2), (3, 1, 2)]
     cut = {r.doc_id: r.text for r in dc.without_spans(docs, items).collect()}
+    assert dc.without_spans(docs, items).columns == docs.columns
     assert cut == {1: "Keep this,  - and that.", 2: "clean text", 3: None}
 
 

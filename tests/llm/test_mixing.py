@@ -120,3 +120,17 @@ def test_rows_that_share_an_id_fill_their_quota(llm, doc_id):
             blocks.add(r.mix_block)
     assert spent == {"many": 200, "few": 200}
     assert len(blocks) > 5
+
+
+def test_columns_named_like_inner_ones_stay(llm):
+    """The rows of the same mixture without the extra columns, and each with its own values."""
+    _, docs = corpus(llm)
+    names = ("mix_key", "whole", "weight", "passes", "budget", "last_hash", "tokens", "own_3", "cells", "h")
+    crowded = docs.select("*", *[(F.col("doc_id") * k).alias(c) for k, c in enumerate(names, 1)])
+    got = mixing.mixed(crowded)
+    assert got.columns == [*crowded.columns, *mixing.NEW]
+    rows = got.collect()
+    assert all(r[c] == r.doc_id * k for r in rows for k, c in enumerate(names, 1))
+    wanted = mixing.mixed(docs).collect()
+    key = lambda r: (r.doc_id, r.text, r.source, *[r[c] for c in mixing.NEW])
+    assert sorted(map(key, rows)) == sorted(map(key, wanted))
