@@ -38,28 +38,35 @@ MIN_RATIO = 0.5
 _SPANS = "array<struct<start:int,stop:int,text:string>>"
 
 
-def _spans(text: Column, pattern: str, found: Column, keep=None) -> Column:
+def _spans(text: Column, pattern: str, found: Column, values: Column | None = None, keep=None) -> Column:
     """(start, stop, text) of all matches; ``found`` are their texts, in order.
 
     Positions are sums of the lengths of matches and of the gaps between them.
-    ``keep(i)``: whether match i (from 0) stays.
+    ``keep(row, i)``: whether match i (from 0) stays; ``row`` has the matches' ``values``.
     """
-    gaps = F.split(text, pattern, -1)
     kind = f"struct<at:int,spans:{_SPANS}>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")).cast(kind)
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        match = F.get(found, i)
-        stop = begin + F.length(match)
-        span = F.struct(begin.alias("start"), stop.alias("stop"), match.alias("text"))
-        more = F.array_append(acc["spans"], span)
-        kept = more if keep is None else F.when(keep(i), more).otherwise(acc["spans"])
-        return F.struct(stop.alias("at"), kept.alias("spans")).cast(kind)
-
-    all_spans = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["spans"]
-    )
+    def placed(both: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            begin = acc["at"] + F.length(F.get(both["gaps"], i))
+            match = F.get(both["found"], i)
+            stop = begin + F.length(match)
+            span = F.struct(begin.alias("start"), stop.alias("stop"), match.alias("text"))
+            more = F.array_append(acc["spans"], span)
+            kept = more if keep is None else F.when(keep(both, i), more).otherwise(acc["spans"])
+            return F.struct(stop.alias("at"), kept.alias("spans")).cast(kind)
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(both["found"]) - 1), start, step, lambda acc: acc["spans"]
+        )
+
+    # one-element transform: binds gaps and matches, so that the text is cut once
+    # and not once per span
+    parts = [F.split(text, pattern, -1).alias("gaps"), found.alias("found")]
+    if values is not None:
+        parts.append(values.alias("values"))
+    all_spans = F.get(F.transform(F.array(F.struct(*parts)), placed), F.lit(0))
     return F.when(F.size(found) > 0, all_spans).otherwise(F.array().cast(_SPANS))
 
 
@@ -84,14 +91,13 @@ def _scan(docs: DataFrame) -> DataFrame:
         F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("runs"),
     )
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    found = found.withColumn("values", F.when(F.size("assigns") > 0, values))
 
-    def long_enough(i: Column) -> Column:
-        return F.length(F.get(F.col("values"), i)) >= ASSIGN_CHARS
+    def long_enough(row: Column, i: Column) -> Column:
+        return F.length(F.get(row["values"], i)) >= ASSIGN_CHARS
 
     placed = found.select(
         "doc_id",
-        _spans(text, ASSIGN, F.col("assigns"), long_enough).alias("assign"),
+        _spans(text, ASSIGN, F.col("assigns"), values, long_enough).alias("assign"),
         _spans(text, ACCESS, F.col("accesses")).alias("access"),
         _spans(text, HEX, F.col("hexes")).alias("hex"),
         _spans(text, RUN, F.col("runs")).alias("run"),

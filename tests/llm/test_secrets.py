@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import hashlib
 import random
 import re
@@ -72,3 +74,11 @@ def test_edges(llm):
     assert secrets.find_secrets(docs.limit(0)).collect() == []
     alone = table(llm, [(1, "abcdefghijklmnopqrstuvw")])
     assert secrets.find_secrets(alone).first().spans == []
+
+
+def test_time_grows_with_the_spans(llm):
+    """One text with thousands of secrets, so that what is done per span shows."""
+    text = " ".join(f"{i:024x}" if i % 2 else f"token = {'k%d' % i * 8}" for i in range(3000))
+    start = time.time()
+    [row] = secrets.find_secrets(table(llm, [(1, text)])).collect()
+    assert (row.n_assign, row.n_hex) == (1500, 1500) and time.time() - start < 60
