@@ -90,14 +90,21 @@ def write_archive(
     """Encode whole texts and write them as an archive in ascending ``doc_id`` order.
 
     ``docs`` needs doc_id and text; other columns are not read. A null text is
-    empty: only the end id. Rows without doc id come first; equal ids are ordered
-    by text. No rows give an empty archive.
+    empty: only the end id. Rows without doc id come first; rows of one id are in the
+    order of a hash of their text, so that a shared or missing id spreads over the
+    parts. No rows give an empty archive.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = dealt.mapInArrow(lambda batches: _runs(batches, tokenizer, end_id), ARCHIVE)
+    rows = docs.select(
+        F.col("doc_id").cast("long"),
+        "text",
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    order = ("doc_id", "text_hash", "row")
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    encoded = dealt.select("doc_id", "text").mapInArrow(lambda batches: _runs(batches, tokenizer, end_id), ARCHIVE)
     encoded.write.parquet(path)
 
 

@@ -26,9 +26,9 @@ import zlib
 import numpy as np
 
 #: Ids of a block.
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks that are coded in step.
-LANES = 1024
+LANES = 2048
 MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIIIB")  # magic, ids, words, crc of ids, crc of words, id bits
 _CRC = struct.Struct("<I")  # of the head

@@ -2,7 +2,9 @@
 
 Byte-level BPE never merges across a single space between two other characters:
 the splitting pattern starts a new piece there. So a text's ids are the ids of its
-units (cut at such spaces, the space leading), and units repeat a lot.
+units (cut at such spaces, the space leading), and units repeat a lot. A special string
+inside a text, such as ``<|endoftext|>``, has no space and so lies within one unit, where the
+tokenizer treats it as it does in the whole text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
