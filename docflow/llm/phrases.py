@@ -1,22 +1,25 @@
 """Phrase collocation mining by Toivonen's method.
 
 A sample of the documents proposes phrases: those of one to five words that are frequent in
-it at a lowered threshold. One pass over all documents then counts, exactly, the proposed
-phrases and their negative border: the phrases that were not proposed although both their
-parts, without the last and without the first word, were. (All single words are counted.)
-A border phrase that turns out frequent is a failure of the sample: it is added to
-the proposals, and a further pass counts the border that this opens. When no border
-phrase is frequent any more, every frequent phrase has been counted: its parts are frequent,
-so they were proposed or added, so it was counted.
-
-The proposals travel to the tasks as a bit filter of bounded size. A phrase that passes it
-wrongly is only counted in vain. Counts are kept per (language, phrase) as text, so
-no hash decides a result.
+it at a lowered threshold. A pass over all documents then counts the proposed phrases and
+their negative border: the phrases that were not proposed although both their parts, without
+the last and without the first word, were. (All single words are counted.) This pass adds
+up 64-bit hashes of phrases: no count can come out too low, so what stays below
+the threshold is not frequent. A border phrase that reaches it is a failure of the sample. The
+last pass counts by text, exactly, all phrases that reached the threshold, and expands the
+failures: it also counts every phrase that a failure, or a phrase counted because of
+one, is the first or last part of. That closes the border: the parts of a frequent phrase
+are frequent, so either both were proposed and the phrase was counted in the first pass, or
+one of them is a failure or counted because of one, and so is the phrase.
+
+Proposals, frequent phrases and failures travel to the tasks as bit filters of bounded
+size. What passes a filter wrongly is only counted in vain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from math import floor, sqrt
 
 import numpy as np
@@ -71,39 +74,28 @@ def _member(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    """Sum of the words' hashes, multiplied by place, and of the language's hash."""
-    words = pc.split_pattern(phrases, " ")
-    offsets = words.offsets.to_numpy()
-    flat = words.flatten().dictionary_encode()
-    place = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
-    each = _hashes(flat.dictionary)[flat.indices.to_numpy()] * _PLACES[place]
-    lang = langs.dictionary_encode()
-    return np.add.reduceat(each, offsets[:-1]) + _hashes(lang.dictionary)[lang.indices.to_numpy()]
-
-
-def phrase_filter(phrases: DataFrame) -> np.ndarray:
-    """Bit filter of the stored table ``phrases`` (lang, phrase), as 64-bit words.
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """Bit filter of the stored table ``hashes`` (hash), as 64-bit words.
 
     Bits are set in the tasks and merged before they reach the driver: at most
     ``MOST_BITS``, whatever the number of phrases.
     """
-    wanted = max(phrases.count() * BITS_EACH, 1 << 12)
+    wanted = max(hashes.count() * BITS_EACH, 1 << 12)
     bits = min(1 << (wanted - 1).bit_length(), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashes = _phrase_hashes(batch["lang"], batch["phrase"])
-            bit = np.unique(np.concatenate(list(_probes(hashes, bits))))
+            own = batch["hash"].to_numpy().view(np.uint64)
+            bit = np.unique(np.concatenate(list(_probes(own, bits))))
             start = np.flatnonzero(np.diff(bit >> 6, prepend=-1))
             value = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), start)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bit[start] >> 6), pa.array(value.view(np.int64))], ["at", "value"]
             )
 
-    merged = phrases.select("lang", "phrase").mapInArrow(run, "at long, value long")
+    merged = hashes.select("hash").mapInArrow(run, "at long, value long")
     words = merged.groupBy("at").agg(F.bit_or("value").alias("value")).toPandas()
     filter_ = np.zeros(bits // 64, np.uint64)
     filter_[words["at"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64).view(np.uint64)
@@ -137,143 +129,149 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each value among the distinct ones, their counts, their first places)."""
+    """(number of each value among the distinct ones, their counts, their first indices)."""
     codes, kinds = pd.factorize(values)
     first = np.empty(len(kinds), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     return codes, np.bincount(codes, minlength=len(kinds)), first
 
 
-def block_counts(
-    langs: pa.Array,
-    texts: pa.Array,
-    known: np.ndarray | None,
-    fresh: np.ndarray | None,
-    lengths: range,
-) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(languages, phrases, counts) of a block's phrases of the given lengths.
+class Block:
+    """Words of some texts as numbers, and the phrases found so far at each place."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        marked = pc.replace_substring_regex(pc.ascii_lower(texts), _SEPARATORS, f" {_BREAK} ")
+        marked = pc.binary_join_element_wise(marked, f" {_BREAK}", "")
+        split = pc.ascii_split_whitespace(marked)
+        of_text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        flat = split.flatten()
+        shown = pc.not_equal(flat, "")
+        of_text = of_text[shown.to_numpy(zero_copy_only=False)]
+        flat = flat.filter(shown).dictionary_encode()
+        kinds = langs.dictionary_encode()
+        self.langs, self.spelled = kinds.dictionary, flat.dictionary
+        self.word = flat.indices.to_numpy().astype(np.int64)
+        self.lang = kinds.indices.to_numpy().astype(np.int64)[of_text]
+        self.is_word = pc.not_equal(self.spelled, _BREAK).to_numpy(zero_copy_only=False)[self.word]
+        self.each = _hashes(self.spelled)[self.word]
+        self.hashes = self.each * _PLACES[0] + _hashes(self.langs)[self.lang]
+        # numbers of the phrases that start at a place: equal for equal phrases of one length
+        self.gram = self.lang * len(self.spelled) + self.word
+
+    def phrases(self, length: int, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(places, number of the phrase at each, counts, a first place) of the phrases of
+        ``length`` words that start where ``at`` says; the phrases one word shorter came before."""
+        places = np.flatnonzero(at)
+        if length > 1:
+            last = places + length - 1
+            self.gram[places] = self.gram[places] * len(self.spelled) + self.word[last]
+            self.hashes[places] += self.each[last] * _PLACES[length - 1]
+        codes, counts, first = _distinct(self.gram[places])
+        self.gram[places] = codes
+        return places, codes, counts, places[first]
+
+    def named(self, first: np.ndarray, length: int) -> tuple[pa.Array, pa.Array]:
+        words = [self.spelled.take(pa.array(self.word[first + i])) for i in range(length)]
+        return (
+            self.langs.take(pa.array(self.lang[first])),
+            pc.binary_join_element_wise(*words, " "),
+        )
 
-    Counted are phrases whose parts, without the last and without the first word, both pass
-    ``known``, and with ``fresh`` one of them also passes that. Single words are all
-    counted, and with them the number of words of each language as the empty phrase.
-    """
-    marked = pc.replace_substring_regex(pc.ascii_lower(texts), _SEPARATORS, f" {_BREAK} ")
-    marked = pc.binary_join_element_wise(marked, f" {_BREAK}", "")
-    split = pc.ascii_split_whitespace(marked)
-    of_text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    flat = split.flatten()
-    shown = pc.not_equal(flat, "")
-    of_text = of_text[shown.to_numpy(zero_copy_only=False)]
-    flat = flat.filter(shown).dictionary_encode()
-    word, spelled = flat.indices.to_numpy().astype(np.int64), flat.dictionary
-    kinds = langs.dictionary_encode()
-    lang = kinds.indices.to_numpy().astype(np.int64)[of_text]
-    is_word = pc.not_equal(spelled, _BREAK).to_numpy(zero_copy_only=False)[word]
-    del split, marked, of_text
-
-    def named(first: np.ndarray, length: int) -> tuple[pa.Array, pa.Array]:
-        words = [spelled.take(pa.array(word[first + i])) for i in range(length)]
-        return kinds.dictionary.take(pa.array(lang[first])), pc.binary_join_element_wise(*words, " ")
-
-    if lengths[0] == 1:
-        totals = np.bincount(lang[is_word], minlength=len(kinds.dictionary))
-        yield kinds.dictionary, pa.array([""] * len(totals), pa.string()), totals
-        places = np.flatnonzero(is_word)
-        _, counts, first = _distinct(lang[places] * len(spelled) + word[places])
-        yield *named(places[first], 1), counts
-    if lengths[-1] == 1 or known is None:
-        return
-    each = _hashes(spelled)[word]
-    hashes = each * _PLACES[0] + _hashes(kinds.dictionary)[lang]
-    passes = is_word & _member(known, hashes)
-    new = passes & _member(fresh, hashes) if fresh is not None else passes
-    gram = lang * len(spelled) + word
-    for length in range(2, lengths[-1] + 1):
-        both = passes[:-1] & passes[1:]
-        places = np.flatnonzero(both)
+
+def hash_counts(
+    block: Block, known: np.ndarray | None, lengths: range
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of the phrases of the given lengths whose parts both pass ``known``."""
+    at = block.is_word
+    for length in range(1, lengths[-1] + 1):
+        places, codes, counts, first = block.phrases(length, at)
         if not len(places):
             return
-        codes, counts, first = _distinct(gram[places] * len(spelled) + word[places + length - 1])
-        hashes[places] += each[places + length - 1] * _PLACES[length - 1]
+        heads = block.hashes[first]
         if length in lengths:
-            opened = (new[:-1] | new[1:])[places[first]]
-            yield *named(places[first[opened]], length), counts[opened]
-        head = hashes[places[first]]
-        member = _member(known, head)
-        of_new = member & _member(fresh, head) if fresh is not None else member
-        passes = np.zeros(len(word), bool)
-        new = np.zeros(len(word), bool)
-        gram = np.zeros(len(word), np.int64)
-        passes[places], new[places], gram[places] = member[codes], of_new[codes], codes
-
-
-def _counted(
-    docs: DataFrame,
-    lengths: range,
-    least: int,
-    name: str,
-    known: np.ndarray | None = None,
-    fresh: np.ndarray | None = None,
-) -> DataFrame:
-    """One pass: phrases that occur at least ``least`` times, and the words per language."""
+            yield heads, counts
+        if length < lengths[-1]:
+            passes = np.zeros(len(at), bool)
+            passes[places] = _member(known, heads)[codes]
+            at = np.append(passes[:-1] & passes[1:], False)
+
+
+def text_counts(
+    block: Block, often: np.ndarray, fresh: np.ndarray
+) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(languages, phrases, counts) of the phrases that pass ``often``, and of those with a part
+    that passes ``fresh`` or was itself counted for this. The empty phrase counts all words
+    of a language."""
+    totals = np.bincount(block.lang[block.is_word], minlength=len(block.langs))
+    yield block.langs, pa.array([""] * len(totals), pa.string()), totals
+    at, opened = block.is_word, np.zeros(len(block.word), bool)
+    for length in range(1, LONGEST + 1):
+        places, codes, counts, first = block.phrases(length, at)
+        if not len(places):
+            return
+        heads = block.hashes[first]
+        follows = opened[first]
+        counted = follows | _member(often, heads)
+        yield *block.named(first[counted], length), counts[counted]
+        passes, new = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        passes[places] = counted[codes]
+        new[places] = (follows | counted & _member(fresh, heads))[codes]
+        at = np.append(passes[:-1] & passes[1:], False)
+        opened = np.append(new[:-1] | new[1:], False)
+
+
+def _passed(docs: DataFrame, count, schema: str, *filters: np.ndarray | None) -> DataFrame:
+    """One pass over the blocks of ``docs`` with broadcast filters."""
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(f) if f is not None else None for f in (known, fresh)]
+    shared = [context.broadcast(f) if f is not None else None for f in filters]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [f.value if f else None for f in shared]
+        values = [f.value if f else None for f in shared]
         for batch in batches:
             for langs, texts in _blocks(batch):
-                for lang, phrase, n in block_counts(langs, texts, *filters, lengths):
-                    yield pa.RecordBatch.from_arrays(
-                        [lang, phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"]
-                    )
+                for columns in count(Block(langs, texts), *values):
+                    yield pa.RecordBatch.from_arrays([_plain(c) for c in columns], names)
 
-    counts = docs.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    kept = saved(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), name)
-    for filter_ in shared:
-        if filter_:
-            filter_.unpersist()
-    return kept
+    return docs.mapInArrow(run, schema)
 
 
-def _only_phrases(counts: DataFrame) -> DataFrame:
-    return counts.where("phrase <> ''").select("lang", "phrase")
+def _plain(column) -> pa.Array:
+    if isinstance(column, np.ndarray):
+        return pa.array(column.view(np.int64) if column.dtype == np.uint64 else column)
+    return column
+
+
+def _often_hashes(
+    docs: DataFrame, lengths: range, least: int, name: str, known: np.ndarray | None = None
+) -> DataFrame:
+    """Stored hashes of the phrases of one pass that are counted at least ``least`` times."""
+    counts = _passed(docs, partial(hash_counts, lengths=lengths), "hash long, n long", known)
+    summed = counts.groupBy("hash").agg(F.sum("n").alias("n"))
+    return saved(summed.where(F.col("n") >= least).select("hash"), name)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: float = SAMPLE) -> DataFrame:
     """(lang, phrase, n) of all phrases of one to five words that occur at least ``least`` times.
 
     The empty phrase counts all words of a language. ``docs`` has lang and text, both
-    without nulls. The sample decides only how many passes are needed: every count is over
-    all documents.
+    without nulls. The sample decides only how much is left to the expansion: every count is
+    over all documents.
     """
     drawn = saved(docs.sample(fraction=sample, seed=1), "phrases-sample")
     expected = least * sample
     lowered = max(2, floor(expected - 1.5 * sqrt(expected)))
-    proposed = _only_phrases(_counted(drawn, range(1, 2), lowered, "phrases-proposed"))
-    filter_ = phrase_filter(proposed)
-    for length in range(2, LONGEST + 1):
-        longer = _counted(drawn, range(length, length + 1), lowered, "phrases-proposed", filter_)
-        proposed = proposed.unionByName(_only_phrases(longer))
-        filter_ = phrase_filter(proposed)
-
-    found = _counted(docs, range(1, LONGEST + 1), least, "phrases-counted", filter_)
-    new = found
-    while True:
-        failures = saved(
-            _only_phrases(new).join(proposed, ["lang", "phrase"], "left_anti"), "phrases-failures"
-        )
-        if failures.isEmpty():
-            return found
-        proposed = saved(proposed.unionByName(failures), "phrases-proposed")
-        filter_ = phrase_filter(proposed)
-        new = _counted(
-            docs, range(2, LONGEST + 1), least, "phrases-counted", filter_, phrase_filter(failures)
-        )
-        # each pass counts a phrase wholly, so one counted twice has the same count
-        found = saved(
-            found.unionByName(new).groupBy("lang", "phrase").agg(F.max("n").alias("n")), "phrases-found"
-        )
+    proposed, filter_ = None, None
+    for length in range(1, LONGEST + 1):
+        step = range(length, length + 1)
+        longer = _often_hashes(drawn, step, lowered, "phrases-proposed", filter_)
+        proposed = longer if proposed is None else proposed.unionByName(longer)
+        filter_ = hash_filter(proposed)
+    often = _often_hashes(docs, range(1, LONGEST + 1), least, "phrases-often", filter_)
+    failures = saved(often.join(proposed, "hash", "left_anti"), "phrases-failures")
+    counts = _passed(docs, text_counts, _COUNTS, hash_filter(often), hash_filter(failures))
+    summed = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return saved(summed.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases-found")
 
 
 def _parts(words: Column, start: Column, length: Column) -> Column:

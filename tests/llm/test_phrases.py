@@ -88,7 +88,7 @@ def test_scores_and_ranks(llm):
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     text = "a b c. d e f " * 500 + "x" * 3000 + " a b"
     whole = Counter()
-    everything = np.full(4, ~np.uint64(0))
+    everything, nothing = np.full(4, ~np.uint64(0)), np.zeros(4, np.uint64)
     for block in (1 << 20, 100):
         monkeypatch.setattr(phrases, "BLOCK", block)
         batch = pa.RecordBatch.from_pydict({"lang": ["x"] * 3, "text": [text, "a b", text[:90]]})
@@ -96,7 +96,7 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
         blocks = list(phrases._blocks(batch))
         assert len(blocks) == 1 if block > 100 else len(blocks) > 50
         for langs, texts in blocks:
-            for _, names, n in phrases.block_counts(langs, texts, everything, None, range(1, 6)):
+            for _, names, n in phrases.text_counts(phrases.Block(langs, texts), everything, nothing):
                 for name, count in zip(names.to_pylist(), n, strict=True):
                     found[name] += int(count)
         want = counts([("x", text), ("x", "a b"), ("x", text[:90])])["x"]
@@ -105,14 +105,31 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
 
 
 def test_filter_holds_all_proposals(llm):
-    rows = [("en", f"w{i} v{i % 7}") for i in range(3000)]
-    made = phrases.phrase_filter(table(llm, rows, "lang string, phrase string"))
-    probe = [("en", f"z{i} v{i}") for i in range(3000)]
-    hits = []
-    for part in (rows, probe):
-        hashes = phrases._phrase_hashes(pa.array([r[0] for r in part]), pa.array([r[1] for r in part]))
-        hits.append(phrases._member(made, hashes).mean())
-    assert hits[0] == 1 and hits[1] < 0.05
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(-(2**63), 2**63, 6000)
+    made = phrases.hash_filter(table(llm, [(int(h),) for h in hashes[:3000]], "hash long"))
+    assert phrases._member(made, hashes[:3000].view(np.uint64)).all()
+    assert phrases._member(made, hashes[3000:].view(np.uint64)).mean() < 0.05
+    assert not phrases.hash_filter(table(llm, [], "hash long")).any()
+
+
+def test_hashes_stand_for_phrases():
+    """Equal phrases have equal hashes at any place and in any block; others do not."""
+    texts = ["a b c d e f", "x a b c d e f", "b a", "a b. c d"]
+    seen: dict[int, set] = {}
+    for langs in (["x"] * 4, ["y"] * 4):
+        block = phrases.Block(pa.array(langs), pa.array(texts))
+        at = block.is_word
+        for length in range(1, 6):
+            places, _, _, _ = block.phrases(length, at)
+            lang, names = block.named(places, length)
+            for hash_, key in zip(block.hashes[places].tolist(), zip(lang.to_pylist(), names.to_pylist()), strict=True):
+                seen.setdefault(hash_, set()).add(key)
+            mask = np.zeros(len(at), bool)
+            mask[places] = True
+            at = np.append(mask[:-1] & mask[1:], False)
+    assert all(len(keys) == 1 for keys in seen.values())
+    assert len(seen) == sum(len(c) - 1 for c in counts([("x", t) for t in texts] + [("y", t) for t in texts]).values())
 
 
 def test_empty_table(llm):
