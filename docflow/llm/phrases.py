@@ -44,6 +44,8 @@ BLOCK = 12 << 20
 #: Bits of the filter per proposed phrase, and of the largest filter (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 _PROBES = 3
+#: Counts that a task holds before it gives them out.
+HELD = 1_500_000
 _SALTS = 32
 
 # odd multipliers of the words' hashes by place, and of the language's
@@ -220,6 +222,22 @@ def text_counts(
         opened = np.append(new[:-1] | new[1:], False)
 
 
+def _combined(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.Table]:
+    """Counts of several blocks added up, so that a task gives out a phrase once and not
+    once per block; given out early where more than ``HELD`` phrases would be held."""
+    held: list[pa.Table] = []
+    for table in tables:
+        held.append(table)
+        if sum(t.num_rows for t in held) > HELD:
+            merged = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")])
+            held = [merged.rename_columns([*keys, "n"])]
+            if 2 * held[0].num_rows > HELD:
+                yield held.pop()
+    if held:
+        merged = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")])
+        yield merged.rename_columns([*keys, "n"])
+
+
 def _passed(docs: DataFrame, count, schema: str, *filters: np.ndarray | None) -> DataFrame:
     """One pass over the blocks of ``docs`` with broadcast filters."""
     context = docs.sparkSession.sparkContext
@@ -228,10 +246,14 @@ def _passed(docs: DataFrame, count, schema: str, *filters: np.ndarray | None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [f.value if f else None for f in shared]
-        for batch in batches:
-            for langs, texts in _blocks(batch):
-                for columns in count(Block(langs, texts), *values):
-                    yield pa.RecordBatch.from_arrays([_plain(c) for c in columns], names)
+        tables = (
+            pa.table([_plain(c) for c in columns], names)
+            for batch in batches
+            for langs, texts in _blocks(batch)
+            for columns in count(Block(langs, texts), *values)
+        )
+        for table in _combined(tables, names[:-1]):
+            yield from table.to_batches(max_chunksize=100_000)
 
     return docs.mapInArrow(run, schema)
 
