@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from docflow.functions.scalars import backoff_ms, global_retry_delay
 from docflow.schema import CHUNK_KEYS, REF_KEYS
+from docflow.session import spread
 
 MAX_RETRIES = 3
 MAX_GLOBAL_RETRIES = 5
 
-# Rows of one key that may share a window group. A key whose log is longer is
-# folded segment by segment; only one summary row per segment is then ordered
-# per key.
+# Steps of one key that may share a window group. A longer key goes segment by
+# segment; only one summary row per segment is then ordered per key.
 SEGMENT_ROWS = 65536
 
 
@@ -35,107 +35,89 @@ def attempt_fold(
     attempts: DataFrame,
     keys: list[str] = REF_KEYS,
     order: list[str] | None = None,
-    segment: Column | None = None,
     max_retries: int = MAX_RETRIES,
     carry: list[str] | None = None,
-    one_segment: bool = False,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Final or pending state of every ref from its attempts.
 
-    ``order`` is a total order per ref (default ``seq``) and ``segment`` a
-    non-decreasing function of it. Each segment of a ref is reduced to its
-    failure count, its first hard end (done, skipped, permanent) and, for every
-    failure count j up to ``max_retries``, its first transient failure at count
-    >= j. Segments are then combined in order by a running sum, so even a ref
-    that owns a third of the log is spread over many tasks. Rows that repeat an
-    order value of their ref are ignored. Set ``one_segment`` only where the
-    attempts per ref have a known small bound; it saves a shuffle.
+    ``order`` is a total order per ref (default ``seq``); rows that repeat an order value of
+    their ref are ignored. ``before`` (keys, ``before``) gives the failures that refs had in
+    earlier attempts; all of those must come before the rows given here.
+
+    Two steps of aggregates, no order over all rows of a ref. First its summary: the
+    first hard end (done, skipped, permanent), the places of the first ``max_retries``
+    failures and the first ``max_retries`` transient ones. The ref is exhausted by its first
+    transient failure at or behind the failure that spends the last retry, and at most
+    ``max_retries - 1`` transient ones come before that. These picks are limited in the
+    tasks before any shuffle. Then the failures up to the end are counted, with the few
+    summary rows joined to the many failures. A ref that owns a third of the log is
+    spread over many tasks in both.
 
     Result: keys, status, retry_count, error, and the ``carry`` columns of the
     row that decided the status.
     """
-    order = order or ["seq"]
-    carry = carry or []
-    if segment is None:
-        segment = F.floor(F.col(order[0]) / SEGMENT_ROWS)
-    group = keys if one_segment else [*keys, "_seg"]
-    ordered, upto = _running(group, order)
-
+    order, carry = order or ["seq"], carry or []
     at = F.struct(*order)
-    fails = F.col("outcome").isin("rate_limit", "transient").cast("long")
-    rows = attempts.select(
-        *keys, *dict.fromkeys([*order, "outcome", "message", *carry]), segment.alias("_seg")
-    )
-    rows = (
-        rows.withColumn("_again", F.coalesce(F.lag(at).over(ordered) == at, F.lit(False)))
-        .where(~F.col("_again"))
-        .withColumn("_fails", F.sum(fails).over(upto))
-    )
-
-    end = F.struct(
-        at.alias("at"),
-        F.col("outcome"),
-        F.col("_fails").alias("fails"),
-        F.col("message"),
-        *[F.col(c) for c in carry],
-    )
+    fails = F.col("outcome").isin("rate_limit", "transient")
     hard = F.col("outcome").isin("done", "skipped", "permanent")
     soft = F.col("outcome") == "transient"
-    parts = rows.groupBy(*group).agg(
-        F.max("_fails").alias("n_fails"),
-        F.min(F.when(hard, end)).alias("hard"),
-        *[
-            F.min(F.when(soft & (F.col("_fails") >= j), end)).alias(f"soft{j}")
-            for j in range(1, max_retries + 1)
-        ],
+    columns = list(dict.fromkeys([*keys, *order, "outcome", "message", *carry]))
+    rows = attempts.select(*columns).dropDuplicates(list(dict.fromkeys([*keys, *order])))
+
+    end = F.struct(at.alias("at"), "outcome", "message", *carry)
+    kinds = [F.when(test, F.lit(kind)) for kind, test in (("hard", hard), ("soft", soft), ("fail", fails))]
+    heads = rows.select(*keys, end.alias("end"), F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    first = Window.partitionBy(*keys, "kind").orderBy("end.at")
+    heads = heads.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max_retries)
+
+    def picked(kind: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("end"))))
+
+    # at most three times max_retries rows per ref from here on
+    summary = heads.groupBy(*keys).agg(
+        F.min(F.when(F.col("kind") == "hard", F.col("end"))).alias("hard"),
+        picked("fail").alias("fails"),
+        picked("soft").alias("softs"),
     )
-
-    if one_segment:
-        parts = parts.withColumn("before", F.lit(0).cast("long"))
+    if before is None:
+        summary = summary.withColumn("before", F.lit(0).cast("long"))
     else:
-        earlier = _preceding(keys, "_seg")
-        parts = parts.withColumn(
-            "before", F.coalesce(F.sum("n_fails").over(earlier), F.lit(0).cast("long"))
-        )
-    needed = F.greatest(F.lit(1).cast("long"), F.lit(max_retries) - F.col("before"))
-    soft_end = reduce(
-        lambda rest, j: F.when(needed == j, F.col(f"soft{j}")).otherwise(rest),
-        range(2, max_retries + 1),
-        F.col("soft1"),
+        summary = summary.join(spread(before.select(*keys, "before")), keys, "left").fillna(0, ["before"])
+    needed = F.greatest(F.lit(1).cast("long"), F.lit(max_retries) - F.col("before")).cast("int")
+    last_retry = F.get("fails", needed - 1)["at"]
+    spent = F.get(F.filter("softs", lambda s: s["at"] >= last_retry), F.lit(0))
+    ends = summary.select(*keys, "before", F.least("hard", spent).alias("end"))
+
+    failures = attempts.where(fails).select(*keys, at.alias("at")).distinct()
+    counted = (
+        failures.join(spread(ends.select(*keys, F.col("end.at").alias("end_at"))), keys)
+        .where(F.col("end_at").isNull() | (F.col("at") <= F.col("end_at")))
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    parts = parts.withColumn("end", F.least(F.col("hard"), soft_end))
-    located = F.when(
-        F.col("end").isNotNull(),
-        F.struct(
-            F.col("end.at").alias("at"),
-            (F.col("before") + F.col("end.fails")).alias("fails"),
-            F.col("end").alias("row"),
-        ),
+    # one row per ref on either side; an aggregate instead of an outer join of them
+    final = (
+        ends.withColumn("n", F.col("before"))
+        .unionByName(counted, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(F.max("end").alias("end"), F.sum("n").alias("retry_count"))
     )
-    parts = parts.select(*keys, "n_fails", located.alias("found"))
-    if one_segment:
-        final = parts.withColumnRenamed("n_fails", "all_fails")
-    else:
-        final = parts.groupBy(*keys).agg(
-            F.sum("n_fails").alias("all_fails"), F.min("found").alias("found")
-        )
-
-    outcome = F.col("found.row.outcome")
-    message = F.col("found.row.message")
+    outcome, message = F.col("end.outcome"), F.col("end.message")
     return final.select(
         *keys,
-        F.when(F.col("found").isNull(), "pending")
+        F.when(F.col("end").isNull(), "pending")
         .when(outcome.isin("done", "skipped"), outcome)
         .otherwise("error")
         .alias("status"),
-        F.coalesce(F.col("found.fails"), F.col("all_fails")).alias("retry_count"),
+        "retry_count",
         F.when(outcome == "permanent", message)
         .when(
             outcome == "transient",
             F.concat(F.lit(f"Failed after {max_retries} retries: "), message),
         )
         .alias("error"),
-        *[F.col(f"found.row.{c}").alias(c) for c in carry],
+        *[F.col(f"end.{c}").alias(c) for c in carry],
     )
 
 

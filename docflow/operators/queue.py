@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.schema import CHUNK_KEYS, REF_KEYS
+from docflow.sources.keyed import KeyedTable
 
 NEXT_BATCH = 20
 LOG_KEPT = 100
@@ -62,6 +63,33 @@ def log_lines(
     return lines.select(*keys, F.col("_lines.line").alias("debug_log"))
 
 
-def kept_log(log: DataFrame, keys: list[str] = CHUNK_KEYS, order: list[str] | None = None) -> DataFrame:
-    """The entries a capped log keeps."""
-    return log_tail(log, keys, order, LOG_KEPT)
+def kept_log(
+    log: DataFrame,
+    keys: list[str] = CHUNK_KEYS,
+    order: list[str] | None = None,
+    k: int = LOG_KEPT,
+) -> DataFrame:
+    """The entries a capped log keeps: the newest ``k`` per chunk."""
+    return log_tail(log, keys, order, k).drop("age")
+
+
+def append_log(
+    table: KeyedTable,
+    entries: DataFrame,
+    order: list[str] | None = None,
+    k: int = LOG_KEPT,
+) -> int:
+    """Append entries to a capped log, kept as a table by chunk; returns its generation.
+
+    Only the buckets of chunks that have new entries are read and rewritten. What cannot stay,
+    because the chunk has ``k`` newer entries, is dropped in the tasks that hold it.
+    """
+    spark = entries.sparkSession
+    generation = table.newest(spark) + 1
+    table.write(
+        spark,
+        generation,
+        entries,
+        lambda old: kept_log(old.unionByName(entries.select(old.columns)), table.keys, order, k),
+    )
+    return generation

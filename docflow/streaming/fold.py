@@ -2,136 +2,76 @@
 
 from __future__ import annotations
 
-from array import array
-from bisect import bisect_right, insort
-from collections.abc import Iterable, Iterator
-from typing import Any
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from docflow.operators.fold import MAX_RETRIES
+from docflow.operators.fold import MAX_RETRIES, attempt_fold
 from docflow.schema import REF_KEYS
+from docflow.session import spread
+from docflow.sources.keyed import BUCKETS, KeyedTable
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "retry_count long, status string, error string"
-
-
-def fold_rows(
-    rows: Iterable[tuple[int, str, str | None]], before: int, max_retries: int
-) -> tuple[str, int, str | None]:
-    """Status, retry count and error of a pending ref after more attempts.
-
-    ``rows`` are (order, outcome, message) in any order. Of each row at most its
-    order number is kept, plus the earliest hard end and the ``max_retries``
-    earliest transient failures: the one that exhausts a ref is among those.
-    """
-    hard: tuple | None = None
-    limited = array("q")
-    soft: list[tuple[int, str]] = []
-    for at, outcome, message in rows:
-        if outcome == "rate_limit":
-            limited.append(at)
-        elif outcome == "transient":
-            if (at, message or "") not in soft:
-                insort(soft, (at, message or ""))
-                del soft[max_retries:]
-        elif hard is None or at < hard[0]:
-            hard = (at, outcome, message)
-
-    fails = sorted({*limited, *(at for at, _ in soft)})
-
-    def count(at: int) -> int:
-        return before + bisect_right(fails, at)
-
-    spent = next(((at, text) for at, text in soft if count(at) >= max_retries), None)
-    if spent and (hard is None or spent[0] < hard[0]):
-        at, text = spent
-        return "error", count(at), f"Failed after {max_retries} retries: {text}"
-    if hard is None:
-        return "pending", before + len(fails), None
-    at, outcome, message = hard
-    if outcome == "permanent":
-        return "error", count(at), message
-    return outcome, count(at), None
-
+_VALUES = ["status", "retry_count", "error"]
 
-class AttemptFold(StatefulProcessor):
-    """Keeps retry count and status per ref; rows after a final status are ignored."""
 
-    def __init__(self, keys: list[str], max_retries: int):
-        self.keys = keys
-        self.max_retries = max_retries
+def state_table(
+    attempts: DataFrame, path: str, keys: list[str] = REF_KEYS, buckets: int = BUCKETS
+) -> KeyedTable:
+    """The stored states of refs: keys, status, retry_count, error."""
+    names = ", ".join(f"{k} {attempts.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{names}, status string, retry_count long, error string"
+    return KeyedTable(f"{path}/state", keys, schema, buckets)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", _STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        before, status, _ = self.state.get() or (0, "pending", None)
-        if status != "pending":
-            for _ in rows:
-                pass
-            return
-        attempts = ((row["at"], row["outcome"], row["message"]) for row in rows)
-        status, count, error = fold_rows(attempts, int(before), self.max_retries)
-        self.state.update((count, status, error))
-        named = dict(zip(self.keys, key, strict=True))
-        yield Row(**named, status=status, retry_count=count, error=error)
-
-    def close(self) -> None:
-        pass
+def _fold_batch(old: DataFrame, batch: DataFrame, keys: list[str], order: str, max_retries: int):
+    """States after a micro-batch: what its rows make of pending refs, all others as they are."""
+    ended = old.where("status <> 'pending'").select(*keys)
+    before = old.where("status = 'pending'").select(*keys, F.col("retry_count").alias("before"))
+    new = attempt_fold(
+        batch.join(spread(ended), keys, "left_anti"), keys, [order], max_retries, before=before
+    )
+    both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
+    last = F.max_by(F.struct(*_VALUES), "is_new").alias("last")
+    return both.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
-def stream_attempt_fold(
+def write_fold(
     attempts: DataFrame,
+    path: str,
+    checkpoint: str,
     keys: list[str] = REF_KEYS,
     order: str = "seq",
     max_retries: int = MAX_RETRIES,
-) -> DataFrame:
-    """Status updates of refs from streamed attempts (keys, ``order``, outcome,
-    message), for output mode ``update``.
-
-    ``order`` is a whole number, total per ref; a ref's attempts may be mixed
-    inside a micro-batch but not across micro-batches.
+    buckets: int = BUCKETS,
+):
+    """Start folding streamed attempts (keys, ``order``, outcome, message) into a state table.
+
+    Each micro-batch is folded by the same aggregates as a stored log: every ref is reduced to
+    its summary before it meets its old state, so a hot ref is combined in the tasks that
+    read it. Only the buckets of refs in the micro-batch are read and rewritten. ``order`` is a whole
+    number, total per ref; a ref's attempts may be mixed inside a micro-batch but not
+    across micro-batches. Attempts of an ended ref change nothing.
     """
-    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    slim = attempts.select(*keys, F.col(order).alias("at"), "outcome", "message")
-    out = T.StructType(
-        [
-            *[slim.schema[k] for k in keys],
-            T.StructField("status", T.StringType()),
-            T.StructField("retry_count", T.LongType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
-    return slim.groupBy(*keys).transformWithState(
-        statefulProcessor=AttemptFold(keys, max_retries),
-        outputStructType=out,
-        outputMode="Update",
-        timeMode="None",
-    )
-
-
-def write_updates(updates: DataFrame, path: str, checkpoint: str):
-    """Start writing updates, one folder per micro-batch; a repeated micro-batch
-    replaces its folder."""
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    table = state_table(attempts, path, keys, buckets)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        table.write(
+            batch.sparkSession,
+            batch_id,
+            batch,
+            lambda old: _fold_batch(old, batch, keys, order, max_retries),
+        )
+        batch.unpersist()
 
     return (
-        updates.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        attempts.select(*keys, order, "outcome", "message")
+        .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(store)
+        .foreachBatch(fold)
         .start()
     )
 
 
-def latest_updates(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Current state per key from stored updates (with their ``batch`` column)."""
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), F.col("batch")).alias("_last")
-    return updates.groupBy(*keys).agg(newest).select(*keys, "_last.*")
+def folded(spark: SparkSession, table: KeyedTable) -> DataFrame:
+    """The newest state of every ref."""
+    return table.read(spark, table.newest(spark))

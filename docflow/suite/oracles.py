@@ -397,6 +397,12 @@ SELECT * FROM (
     ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age
   FROM events) x
 WHERE age <= 50""",
+    "kept_log": """
+SELECT user_id, event_id FROM (
+  SELECT user_id, event_id,
+    ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age
+  FROM events) x
+WHERE age <= 100""",
     "entity_tip": f"WITH {TIPS} SELECT entity, tip, ver FROM tips_v",
     "manifest_merge": f"""
 WITH {COMPONENTS}

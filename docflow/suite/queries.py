@@ -30,10 +30,11 @@ from docflow.plans.extract import extract_once
 from docflow.plans.process import Store, process_chunks as run_process
 from docflow.schema import key_violations as find_violations
 from docflow.session import configure, durable, run_dir
+from docflow.sources.keyed import KeyedTable
 from docflow.sources.sinks import write_reports
 from docflow.sources.tables import read_components, read_contents, read_reports, read_versions
 from docflow.streaming.complete import publish_batches, write_complete_chunks
-from docflow.streaming.fold import latest_updates, stream_attempt_fold as fold_stream, write_updates
+from docflow.streaming.fold import folded, state_table, write_fold
 from docflow.suite.models import asset_model, letter_model, title_model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,19 @@ def _str(column: str):
     return F.col(column).cast("string")
 
 
-def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def _parted_stream(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 3):
+    """A table as a stream of several micro-batches, cut by ranges of ``order``."""
+    rows = table(spark, sf_dir, name)
+    path = run_dir(spark, f"parts-{name}")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-(high - low + 1) // parts)) if low is not None else 1
+    for part in range(parts):
+        start = (low or 0) + part * width
+        own = rows.where((F.col(order) >= start) & (F.col(order) < start + width))
+        # one file each, so that a micro-batch is a whole part
+        own.coalesce(1).write.parquet(f"{path}/part={part}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(f"{path}/part=*")
 
 
 # --- sources, requests -------------------------------------------------------
@@ -328,7 +339,6 @@ def attempt_fold(spark, sf_dir):
         _fold_input(spark, sf_dir),
         keys=["pi", "filename"],
         order=["ts", "event_id"],
-        segment=F.date_trunc("hour", F.col("ts")),
     )
 
 
@@ -382,6 +392,18 @@ def log_tail(spark, sf_dir):
     return tail.select("user_id", "event_id", F.col("age").cast("long").alias("age"))
 
 
+@query
+def kept_log(spark, sf_dir):
+    """A log capped at 100 entries per chunk, after two appends."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    capped = KeyedTable(
+        run_dir(spark, "kept-log"), ["user_id"], "user_id long, event_id long, ts timestamp_ntz"
+    )
+    for half in range(2):
+        queue.append_log(capped, events.where(F.col("event_id") % 2 == half), ["ts", "event_id"])
+    return capped.read(spark, 1).select("user_id", "event_id")
+
+
 # --- versions ----------------------------------------------------------------
 
 
@@ -683,13 +705,12 @@ def process_components(spark, sf_dir):
 @query
 def stream_attempt_fold(spark, sf_dir):
     path = run_dir(spark, "stream-fold")
-    attempts = fixtures.attempts_of(_table_stream(spark, sf_dir, "events"))
+    keys = ["pi", "filename"]
     message = normalise_message(F.col("message"), F.col("outcome"), F.lit(False))
-    updates = fold_stream(
-        attempts.withColumn("message", message), ["pi", "filename"], order="event_id"
-    )
-    write_updates(updates, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return latest_updates(spark.read.parquet(f"{path}/out"), ["pi", "filename"])
+    attempts = fixtures.attempts_of(_parted_stream(spark, sf_dir, "events", "event_id"))
+    attempts = attempts.withColumn("message", message)
+    write_fold(attempts, path, f"{path}/checkpoint", keys, "event_id").awaitTermination()
+    return folded(spark, state_table(attempts, path, keys))
 
 
 @query
@@ -703,7 +724,7 @@ def stream_complete_chunks(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("total_refs"))
     )
     final = (
-        _table_stream(spark, sf_dir, "events")
+        _parted_stream(spark, sf_dir, "events", "event_id")
         .where(F.col("event_type").isin("view", "purchase"))
         .select("user_id", day)
     )
@@ -716,7 +737,7 @@ def stream_complete_chunks(spark, sf_dir):
 @query
 def stream_publish(spark, sf_dir):
     path = run_dir(spark, "stream-publish")
-    updates = _table_stream(spark, sf_dir, "orders").select(
+    updates = _parted_stream(spark, sf_dir, "orders", "o_orderkey").select(
         F.col("o_custkey").alias("entity"),
         F.col("o_orderkey").alias("update_id"),
         F.lit("streamed").alias("note"),

@@ -1,12 +1,8 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from docflow.operators import fold
-from docflow.streaming.fold import fold_rows
 from tests.conftest import rows
 
 OUTCOMES = ["done", "skipped", "permanent", "rate_limit", "transient"]
@@ -47,28 +43,34 @@ def expected(logs, max_retries=3):
 
 
 @pytest.mark.parametrize("max_retries", [1, 2, 3, 5])
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_fold_equals_step_by_step(spark, max_retries, width):
-    logs = random_logs(max_retries * 10 + width, 150, 14, [1, 1, 1, 6, 6])
-    segment = F.floor(F.col("seq") / width)
-    got = fold.attempt_fold(
-        frame(spark, logs), ["ref"], segment=segment, max_retries=max_retries
-    )
+def test_fold_equals_step_by_step(spark, max_retries):
+    logs = random_logs(max_retries * 10, 400, 14, [1, 1, 1, 6, 6])
+    got = fold.attempt_fold(frame(spark, logs), ["ref"], max_retries=max_retries)
     assert rows(got, "ref") == expected(logs, max_retries)
 
 
-def test_one_segment_gives_the_same(spark):
-    logs = random_logs(3, 200, 9, [1, 1, 1, 3, 3])
-    got = fold.attempt_fold(frame(spark, logs), ["ref"], one_segment=True)
-    assert rows(got, "ref") == expected(logs)
+@pytest.mark.parametrize("max_retries", [1, 3, 5])
+def test_fold_goes_on_from_any_cut(spark, max_retries):
+    """Each ref's log cut at a place of its own: the failures before it are all that is kept."""
+    logs = random_logs(max_retries, 400, 14, [1, 1, 1, 9, 9])
+    pick = random.Random(max_retries)
+    cuts = {ref: pick.randint(0, len(log)) for ref, log in logs.items()}
+    early = fold.attempt_fold(frame(spark, {r: l[: cuts[r]] for r, l in logs.items()}), ["ref"], max_retries=max_retries)
+    early = rows(early, "ref")
+    pending = [(r[0], r[2]) for r in early if r[1] == "pending"]
+    before = spark.createDataFrame(pending, "ref long, before long")
+    ended = {r[0] for r in early if r[1] != "pending"}
+    late = {r: l[cuts[r] :] for r, l in logs.items() if r not in ended}
+    got = rows(fold.attempt_fold(frame(spark, late), ["ref"], max_retries=max_retries, before=before), "ref")
+    seen = {r[0] for r in got}
+    assert sorted([r for r in early if r[0] not in seen] + got) == expected(logs, max_retries)
 
 
 def test_a_ref_that_owns_most_of_the_log(spark):
     logs = random_logs(5, 60, 6, [1, 1, 1, 3, 3])
     logs[999] = [(seq, "rate_limit", "m") for seq in range(1, 4000)]
     logs[999] += [(4000, "transient", "last"), (4001, "done", "late")]
-    segment = F.floor(F.col("seq") / 100)
-    got = rows(fold.attempt_fold(frame(spark, logs), ["ref"], segment=segment), "ref")
+    got = rows(fold.attempt_fold(frame(spark, logs), ["ref"]), "ref")
     assert got == expected(logs)
     assert got[-1] == (999, "error", 4000, "Failed after 3 retries: last")
 
@@ -97,28 +99,6 @@ def test_carried_columns_come_from_the_deciding_row(spark):
     assert rows(got.select("ref", "status", "seq"), "ref") == [(1, "done", 2), (2, "pending", None)]
 
 
-attempts = st.lists(
-    st.tuples(st.integers(0, 60), st.sampled_from(OUTCOMES)), min_size=1, max_size=40,
-    unique_by=lambda a: a[0],
-)
-
-
-@settings(max_examples=300, deadline=None)
-@given(log=attempts, max_retries=st.integers(1, 5), cut=st.integers(0, 60), data=st.data())
-def test_stream_fold_equals_step_by_step(log, max_retries, cut, data):
-    """Any order inside a micro-batch, two micro-batches in order."""
-    log = [(seq, kind, f"m{seq}") for seq, kind in log]
-    want = one_by_one(log, max_retries)
-    shuffled = data.draw(st.permutations(log))
-    assert fold_rows(shuffled + log[:3], 0, max_retries) == want
-    early, late = [r for r in shuffled if r[0] < cut], [r for r in shuffled if r[0] >= cut]
-    state = ("pending", 0, None)
-    for part in (early, late):
-        if part and state[0] == "pending":
-            state = fold_rows(part, state[1], max_retries)
-    assert state == want
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_streaks_over_segments(spark, seed):
     pick = random.Random(seed)

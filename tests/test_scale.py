@@ -93,18 +93,24 @@ def test_hot_text_is_split_when_results_go_back(spark, small_partitions):
     assert "skew=true" in plan(done)
 
 
-def test_hot_ref_is_folded_in_segments(spark):
-    log = spark.range(1, 30001, 1, 8).select(
-        F.when(F.col("id") <= 10000, "hot").otherwise(F.concat(F.lit("r"), F.col("id"))).alias("ref"),
+def test_hot_ref_is_split_in_the_fold(spark, small_partitions):
+    """A ref with a third of the rows, all within one hour."""
+    log = spark.range(1, 240001, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id"))).alias("ref"),
+        F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id / 100)").alias("ts"),
         F.col("id").alias("seq"),
-        F.when(F.col("id") < 10000, "rate_limit").otherwise("done").alias("outcome"),
+        F.when(F.col("id") < 239990, "rate_limit").otherwise("done").alias("outcome"),
         F.lit("m").alias("message"),
     )
-    folded = attempt_fold(log, ["ref"], segment=F.floor(F.col("seq") / 500))
-    assert folded.where("ref = 'hot'").select("status", "retry_count").first()[:] == ("done", 9999)
-    assert folded.count() == 20001
-    windows = re.findall(r"windowspecdefinition\(([^)]*)", plan(folded))
-    assert any("_seg" in w for w in windows)
+    folded = attempt_fold(log, ["ref"], ["ts", "seq"])
+    found = folded.where("ref = 'hot'").select("status", "retry_count").first()[:]
+    assert found == ("done", 79996)
+    assert folded.where("status = 'pending'").count() + folded.where("status = 'done'").count() == 160001
+    folded.collect()
+    text = plan(folded)
+    assert "skew=true" in text
+    # picks are limited in the tasks before they are shuffled, and nothing orders whole logs
+    assert text.count("WindowGroupLimit") >= 2 and "rowsBetween" not in text
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
