@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docflow.functions.jsondoc import field_text, is_truthy, merge_ocr, parse_doc, render_doc
 from docflow.functions.scalars import (
@@ -25,7 +26,7 @@ from docflow.operators.contents import content_id
 from docflow.operators.fold import MAX_RETRIES
 from docflow.plans.extract import Model, extract_once
 from docflow.schema import ATTEMPTS, REF_KEYS
-from docflow.session import is_done, set_done
+from docflow.session import is_done, once, set_done
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,8 @@ class Policy:
     the model at once (default: the session's parallelism), each with ``threads``
     calls in flight. ``pause`` receives the seconds to wait after a round with rate
     limits; None goes on at once. ``model_key`` names the model: a worker keeps it
-    loaded over tasks and rounds.
+    loaded over tasks and rounds. ``slice_refs``: a round of more refs runs in slices of about
+    so many, each kept when it has ended.
     """
 
     cdn_host: str
@@ -48,8 +50,11 @@ class Policy:
     call_size: int = 16
     pause: Callable[[float], None] | None = time.sleep
     model_key: str | None = None
+    slice_refs: int = 100_000
 
     def __post_init__(self):
+        if self.slice_refs < 1:
+            raise ValueError("slice_refs must be at least 1")
         if self.max_rounds is not None and self.max_rounds < 1:
             raise ValueError("max_rounds must be at least 1")
 
@@ -61,20 +66,26 @@ class Rounds(NamedTuple):
     finished: bool
 
 
+#: What a round keeps besides the log's columns, so that the next one follows from it.
+_ADDRESSES = "primary string, fallback string"
+
+
 def _flag(log_path: str, number: int) -> str:
     return f"{log_path}/done/round={number}"
 
 
-def _write_round(rows: DataFrame, log_path: str, number: int) -> None:
-    """Replace the folder of one round, then flag it complete."""
-    spark = rows.sparkSession
-    columns = [c.split()[0] for c in ATTEMPTS.split(", ")]
-    rows.select(*columns).write.mode("overwrite").parquet(f"{log_path}/attempts/round={number}")
-    set_done(spark, _flag(log_path, number))
+def _write_slice(rows: DataFrame, log_path: str, number: int, part: int = 0) -> None:
+    """Replace the folder of one slice of a round."""
+    columns = [c.split()[0] for c in f"{ATTEMPTS}, {_ADDRESSES}".split(", ")]
+    rows.select(*[c for c in columns if c in rows.columns]).write.mode("overwrite").parquet(
+        f"{log_path}/attempts/round={number}/slice={part}"
+    )
 
 
-def read_log(spark: SparkSession, log_path: str, number: int | str = "*") -> DataFrame:
-    return spark.read.schema(ATTEMPTS).parquet(f"{log_path}/attempts/round={number}")
+def read_log(
+    spark: SparkSession, log_path: str, number: int | str = "*", more: str = ""
+) -> DataFrame:
+    return spark.read.schema(ATTEMPTS + more).parquet(f"{log_path}/attempts/round={number}/slice=*")
 
 
 def _settled(refs: DataFrame) -> DataFrame:
@@ -98,7 +109,42 @@ def _still_pending(attempts: DataFrame, max_retries: int) -> DataFrame:
     again = (F.col("outcome") == "rate_limit") | (
         (F.col("outcome") == "transient") & (F.col("fails") < max_retries)
     )
-    return attempts.where(again).select(*REF_KEYS, "fails")
+    return attempts.where(again).select(*REF_KEYS, "fails", "primary", "fallback")
+
+
+def _first_todo(refs: DataFrame, policy: Policy, extra: list[str]) -> DataFrame:
+    doc = F.col("ref_data_json")
+    missing = F.coalesce(doc, F.lit("")) == ""
+    urls = url_variants(F.col("cdn_url"), policy.cdn_host)
+    open_refs = refs.where(~missing & ~is_truthy(parse_doc(doc), "ocr"))
+    return open_refs.select(
+        *REF_KEYS, F.lit(0).cast("long").alias("fails"), urls.alias("_urls"), *extra
+    ).select(*REF_KEYS, "fails", "_urls.primary", "_urls.fallback", *extra)
+
+
+def _slices(todo: DataFrame, size: int, policy: Policy, path: str) -> list[DataFrame]:
+    """A round's work in slices by a hash of the ref, about ``slice_refs`` each.
+
+    ``size`` is at least the number of rows. Several slices are cut once and stored, so that
+    none of them reads all the work again; the stored cut also stays the same when the
+    round is taken up again.
+    """
+    spark = todo.sparkSession
+    if size <= policy.slice_refs:
+        return [todo]
+
+    def cut() -> DataFrame:
+        n = max(1, -(-todo.count() // policy.slice_refs))
+        return todo.withColumn("slice", F.pmod(F.xxhash64(*REF_KEYS), F.lit(n)))
+
+    def write() -> None:
+        cut().write.mode("overwrite").partitionBy("slice").parquet(f"{path}/rows")
+
+    once(spark, f"{path}/done", write)
+    schema = StructType([*todo.schema.fields, StructField("slice", LongType())])
+    stored_cut = spark.read.schema(schema).parquet(f"{path}/rows")
+    numbers = sorted(r.slice for r in stored_cut.select("slice").distinct().collect())
+    return [stored_cut.where(F.col("slice") == k).drop("slice") for k in numbers]
 
 
 def run_rounds(
@@ -111,57 +157,45 @@ def run_rounds(
     """Attempt every pending ref once per round until none is left.
 
     ``refs`` must be a stored table; it needs the ref keys, ``cdn_url`` and
-    ``ref_data_json``. Each attempt row carries the failure count of its ref, so
-    the next round's work follows from the last round alone and the whole log
-    is never re-folded inside the loop. A round that was cut off is repeated
-    from its start; finished rounds are not run again. With ``max_rounds`` this
-    call may stop early; the next one goes on behind the last finished round.
+    ``ref_data_json``. Each attempt row carries the failure count and the addresses of its ref,
+    so the next round's work follows from the last round alone: neither the log nor the
+    refs are read again (but for a payload).
+
+    A round is kept slice by slice. A call that was cut off goes on behind the last
+    finished slice: finished rounds are not looked at again, and neither calls nor waits
+    of theirs are repeated. With ``max_rounds`` this call may stop early.
     """
     spark = refs.sparkSession
     extra = [payload] if payload else []
-    doc = F.col("ref_data_json")
     if not is_done(spark, _flag(log_path, 0)):
-        _write_round(_settled(refs), log_path, 0)
-
-    def addressed(rows: DataFrame) -> DataFrame:
-        urls = url_variants(F.col("cdn_url"), policy.cdn_host)
-        rows = rows.select(*REF_KEYS, urls.alias("_urls"), *extra)
-        return rows.select(*REF_KEYS, "_urls.primary", "_urls.fallback", *extra)
-
+        _write_slice(_settled(refs), log_path, 0)
+        set_done(spark, _flag(log_path, 0))
+    n_refs = refs.count()
+    number = next(n for n in count(1) if not is_done(spark, _flag(log_path, n)))
     streak, called = 0, 0
-    tasks = policy.concurrency or spark.sparkContext.defaultParallelism
-    for number in count(1):
+    for number in count(number):
         if number == 1:
-            missing = F.coalesce(doc, F.lit("")) == ""
-            open_refs = refs.where(~missing & ~is_truthy(parse_doc(doc), "ocr"))
-            todo = addressed(open_refs).withColumn("fails", F.lit(0).cast("long"))
+            todo, size = _first_todo(refs, policy, extra), n_refs
         else:
-            pending = _still_pending(read_log(spark, log_path, number - 1), policy.max_retries)
-            if pending.isEmpty():
+            last = read_log(spark, log_path, number - 1, f", {_ADDRESSES}")
+            todo = _still_pending(last, policy.max_retries)
+            if todo.isEmpty():
                 return Rounds(number - 1, True)
-            # the keys say enough: documents are neither read nor parsed again
-            todo = addressed(refs).join(pending, REF_KEYS)
-        if not is_done(spark, _flag(log_path, number)):
-            if called == policy.max_rounds:
-                return Rounds(number - 1, False)
-            called += 1
-            tried = extract_once(
-                todo,
-                load_model,
-                REF_KEYS,
-                seq=number,
-                payload=payload,
-                carry=["fails"],
-                concurrency=tasks,
-                threads=policy.threads,
-                call_size=policy.call_size,
-                model_key=policy.model_key,
-            )
-            failed = F.col("outcome").isin("rate_limit", "transient").cast("long")
-            tried = tried.withColumn("fails", F.col("fails") + failed).withColumn(
-                "attempted_at", F.current_timestamp()
-            )
-            _write_round(tried, log_path, number)
+            size = todo.count() if n_refs > policy.slice_refs else n_refs
+            if payload:
+                todo = todo.join(refs.select(*REF_KEYS, payload), REF_KEYS)
+        if called == policy.max_rounds:
+            return Rounds(number - 1, False)
+        called += 1
+        parts = _slices(todo, size, policy, f"{log_path}/todo/round={number}")
+        for k, part in enumerate(parts):
+            flag = f"{_flag(log_path, number)}-slices/{k}"
+            if len(parts) > 1 and is_done(spark, flag):
+                continue
+            _write_slice(_attempted(part, load_model, number, policy, payload), log_path, number, k)
+            if len(parts) > 1:
+                set_done(spark, flag)
+        set_done(spark, _flag(log_path, number))
         if policy.pause:
             limited = read_log(spark, log_path, number).where(F.col("outcome") == "rate_limit")
             streak = 0 if limited.isEmpty() else streak + 1
@@ -169,6 +203,32 @@ def run_rounds(
                 policy.pause(_delay_seconds(streak))
 
 
+def _attempted(
+    todo: DataFrame,
+    load_model: Callable[[], Model],
+    number: int,
+    policy: Policy,
+    payload: str | None,
+) -> DataFrame:
+    """One attempt per row of ``todo`` with the failures of its ref so far."""
+    tried = extract_once(
+        todo,
+        load_model,
+        REF_KEYS,
+        seq=number,
+        payload=payload,
+        carry=["fails", "primary", "fallback"],
+        concurrency=policy.concurrency or todo.sparkSession.sparkContext.defaultParallelism,
+        threads=policy.threads,
+        call_size=policy.call_size,
+        model_key=policy.model_key,
+    )
+    failed = F.col("outcome").isin("rate_limit", "transient").cast("long")
+    return tried.withColumn("fails", F.col("fails") + failed).withColumn(
+        "attempted_at", F.current_timestamp()
+    )
+
+
 def _delay_seconds(streak: int) -> float:
     delay = min(BASE_DELAY_MS * 2 ** min(streak - 1, MAX_EXPONENT), MAX_DELAY_MS)
     return delay * (1 + JITTER_SHARE * random.uniform(-1, 1)) / 1000

@@ -97,7 +97,9 @@ def extract_once(
     before using it twice.
     """
     carry = carry or []
-    sent = todo.select(*keys, *carry, "primary", "fallback", *([payload] if payload else []))
+    sent = todo.select(
+        *dict.fromkeys([*keys, *carry, "primary", "fallback", *([payload] if payload else [])])
+    )
     if concurrency:
         sent = sent.repartition(concurrency)
 

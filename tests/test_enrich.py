@@ -107,18 +107,18 @@ def test_all_paths(spark, refs, tmp_path):
 
 def test_a_killed_run_goes_on_where_it_stopped(spark, refs, tmp_path, monkeypatch):
     few = refs.where(F.col("filename").isin("ok", "limited", "timeout", "old"))
-    write, stop_at = loop._write_round, 2
+    write, stop_at = loop._write_slice, 2
     calls = []
 
-    def failing(attempts, log_path, number):
+    def failing(attempts, log_path, number, part=0):
         if number == stop_at:
             # part of the round is on disk, but the round is not flagged done
             attempts.limit(1).write.mode("overwrite").parquet(f"{log_path}/half")
             raise KeyboardInterrupt
         calls.append(number)
-        write(attempts, log_path, number)
+        write(attempts, log_path, number, part)
 
-    monkeypatch.setattr(loop, "_write_round", failing)
+    monkeypatch.setattr(loop, "_write_slice", failing)
     with pytest.raises(KeyboardInterrupt):
         run_rounds(few, scripted, str(tmp_path), POLICY, payload="script")
     assert calls == [0, 1]
@@ -126,8 +126,84 @@ def test_a_killed_run_goes_on_where_it_stopped(spark, refs, tmp_path, monkeypatc
     done = enrich(few, scripted, str(tmp_path), POLICY, payload="script")
     assert summary(done) == {k: EXPECTED[k] for k in ("ok", "limited", "timeout", "old")}
     assert calls == [0, 1, 2, 3]
-    run_rounds(few, scripted, str(tmp_path), POLICY, payload="script")
-    assert calls == [0, 1, 2, 3]
+    waits = []
+    patient = Policy(cdn_host=HOST, pause=waits.append)
+    run_rounds(few, scripted, str(tmp_path), patient, payload="script")
+    assert calls == [0, 1, 2, 3] and waits == []
+
+
+def many(spark, tmp_path, n=40):
+    path = str(tmp_path / "refs")
+    spark.range(n).select(
+        F.lit("b").alias("batch_id"), F.lit("0").alias("chunk_id"), F.lit("e").alias("pi"),
+        F.concat(F.lit("f"), "id").alias("filename"), F.lit(f"https://{HOST}/asset/01AB/large").alias("cdn_url"),
+        F.lit('{"url": "u"}').alias("ref_data_json"),
+        F.concat(F.lit("f"), "id", F.when(F.col("id") % 4 == 0, " limited").otherwise("")).alias("script"),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def noting(path):
+    """Writes each call into a file; those marked are rate limited in rounds 1 and 2."""
+
+    def load():
+        def call(requests):
+            out = []
+            for r in requests:
+                with open(path, "a") as log:
+                    log.write(f"{r.seq} {r.payload.split()[0]}\n")
+                limited = r.payload.endswith("limited") and r.seq < 3
+                out.append(Result(error="429") if limited else Result(text="t", tokens=1))
+            return out
+
+        return call
+
+    return load
+
+
+def test_a_job_lost_late_in_a_round_repeats_only_open_slices(spark, tmp_path, monkeypatch):
+    refs, notes = many(spark, tmp_path), str(tmp_path / "calls")
+    policy = Policy(cdn_host=HOST, pause=None, slice_refs=8, concurrency=2, threads=1)
+    write, lost, written = loop._write_slice, [(1, 3)], []
+
+    def losing(attempts, log_path, number, part=0):
+        if (number, part) in lost:
+            attempts.count()  # the calls are made, but their results are lost
+            raise KeyboardInterrupt
+        written.append((number, part))
+        write(attempts, log_path, number, part)
+
+    monkeypatch.setattr(loop, "_write_slice", losing)
+    log = str(tmp_path / "log")
+    with pytest.raises(KeyboardInterrupt):
+        run_rounds(refs, noting(notes), log, policy, payload="script")
+    before = open(notes).read().split("\n")[:-1]
+    kept = {r.filename for r in spark.read.schema("filename string").parquet(f"{log}/attempts/round=1/*").collect()}
+    assert written == [(0, 0), (1, 0), (1, 1), (1, 2)] and 0 < len(kept) < 40
+    lost.clear()
+    assert run_rounds(refs, noting(notes), log, policy, payload="script").finished
+    after = open(notes).read().split("\n")[:-1][len(before) :]
+    # what was kept is not called again in round 1, all else is
+    assert {c.split()[1] for c in after if c.startswith("1 ")} == {f"f{i}" for i in range(40)} - kept
+    assert len(after) == len(set(after))
+    limited = {f"f{i}" for i in range(0, 40, 4)}
+    assert {c for c in after if c[0] in "23"} == {f"{n} {f}" for n in (2, 3) for f in limited}
+    status = {r.filename: (r.status, r.retry_count) for r in loop.ref_status(spark, log).collect()}
+    assert status == {f"f{i}": ("done", 0 if i % 4 else 2) for i in range(40)}
+
+
+def test_later_rounds_read_the_last_round_alone(spark, tmp_path):
+    """Without a payload the refs are not read again: they may even change."""
+    refs, log = many(spark, tmp_path).drop("script"), str(tmp_path / "log")
+
+    def model():
+        return lambda requests: [Result(error="429") if r.seq < 2 else Result(text=r.url) for r in requests]
+
+    assert not run_rounds(refs, model, log, Policy(cdn_host=HOST, pause=None, max_rounds=1)).finished
+    other = refs.withColumn("cdn_url", F.lit("changed"))
+    assert run_rounds(other, model, log, Policy(cdn_host=HOST, pause=None)).finished
+    texts = {r.text for r in read_log(spark, log, 2).collect()}
+    assert texts == {f"https://{HOST}/asset/01AB/medium"}
 
 
 def test_pauses_grow_with_the_streak(spark, refs, tmp_path):
