@@ -75,5 +75,99 @@ def render_doc(text: Column, ocr: Column | None = None) -> Column:
     return F.get(F.transform(parsed, body), F.lit(0))
 
 
+# Every character of a JSON text is in exactly one of these tokens: strings,
+# structure, white space, other scalars.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|\s++|[^\s{}\[\],:"]++'
+_PLACE = (
+    "struct<at:int,depth:int,key:string,inside:boolean,start:int,stop:int,last:int,body:int,gap:string>"
+)
+
+
+def _is_ocr(token: Column) -> Column:
+    escaped = F.contains(token, F.lit("\\"))
+    spelled = F.try_variant_get(F.try_parse_json(F.when(escaped, token)), "$", "string")
+    return (token == '"ocr"') | F.coalesce(spelled == "ocr", F.lit(False))
+
+
+def _ocr_place(tokens: Column) -> Column:
+    """Where the value of the last top-level ``ocr`` starts and stops (-1 without one), where the
+    last member ends (``body``, -1 for an empty object) and the white space after the brace."""
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(0).alias("depth"),
+        F.lit("").alias("key"),
+        F.lit(False).alias("inside"),
+        F.lit(-1).alias("start"),
+        F.lit(-1).alias("stop"),
+        F.lit(-1).alias("last"),
+        F.lit(-1).alias("body"),
+        F.lit(None).cast("string").alias("gap"),
+    ).cast(_PLACE)
+
+    def step(acc: Column, token: Column) -> Column:
+        after = acc["at"] + F.length(token)
+        blank = F.regexp_like(token, F.lit(r"^\s"))
+        top = acc["depth"] == 1
+        colon, ends = top & (token == ":"), top & token.isin(",", "}")
+        names = colon & _is_ocr(acc["key"])
+        value = acc["inside"] & ~ends & ~blank
+        depth = (
+            acc["depth"]
+            + F.when(token.isin("{", "["), 1).otherwise(0)
+            - F.when(token.isin("}", "]"), 1).otherwise(0)
+        )
+        member = ~blank & (acc["depth"] >= 1) & ~(top & (token == "}"))
+        return F.struct(
+            after.alias("at"),
+            depth.alias("depth"),
+            F.when(top & ~blank, token).otherwise(acc["key"]).alias("key"),
+            F.when(colon, names).otherwise(acc["inside"] & ~ends).alias("inside"),
+            F.when(names, -1)
+            .when(value & (acc["start"] < 0), acc["at"])
+            .otherwise(acc["start"])
+            .alias("start"),
+            F.when(value, after).otherwise(acc["stop"]).alias("stop"),
+            F.when(member, after).otherwise(acc["last"]).alias("last"),
+            F.when(top & (token == "}"), acc["last"]).otherwise(acc["body"]).alias("body"),
+            F.when(acc["gap"].isNull() & top, F.when(blank, token).otherwise(""))
+            .otherwise(acc["gap"])
+            .alias("gap"),
+        ).cast(_PLACE)
+
+    return F.aggregate(tokens, start, step)
+
+
 def merge_ocr(text: Column, ocr: Column) -> Column:
-    return render_doc(text, ocr)
+    """The document's own text with ``ocr`` set; all other characters stay as they are.
+
+    The value of an existing top-level ``ocr`` is replaced (of several the last, which is
+    the one that counts), a new one goes behind the last member, laid out like the first.
+    A null ``ocr`` is the empty text. The result is null when the text is no object.
+    """
+    value = _json_string(F.coalesce(ocr, F.lit("")))
+    place = _ocr_place(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))
+
+    def spliced(p: Column) -> Column:
+        gap = F.coalesce(p["gap"], F.lit(""))
+        colon = F.when(gap == "", F.lit(":")).otherwise(F.lit(": "))
+        new = F.concat(gap, F.lit('"ocr"'), colon, value)
+        return (
+            F.when(
+                p["start"] >= 0,
+                F.concat(F.substring(text, F.lit(1), p["start"]), value, F.substring(text, p["stop"] + 1, F.length(text))),
+            )
+            .when(
+                p["body"] >= 0,
+                F.concat(
+                    F.substring(text, F.lit(1), p["body"]),
+                    F.lit(","),
+                    new,
+                    F.substring(text, p["body"] + 1, F.length(text)),
+                ),
+            )
+            .otherwise(F.concat(F.lit('{"ocr":'), value, F.lit("}")))
+        )
+
+    # one-element transform: the text is scanned once and not once per use of a place
+    merged = F.get(F.transform(F.array(place), spliced), F.lit(0))
+    return F.when(F.json_object_keys(text).isNotNull(), merged)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docflow.functions.jsondoc import field_text, is_truthy, merge_ocr, parse_doc, render_doc
+from docflow.functions.jsondoc import field_text, is_truthy, merge_ocr, parse_doc
 from docflow.functions.scalars import (
     BASE_DELAY_MS,
     JITTER_SHARE,
@@ -264,7 +264,7 @@ def ref_status(spark: SparkSession, log_path: str, max_retries: int = MAX_RETRIE
 def enriched_refs(refs: DataFrame, log_path: str, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Refs with status, new document, its content id and the text length.
 
-    Skipped refs get a document too: the old one, written in the common form.
+    Skipped refs get a document too: the old one as it is, so its content id stays.
     """
     spark = refs.sparkSession
     status = ref_status(spark, log_path, max_retries)
@@ -278,7 +278,7 @@ def enriched_refs(refs: DataFrame, log_path: str, max_retries: int = MAX_RETRIES
     joined = refs.join(ended, REF_KEYS, "left")
     old = F.col("ref_data_json")
     done, skipped = F.col("status") == "done", F.col("status") == "skipped"
-    document = F.when(done, merge_ocr(old, F.col("text"))).when(skipped, render_doc(old))
+    document = F.when(done, merge_ocr(old, F.col("text"))).when(skipped, old)
     length = F.when(done, utf16_length(F.col("text"))).when(
         skipped, utf16_length(field_text(parse_doc(old), "ocr"))
     )

@@ -156,6 +156,35 @@ def test_flat_documents_have_two_space_indent(spark):
     assert [json.loads(r[0])["ocr"] for r in merged] == ["", ""]
 
 
-def test_duplicate_keys_are_written_once(spark):
-    text = values(spark, merge_ocr(F.lit('{"a":1,"url":"u","a":2}'), F.lit("t")))
-    assert text == '{\n  "a": 2,\n  "url": "u",\n  "ocr": "t"\n}'
+@pytest.mark.parametrize(
+    ("text", "merged"),
+    [
+        ('{"b":1,"a":[1,{"z":1,"y":2.0}]}', '{"b":1,"a":[1,{"z":1,"y":2.0}],"ocr":"t"}'),
+        ('{"n": 1e3, "m": 1.0}', '{"n": 1e3, "m": 1.0,"ocr":"t"}'),
+        ('{\n  "a": 1,\n  "b": {}\n}\n', '{\n  "a": 1,\n  "b": {},\n  "ocr": "t"\n}\n'),
+        ('{"ocr": null, "x": "ocr"}', '{"ocr": "t", "x": "ocr"}'),
+        ('{"ocr" : [1, {"ocr": 2}] ,"x":{"ocr":3}}', '{"ocr" : "t" ,"x":{"ocr":3}}'),
+        ('{"x":{"ocr":3},"y":["ocr"]}', '{"x":{"ocr":3},"y":["ocr"],"ocr":"t"}'),
+        ('{"a":1,"ocr":1,"a":2,"ocr": 5}', '{"a":1,"ocr":1,"a":2,"ocr": "t"}'),
+        ('{"\\u006fcr":"old"}', '{"\\u006fcr":"t"}'),
+        ('{"k":"a\\"b,}{:ocr","\\\\":"ocr"}', '{"k":"a\\"b,}{:ocr","\\\\":"ocr","ocr":"t"}'),
+        ("{ }", '{"ocr":"t"}'),
+        ('{"é😀":"ß","ocr":"😀"}', '{"é😀":"ß","ocr":"t"}'),
+        ("[1]", None),
+        ("{", None),
+        (None, None),
+    ],
+)
+def test_merge_leaves_all_other_characters(spark, text, merged):
+    df = spark.createDataFrame([(text,)], "j string")
+    got = df.select(merge_ocr(F.col("j"), F.lit("t"))).first()[0]
+    assert got == merged
+    if merged:
+        assert json.loads(got) == {**json.loads(text), "ocr": "t"}
+
+
+def test_merge_into_a_long_document(spark):
+    old = json.dumps({"a": ["x\n" * 50_000, *range(2000)], "ocr": "\\" * 10_000, "b": "y" * 200_000})
+    df = spark.createDataFrame([(old,)], "j string")
+    got = df.select(merge_ocr(F.col("j"), F.lit("t"))).first()[0]
+    assert json.loads(got) == {**json.loads(old), "ocr": "t"}
