@@ -8,10 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Stored contents are laid out in so many folders by a hash of their id.
+BUCKETS = 64
+
+
 def content_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def content_bucket(cid: Column) -> Column:
+    """The folder of a content id, whatever form ids have."""
+    return F.pmod(F.crc32(cid), F.lit(BUCKETS)).cast("int")
+
+
+def only_wanted(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Contents cut down to the folders that the ids (``cid``) of ``wanted`` lie in.
+
+    The list of folders is bounded and becomes a partition filter, so that a small batch
+    opens a part of the table's files. Contents that are not laid out are read as they are.
+    ``wanted`` should be a stored table: it is read once more.
+    """
+    if "bucket" not in contents.columns:
+        return contents
+    found = wanted.select(content_bucket(F.col("cid")).alias("bucket")).distinct().collect()
+    buckets = sorted(r.bucket for r in found if r.bucket is not None)
+    if len(buckets) < BUCKETS:
+        contents = contents.where(F.col("bucket").isin(buckets))
+    return contents.drop("bucket")
+
+
 def put_contents(
     df: DataFrame, contents: DataFrame, text: str = "content"
 ) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.jsondoc import field_text, is_null_doc, is_truthy, parse_doc
 from docflow.functions.scalars import is_ref
+from docflow.operators.contents import only_wanted
 from docflow.session import spread
 
 
@@ -42,8 +43,10 @@ def lookup_contents(refs: DataFrame, contents: DataFrame) -> DataFrame:
 
     ``drop_reason`` is not_found, bad_json or no_url; null means the ref goes
     on, with ``cdn_url`` set. A content id shared by very many refs sits on the
-    many-rows side of the join, where adaptive skew splitting applies.
+    many-rows side of the join, where adaptive skew splitting applies. Of contents that
+    are laid out by id only the folders of these refs are read.
     """
+    contents = only_wanted(contents, refs)
     joined = refs.join(contents, "cid", "left").withColumn("_doc", parse_doc(F.col("content")))
     doc = F.col("_doc")
     reason = (
@@ -58,11 +61,20 @@ def lookup_contents(refs: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
-def discover_refs(items: DataFrame, components: DataFrame, contents: DataFrame) -> DataFrame:
-    """Refs to work on. ``components`` is the latest manifest in long form
+def wanted_files(items: DataFrame, components: DataFrame) -> DataFrame:
+    """Ref files of the items. ``components`` is the latest manifest in long form
     (entity, filename, cid)."""
-    files = ref_components(components).withColumnRenamed("entity", "pi")
-    found = lookup_contents(files.join(items, "pi"), contents)
+    return ref_components(components).withColumnRenamed("entity", "pi").join(items, "pi")
+
+
+def discover_refs(items: DataFrame, components: DataFrame, contents: DataFrame) -> DataFrame:
+    """Refs to work on."""
+    return refs_of(wanted_files(items, components), contents)
+
+
+def refs_of(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """Files whose documents can be worked on, with the documents."""
+    found = lookup_contents(files, contents)
     return (
         found.where(F.col("drop_reason").isNull())
         .drop("drop_reason")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.scalars import elapsed_ms, status_of_phase
-from docflow.operators.contents import put_contents
-from docflow.operators.discover import discover_refs, load_manifests
+from docflow.operators.contents import only_wanted, put_contents
+from docflow.operators.discover import load_manifests, refs_of, wanted_files
 from docflow.operators.report import chunk_progress, chunk_report, failed_refs, pi_results
 from docflow.operators.requests import admit, validate_requests, work_items
 from docflow.operators.versions import (
@@ -122,13 +122,14 @@ def process_chunks(
     )
     items = stored(spark, f"{run_path}/items", lambda: work_items(requests))
 
-    def find_refs() -> DataFrame:
+    def find_files() -> DataFrame:
         manifests = load_manifests(items, entity_tip(only_entities(store.versions, items)))
         known = manifests.where(F.col("fetch_error").isNull()).select(*PI_KEYS)
         latest = manifest_merge(only_entities(store.components, items))
-        return discover_refs(known, latest, store.contents)
+        return wanted_files(known, latest)
 
-    refs = stored(spark, f"{run_path}/refs", find_refs)
+    files = stored(spark, f"{run_path}/files", find_files)
+    refs = stored(spark, f"{run_path}/refs", lambda: refs_of(files, store.contents))
     log = f"{run_path}/log"
     if not is_done(spark, f"{run_path}/ref_results/done"):
         if not run_rounds(refs, load_model, log, policy).finished:
@@ -138,7 +139,8 @@ def process_chunks(
     )
 
     def put_new() -> None:
-        _, fresh = put_contents(results.where(F.col("content").isNotNull()), store.contents)
+        named = results.where(F.col("content").isNotNull()).withColumn("cid", F.col("result_cid"))
+        _, fresh = put_contents(named, only_wanted(store.contents, named))
         write_contents(fresh, f"{store.path}/contents", write_id)
 
     once(spark, f"{run_path}/contents", put_new)

@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.contents import content_bucket
 from docflow.operators.report import entity_rows
 from docflow.operators.versions import version_rows
 from docflow.schema import CHUNK_KEYS, PI_KEYS
 
 
 def write_contents(new_rows: DataFrame, path: str, write_id: str) -> None:
-    new_rows.select("cid", "content").write.mode("overwrite").parquet(f"{path}/write={write_id}")
+    """Append contents, laid out in folders by their id: see ``only_wanted``."""
+    rows = new_rows.select("cid", "content", content_bucket(F.col("cid")).alias("bucket"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{path}/write={write_id}"
+    )
 
 
 def append_versions(

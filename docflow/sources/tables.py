@@ -31,7 +31,8 @@ def read_components(
 
 
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.CONTENTS).parquet(path)
+    """Contents as written by ``write_contents``, with the ``bucket`` they are laid out by."""
+    return spark.read.schema(schema.CONTENTS + ", bucket int").parquet(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

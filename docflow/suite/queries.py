@@ -31,7 +31,7 @@ from docflow.plans.process import Store, process_chunks as run_process
 from docflow.schema import key_violations as find_violations
 from docflow.session import configure, durable, run_dir
 from docflow.sources.keyed import KeyedTable
-from docflow.sources.sinks import write_reports
+from docflow.sources.sinks import write_contents, write_reports
 from docflow.sources.tables import read_components, read_contents, read_reports, read_versions
 from docflow.streaming.complete import publish_batches, write_complete_chunks
 from docflow.streaming.fold import folded, state_table, write_fold
@@ -263,7 +263,10 @@ def content_lookup(spark, sf_dir):
     stored = docs.where(F.col("doc_id") % 19 != 0).select(
         cid.alias("cid"), F.col("json").alias("content")
     )
-    found = discover.lookup_contents(docs.select("doc_id", cid.alias("cid")), stored)
+    path = run_dir(spark, "contents")
+    write_contents(stored, path, "w0")
+    wanted = docs.select("doc_id", cid.alias("cid"))
+    found = discover.lookup_contents(wanted, read_contents(spark, f"{path}/*"))
     return found.select("doc_id", "drop_reason", "cdn_url")
 
 

@@ -1,8 +1,9 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
-from docflow.operators.contents import dedup_extract, put_contents
+from docflow.operators.contents import content_bucket, dedup_extract, only_wanted, put_contents
 from docflow.operators.discover import (
     discover_refs,
     discovery_totals,
@@ -12,6 +13,8 @@ from docflow.operators.discover import (
     split_enriched,
 )
 from docflow.operators.versions import entity_tip, manifest_merge
+from docflow.sources.sinks import write_contents
+from docflow.sources.tables import read_contents
 from tests.conftest import rows
 
 
@@ -107,3 +110,33 @@ def test_dedup_runs_once_per_text(spark):
     got = rows(dedup_extract(df, "text", extract).select("id", "out"), "id")
     assert got == [(i, "HOT" if i % 3 else f"T{i}") for i in range(60)]
     assert sizes == [21]
+
+
+def test_only_the_folders_of_the_wanted_ids_are_read(spark, tmp_path):
+    rows_ = spark.range(3000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("cid"), F.lit('{"url": "u"}').alias("content")
+    )
+    write_contents(rows_, str(tmp_path), "w0")
+    stored = read_contents(spark, f"{tmp_path}/*")
+    some = rows_.limit(3).select("cid", F.lit(1).alias("n"))
+    few = spark.createDataFrame(some.collect() + [("absent", 2), (None, 3)], "cid string, n int")
+    found = lookup_contents(few, stored)
+    assert rows(found.select("n", "drop_reason", "cdn_url"), "n") == [(1, None, "u")] * 3 + [(2, "not_found", None), (3, "not_found", None)]
+    touched = {r[0] for r in few.where("cid is not null").select(content_bucket(F.col("cid"))).collect()}
+    assert len(touched) <= 4
+    part = only_wanted(stored, few)
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan
+    read = part.select(F.input_file_name()).distinct().collect()
+    assert {int(re.search(r"bucket=(\d+)", r[0])[1]) for r in read} <= touched
+    # contents that are not laid out are joined as they are
+    plain = lookup_contents(few, rows_)
+    assert rows(plain.select("n", "drop_reason"), "n") == rows(found.select("n", "drop_reason"), "n")
+
+
+def test_all_folders_wanted_means_no_filter(spark, tmp_path):
+    rows_ = spark.range(3000).select(F.concat(F.lit("cid"), "id").alias("cid"), F.lit("{}").alias("content"))
+    write_contents(rows_, str(tmp_path), "w0")
+    part = only_wanted(read_contents(spark, f"{tmp_path}/*"), rows_)
+    assert part.count() == 3000 and part.columns == ["cid", "content"]
+    assert "bucket" not in part._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
