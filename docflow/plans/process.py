@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from docflow.functions.scalars import elapsed_ms, status_of_phase
 from docflow.operators.contents import only_wanted, put_contents
 from docflow.operators.discover import load_manifests, refs_of, wanted_files
+from docflow.operators.fold import chunk_fail_fold
 from docflow.operators.report import chunk_progress, chunk_report, failed_refs, pi_results
 from docflow.operators.requests import admit, validate_requests, work_items
 from docflow.operators.versions import (
@@ -23,8 +26,8 @@ from docflow.operators.versions import (
 )
 from docflow.plans.enrich import Policy, enriched_refs, ref_status, run_rounds
 from docflow.plans.extract import Model
-from docflow.schema import CHUNK_KEYS, PI_KEYS, REF_KEYS, key_violations
-from docflow.session import is_done, once, stored
+from docflow.schema import CHUNK_FAILURES, CHUNK_KEYS, PHASES, PI_KEYS, REF_KEYS, key_violations
+from docflow.session import is_done, once, spread, stored
 from docflow.sources.sinks import append_versions, write_contents, write_reports
 
 
@@ -94,6 +97,95 @@ def publish(
     return pis.select(*PI_KEYS).join(outcome, PI_KEYS, "left")
 
 
+Gate = Callable[[DataFrame, int], DataFrame]
+
+
+class ChunkFailures:
+    """Failures of whole chunks, as rows of a log below the run's folder.
+
+    ``gates`` names, by phase, functions that look at what a phase made and return the
+    chunks that failed in it (batch_id, chunk_id, message); they also get the number of
+    the try. A failed chunk's phase is repeated, alone, until it passes or the chunk has failed
+    ``MAX_GLOBAL_RETRIES`` times over all phases; then it is in ERROR and leaves the run. All
+    other chunks go on. Every try's rows and failures are stored once.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        gates: dict[str, Gate],
+        pause: Callable[[float], None] | None,
+    ):
+        unknown = set(gates) - set(PHASES[:3])
+        if unknown:
+            raise ValueError(f"no phases: {sorted(unknown)}")
+        self.spark, self.path, self.gates, self.pause = spark, path, gates, pause
+        self.parts: list[DataFrame] = []
+
+    def log(self) -> DataFrame:
+        """(batch_id, chunk_id, seq, phase, message) of all failures so far."""
+        empty = self.spark.createDataFrame([], CHUNK_FAILURES)
+        return reduce(DataFrame.unionByName, self.parts, empty)
+
+    def folded(self) -> DataFrame:
+        """Phase ERROR or a retry with its delay, for each chunk that ever failed."""
+        return chunk_fail_fold(self.log())
+
+    def without_lost(self, rows: DataFrame) -> DataFrame:
+        """Rows of the chunks that are not in ERROR."""
+        if not self.parts:
+            return rows
+        lost = self.folded().where("phase = 'ERROR'").select(*CHUNK_KEYS)
+        return rows.join(lost, CHUNK_KEYS, "left_anti")
+
+    def passed(
+        self, phase: str, name: str, build: Callable[[DataFrame | None], DataFrame]
+    ) -> DataFrame:
+        """Rows of a phase for the chunks that got through it.
+
+        ``build`` makes the rows of the given chunks (None: all).
+        """
+        if phase not in self.gates:
+            return self.without_lost(stored(self.spark, f"{self.path}/{name}", lambda: build(None)))
+        kept, again, start = [], None, 100 * PHASES.index(phase)
+        for attempt in count(1):
+            at = f"{self.path}/{name}/try={attempt}"
+            rows = stored(self.spark, at, lambda: build(again))
+            noted = f"{self.path}/failures/{phase}-{attempt}"
+            tried_before = is_done(self.spark, f"{noted}/done")
+            failed = stored(
+                self.spark,
+                noted,
+                lambda: self.gates[phase](rows, attempt)
+                .dropDuplicates(CHUNK_KEYS)
+                .select(
+                    *CHUNK_KEYS,
+                    F.lit(start + attempt).cast("long").alias("seq"),
+                    F.lit(phase).alias("phase"),
+                    "message",
+                ),
+            )
+            if failed.isEmpty():
+                return self.without_lost(reduce(DataFrame.unionByName, kept, rows))
+            self.parts.append(failed)
+            kept.append(rows.join(spread(failed.select(*CHUNK_KEYS)), CHUNK_KEYS, "left_anti"))
+            waiting = self.folded().where("retry_delay_ms IS NOT NULL")
+            again = failed.select(*CHUNK_KEYS).join(waiting, CHUNK_KEYS).select(
+                *CHUNK_KEYS, "retry_delay_ms"
+            )
+            delay = again.agg(F.max("retry_delay_ms")).first()[0]
+            if delay is None:
+                return self.without_lost(reduce(DataFrame.unionByName, kept))
+            if self.pause and not tried_before:
+                self.pause(delay / 1000)
+            again = again.select(*CHUNK_KEYS)
+
+
+def _of_chunks(rows: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    return rows if chunks is None else rows.join(spread(chunks), CHUNK_KEYS, "left_semi")
+
+
 def process_chunks(
     requests: DataFrame,
     store: Store,
@@ -101,6 +193,7 @@ def process_chunks(
     policy: Policy,
     run_path: str,
     write_id: str,
+    gates: dict[str, Gate] | None = None,
 ) -> DataFrame:
     """Run accepted requests to the end and return the chunk reports.
 
@@ -108,11 +201,16 @@ def process_chunks(
     published or reported: the result says which chunks are processing and how far
     they are, and the next call goes on.
 
-    The tables between the stages are written once and read back: work items,
+    The tables between the stages are written once and read back: work items, files,
     refs (so that documents are looked up once), enriched refs (so that nothing downstream
     repeats the merge) and the publish plan. A run that was cut off goes on
     behind its last finished table when called again with the same
     ``run_path`` and ``write_id``; a finished one changes nothing.
+
+    ``gates`` make single chunks fail and be tried again: see ``ChunkFailures``. A chunk in
+    ERROR is reported as such, and nothing of it is processed further or published.
+    Reports of all runs are kept in the store, by ``write_id``; ids of later runs must
+    sort behind those of earlier ones.
     """
     spark: SparkSession = requests.sparkSession
     chunks = stored(
@@ -121,22 +219,34 @@ def process_chunks(
         lambda: requests.select(*CHUNK_KEYS, F.current_timestamp().alias("started_at")),
     )
     items = stored(spark, f"{run_path}/items", lambda: work_items(requests))
+    failures = ChunkFailures(spark, run_path, gates or {}, policy.pause)
 
-    def find_files() -> DataFrame:
-        manifests = load_manifests(items, entity_tip(only_entities(store.versions, items)))
+    def find_files(of: DataFrame | None) -> DataFrame:
+        wanted = _of_chunks(items, of)
+        manifests = load_manifests(wanted, entity_tip(only_entities(store.versions, wanted)))
         known = manifests.where(F.col("fetch_error").isNull()).select(*PI_KEYS)
-        latest = manifest_merge(only_entities(store.components, items))
+        latest = manifest_merge(only_entities(store.components, wanted))
         return wanted_files(known, latest)
 
-    files = stored(spark, f"{run_path}/files", find_files)
+    files = failures.passed("FETCHING", "files", find_files)
     refs = stored(spark, f"{run_path}/refs", lambda: refs_of(files, store.contents))
     log = f"{run_path}/log"
     if not is_done(spark, f"{run_path}/ref_results/done"):
         if not run_rounds(refs, load_model, log, policy).finished:
-            return _in_between(chunks, refs, ref_status(spark, log, policy.max_retries))
-    results = stored(
+            left = failures.without_lost(chunks)
+            return _in_between(left, refs, ref_status(spark, log, policy.max_retries))
+    ended_refs = stored(
         spark, f"{run_path}/ref_results", lambda: enriched_refs(refs, log, policy.max_retries)
     )
+    results = ended_refs
+    for phase in ("PROCESSING", "PUBLISHING"):
+        if phase in failures.gates:
+            rows = failures.passed(
+                phase, phase.lower(), lambda of: _of_chunks(ended_refs.drop("content"), of)
+            )
+            lost = rows.select(*CHUNK_KEYS).distinct()
+            results = results.join(spread(lost), CHUNK_KEYS, "left_semi")
+    results = failures.without_lost(results)
 
     def put_new() -> None:
         named = results.where(F.col("content").isNotNull()).withColumn("cid", F.col("result_cid"))
@@ -145,23 +255,27 @@ def process_chunks(
 
     once(spark, f"{run_path}/contents", put_new)
     slim = results.drop("content")
-    pis = publish(items, slim, store, run_path, write_id)
+    pis = publish(failures.without_lost(items), slim, store, run_path, write_id)
 
     entities = stored(spark, f"{run_path}/entities", lambda: pi_results(pis, slim, PI_KEYS))
-    ended = chunks.select(
-        "*",
-        F.current_timestamp().alias("completed_at"),
-        F.lit("DONE").alias("phase"),
-        F.lit(None).cast("string").alias("global_error"),
-    )
+    ended = chunks.withColumn("completed_at", F.current_timestamp())
+    if failures.parts:
+        lost = failures.folded().select(*CHUNK_KEYS, "phase", "global_error")
+        ended = ended.join(spread(lost), CHUNK_KEYS, "left").fillna("DONE", ["phase"])
+    else:
+        ended = ended.select(
+            "*", F.lit("DONE").alias("phase"), F.lit(None).cast("string").alias("global_error")
+        )
     report = stored(
         spark,
         f"{run_path}/chunk_reports",
         lambda: chunk_report(ended, entities, F.current_timestamp()),
     )
     failed = failed_refs(slim, PI_KEYS)
-    path = f"{run_path}/reports"
-    once(spark, f"{run_path}/reported", lambda: write_reports(report, entities, failed, path))
+    path = f"{store.path}/reports"
+    once(
+        spark, f"{run_path}/reported", lambda: write_reports(report, entities, failed, path, write_id)
+    )
     return report
 
 

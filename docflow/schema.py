@@ -31,6 +31,18 @@ ATTEMPTS = (
     "attempted_at timestamp, outcome string, text string, tokens long, message string, "
     "fails long"
 )
+REPORTS = {
+    "chunks": (
+        "batch_id string, chunk_id string, status string, total_refs long, completed long, "
+        "failed long, skipped long, processing_time_ms long, error string"
+    ),
+    "entities": (
+        "batch_id string, chunk_id string, pi string, status string, new_tip string, "
+        "new_version long, refs_completed long, refs_failed long"
+    ),
+    "failed_refs": "batch_id string, chunk_id string, pi string, filename string, error string",
+}
+CHUNK_FAILURES = "batch_id string, chunk_id string, seq long, phase string, message string"
 
 
 class KeyViolation(ValueError):

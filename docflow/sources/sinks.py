@@ -48,13 +48,20 @@ def append_versions(
 
 
 def write_reports(
-    report: DataFrame, entities: DataFrame, failed: DataFrame, path: str
+    report: DataFrame,
+    entities: DataFrame,
+    failed: DataFrame,
+    path: str,
+    run_id: str | None = None,
 ) -> None:
     """Reports as three flat tables: chunks, entities, failed refs.
 
     Their form does not depend on any size. Rows are sorted by batch and chunk inside
     the files, so a reader of one batch skips most of each file; there is no folder
     per batch. The chunks come last: entities without their chunk are unfinished.
+
+    With a ``run_id`` the tables hold many runs, a folder each; writing a run again replaces
+    its folders and leaves the others.
     """
     tables = (
         ("failed_refs", failed.select(*PI_KEYS, "filename", "error")),
@@ -62,5 +69,10 @@ def write_reports(
         ("chunks", report),
     )
     for name, rows in tables:
+        if run_id is not None:
+            rows = rows.withColumn("run_id", F.lit(run_id))
         ordered = rows.hint("rebalance", F.col("batch_id")).sortWithinPartitions(*CHUNK_KEYS)
-        ordered.write.mode("overwrite").parquet(f"{path}/{name}")
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if run_id is not None:
+            writer = writer.partitionBy("run_id")
+        writer.parquet(f"{path}/{name}")

@@ -545,6 +545,21 @@ SELECT CAST(page_id AS VARCHAR) AS pi, 'page' || CAST(page_id AS VARCHAR) || '.r
 FROM k""",
     "process_chunks": PROCESSED,
     "process_resume": PROCESSED,
+    "process_failure": f"""
+SELECT chunk_id,
+  CASE WHEN lost THEN 'error' ELSE status END AS status,
+  CASE WHEN lost THEN 0 ELSE total_refs END AS total_refs,
+  CASE WHEN lost THEN 0 ELSE completed END AS completed,
+  CASE WHEN lost THEN 0 ELSE failed END AS failed,
+  CASE WHEN lost THEN 0 ELSE skipped END AS skipped,
+  CASE WHEN lost THEN 'lost connection 5' END AS error
+FROM (SELECT *, CAST(chunk_id AS BIGINT) % 7 = 3 AND total_refs > 0 AS lost FROM ({PROCESSED}) p) x""",
+    "process_rerun": f"""
+SELECT chunk_id, status, total_refs, CASE WHEN status = 'success' THEN completed ELSE 0 END AS completed,
+  failed, CASE WHEN status = 'success' THEN skipped ELSE completed + skipped END AS skipped,
+  CASE WHEN status = 'success' THEN 'w0' ELSE 'w1' END AS run_id,
+  CASE WHEN status = 'success' THEN 1 ELSE 2 END AS n_runs
+FROM ({PROCESSED}) p""",
     "process_pending": f"""
 WITH {FOUND},
 s AS (

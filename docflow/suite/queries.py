@@ -32,7 +32,13 @@ from docflow.schema import key_violations as find_violations
 from docflow.session import configure, durable, run_dir
 from docflow.sources.keyed import KeyedTable
 from docflow.sources.sinks import write_contents, write_reports
-from docflow.sources.tables import read_components, read_contents, read_reports, read_versions
+from docflow.sources.tables import (
+    read_components,
+    read_contents,
+    read_latest_reports,
+    read_reports,
+    read_versions,
+)
 from docflow.streaming.complete import publish_batches, write_complete_chunks
 from docflow.streaming.fold import folded, state_table, write_fold
 from docflow.suite.models import asset_model, letter_model, title_model
@@ -643,22 +649,29 @@ def enrich_pages(spark, sf_dir):
     )
 
 
-def _process(spark, sf_dir, path, policy):
-    """One call of the whole path; a second call with the same path goes on."""
-    requests = (
+def _process_requests(spark, sf_dir):
+    return (
         _customers(spark, sf_dir)
         .groupBy(F.lit("b0").alias("batch_id"), _str("chunk_id").alias("chunk_id"))
         .agg(F.sort_array(F.collect_list(_str("pi"))).alias("pis"))
     )
+
+
+def _process_store(spark, sf_dir, path):
     tips = _tips(spark, sf_dir).withColumn("entity", _str("entity"))
     manifest = _manifest(spark, sf_dir).join(tips.select(F.col("entity").cast("long"), "ver"), "entity")
-    store = Store(
+    return Store(
         versions=durable(tips),
         components=durable(manifest.withColumn("entity", _str("entity"))),
         contents=fixtures.part_contents(spark, sf_dir),
         path=f"{path}/store",
     )
-    return run_process(requests, store, asset_model, policy, f"{path}/run", "w0")
+
+
+def _process(spark, sf_dir, path, policy, gates=None):
+    """One call of the whole path; a second call with the same path goes on."""
+    requests, store = _process_requests(spark, sf_dir), _process_store(spark, sf_dir, path)
+    return run_process(requests, store, asset_model, policy, f"{path}/run", "w0", gates)
 
 
 _REPORT = ["chunk_id", "status", "total_refs", "completed", "failed", "skipped"]
@@ -702,6 +715,49 @@ def process_components(spark, sf_dir):
     return files.join(texts, "cid", "left").select("entity", "ver", "filename", ocr.alias("ocr"))
 
 
+@query
+def process_failure(spark, sf_dir):
+    """Some chunks cannot be fetched: one kind recovers at the third try, one never."""
+
+    def fetch_gate(files, attempt):
+        kind = F.col("chunk_id").cast("long") % 7
+        bad = (kind == 3) | ((kind == 5) & F.lit(attempt < 3))
+        message = F.concat(F.lit("lost connection "), F.lit(str(attempt)))
+        return files.where(bad).select("batch_id", "chunk_id", message.alias("message"))
+
+    path = run_dir(spark, "process-failure")
+    gates = {"FETCHING": fetch_gate}
+    report = _process(spark, sf_dir, path, Policy(cdn_host=CDN, pause=None), gates)
+    return report.select(*_REPORT, "error")
+
+
+@query
+def process_rerun(spark, sf_dir):
+    """All chunks, then again those that were no full success; the newest report of each."""
+    path = run_dir(spark, "process-rerun")
+    policy = Policy(cdn_host=CDN)
+    requests, store = _process_requests(spark, sf_dir), _process_store(spark, sf_dir, path)
+    first = run_process(requests, store, asset_model, policy, f"{path}/run0", "w0")
+    again = requests.join(
+        first.where("status <> 'success'").select("batch_id", "chunk_id"), ["batch_id", "chunk_id"]
+    )
+    written = read_contents(spark, f"{store.path}/contents/*").drop("bucket")
+    kept = ["entity", "tip", "ver"]
+    grown = Store(
+        versions=store.versions.select(kept).unionByName(read_versions(spark, store.path).select(kept)),
+        components=store.components.unionByName(
+            read_components(spark, store.path).select(store.components.columns)
+        ),
+        contents=store.contents.unionByName(written),
+        path=store.path,
+    )
+    run_process(again, grown, asset_model, policy, f"{path}/run1", "w1")
+    newest, _, _ = read_latest_reports(spark, f"{store.path}/reports")
+    stored_reports = spark.read.parquet(f"{store.path}/reports/chunks")
+    runs = stored_reports.groupBy("chunk_id").agg(F.count_distinct("run_id").alias("n_runs"))
+    return newest.join(runs, "chunk_id").select(*_REPORT, "run_id", "n_runs")
+
+
 # --- streams -----------------------------------------------------------------
 
 
