@@ -3,14 +3,13 @@
 A sample of the documents proposes phrases: those of one to five words that are frequent in
 it at a lowered threshold. A pass over all documents then counts the proposed phrases and
 their negative border: the phrases that were not proposed although both their parts, without
-the last and without the first word, were. (All single words are counted.) This pass adds
-up 64-bit hashes of phrases: no count can come out too low, so what stays below
-the threshold is not frequent. A border phrase that reaches it is a failure of the sample. The
-last pass counts by text, exactly, all phrases that reached the threshold, and expands the
-failures: it also counts every phrase that a failure, or a phrase counted because of
-one, is the first or last part of. That closes the border: the parts of a frequent phrase
-are frequent, so either both were proposed and the phrase was counted in the first pass, or
-one of them is a failure or counted because of one, and so is the phrase.
+the last and without the first word, were. (All single words are counted.) Proposed phrases are
+counted by text, the border by 64-bit hashes: no such count can come out too low, so what stays
+below the threshold is not frequent. A border phrase that reaches it is a failure of the
+sample. An expansion pass counts the failures by text, and every phrase that a failure, or a
+phrase counted because of one, is the first or last part of. That closes the border: the
+parts of a frequent phrase are frequent, so either both were proposed and the phrase was counted
+in the first pass, or one of them is a failure or counted because of one, and so is the phrase.
 
 Proposals, frequent phrases and failures travel to the tasks as bit filters of bounded
 size. What passes a filter wrongly is only counted in vain.
@@ -53,6 +52,7 @@ _PLACES = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(LO
 _BREAK = "."
 _SEPARATORS = r"[.,;:!?\x0A-\x0D]"
 _COUNTS = "lang string, phrase string, n long"
+_BORDER = "lang string, phrase string, hash long, n long"
 
 
 def _hashes(texts: pa.Array) -> np.ndarray:
@@ -181,45 +181,66 @@ class Block:
 
 
 def hash_counts(
-    block: Block, known: np.ndarray | None, lengths: range
+    block: Block, known: np.ndarray | None, length: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, counts) of the phrases of the given lengths whose parts both pass ``known``."""
+    """(hashes, counts) of the phrases of ``length`` words whose parts both pass ``known``."""
     at = block.is_word
-    for length in range(1, lengths[-1] + 1):
-        places, codes, counts, first = block.phrases(length, at)
+    for k in range(1, length + 1):
+        places, codes, counts, first = block.phrases(k, at)
         if not len(places):
             return
         heads = block.hashes[first]
-        if length in lengths:
+        if k == length:
             yield heads, counts
-        if length < lengths[-1]:
-            passes = np.zeros(len(at), bool)
-            passes[places] = _member(known, heads)[codes]
-            at = np.append(passes[:-1] & passes[1:], False)
+        else:
+            at = _followed(at, places, _member(known, heads)[codes])
+
 
+def _followed(at: np.ndarray, places: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """Places where one phrase that passed starts and another at the next word."""
+    passes = np.zeros(len(at), bool)
+    passes[places] = passed
+    return np.append(passes[:-1] & passes[1:], False)
 
-def text_counts(
+
+def border_counts(block: Block, known: np.ndarray) -> Iterator[tuple]:
+    """(languages, phrases, hashes, counts): phrases that pass ``known`` with their text, and
+    without it those that do not but whose parts do. The empty phrase counts all words of
+    a language."""
+    totals = np.bincount(block.lang[block.is_word], minlength=len(block.langs))
+    nothing = np.zeros(len(totals), np.int64)
+    yield block.langs, pa.array([""] * len(totals), pa.string()), nothing, totals
+    at = block.is_word
+    for length in range(1, LONGEST + 1):
+        places, codes, counts, first = block.phrases(length, at)
+        if not len(places):
+            return
+        heads = block.hashes[first]
+        member = _member(known, heads)
+        yield *block.named(first[member], length), heads[member], counts[member]
+        nameless = pa.nulls(int((~member).sum()), pa.string())
+        yield nameless, nameless, heads[~member], counts[~member]
+        at = _followed(at, places, member[codes])
+
+
+def expansion_counts(
     block: Block, often: np.ndarray, fresh: np.ndarray
 ) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(languages, phrases, counts) of the phrases that pass ``often``, and of those with a part
-    that passes ``fresh`` or was itself counted for this. The empty phrase counts all words
-    of a language."""
-    totals = np.bincount(block.lang[block.is_word], minlength=len(block.langs))
-    yield block.langs, pa.array([""] * len(totals), pa.string()), totals
+    """(languages, phrases, counts) of the phrases that pass ``fresh``, and of those with a part
+    that does or was itself counted for this, both parts passing ``often`` or being such."""
     at, opened = block.is_word, np.zeros(len(block.word), bool)
     for length in range(1, LONGEST + 1):
         places, codes, counts, first = block.phrases(length, at)
         if not len(places):
             return
         heads = block.hashes[first]
-        follows = opened[first]
-        counted = follows | _member(often, heads)
-        yield *block.named(first[counted], length), counts[counted]
-        passes, new = np.zeros(len(at), bool), np.zeros(len(at), bool)
-        passes[places] = counted[codes]
-        new[places] = (follows | counted & _member(fresh, heads))[codes]
-        at = np.append(passes[:-1] & passes[1:], False)
-        opened = np.append(new[:-1] | new[1:], False)
+        follows, known = opened[first], _member(often, heads)
+        new = follows | known & _member(fresh, heads)
+        yield *block.named(first[new], length), counts[new]
+        at = _followed(at, places, (follows | known)[codes])
+        starts = np.zeros(len(at), bool)
+        starts[places] = new[codes]
+        opened = np.append(starts[:-1] | starts[1:], False)
 
 
 def _combined(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.Table]:
@@ -264,13 +285,16 @@ def _plain(column) -> pa.Array:
     return column
 
 
-def _often_hashes(
-    docs: DataFrame, lengths: range, least: int, name: str, known: np.ndarray | None = None
-) -> DataFrame:
-    """Stored hashes of the phrases of one pass that are counted at least ``least`` times."""
-    counts = _passed(docs, partial(hash_counts, lengths=lengths), "hash long, n long", known)
-    summed = counts.groupBy("hash").agg(F.sum("n").alias("n"))
-    return saved(summed.where(F.col("n") >= least).select("hash"), name)
+def _proposed(docs: DataFrame, least: int) -> np.ndarray:
+    """Filter of the phrases that occur ``least`` times in the sample, found length by length."""
+    found, filter_ = None, None
+    for length in range(1, LONGEST + 1):
+        counts = _passed(docs, partial(hash_counts, length=length), "hash long, n long", filter_)
+        summed = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        longer = saved(summed.select("hash"), "phrases-proposed")
+        found = longer if found is None else found.unionByName(longer)
+        filter_ = hash_filter(found)
+    return filter_
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: float = SAMPLE) -> DataFrame:
@@ -283,17 +307,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: float = SAMPLE
     drawn = saved(docs.sample(fraction=sample, seed=1), "phrases-sample")
     expected = least * sample
     lowered = max(2, floor(expected - 1.5 * sqrt(expected)))
-    proposed, filter_ = None, None
-    for length in range(1, LONGEST + 1):
-        step = range(length, length + 1)
-        longer = _often_hashes(drawn, step, lowered, "phrases-proposed", filter_)
-        proposed = longer if proposed is None else proposed.unionByName(longer)
-        filter_ = hash_filter(proposed)
-    often = _often_hashes(docs, range(1, LONGEST + 1), least, "phrases-often", filter_)
-    failures = saved(often.join(proposed, "hash", "left_anti"), "phrases-failures")
-    counts = _passed(docs, text_counts, _COUNTS, hash_filter(often), hash_filter(failures))
-    summed = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return saved(summed.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases-found")
+    proposals = _proposed(drawn, lowered)
+    counts = _passed(docs, border_counts, _BORDER, proposals)
+    summed = counts.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
+    often = saved(summed.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases-often")
+    found = often.where("phrase IS NOT NULL").select("lang", "phrase", "n")
+    failures = saved(often.where("phrase IS NULL").select("hash"), "phrases-failures")
+    if failures.isEmpty():
+        return found
+    known = hash_filter(often.where("phrase IS NULL OR phrase <> ''").select("hash"))
+    counts = _passed(docs, expansion_counts, _COUNTS, known, hash_filter(failures))
+    summed = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # either pass counts a phrase wholly, so one counted by both has one count
+    both = found.unionByName(summed).groupBy("lang", "phrase").agg(F.max("n").alias("n"))
+    return saved(both, "phrases-found")
 
 
 def _parts(words: Column, start: Column, length: Column) -> Column:

@@ -88,7 +88,7 @@ def test_scores_and_ranks(llm):
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     text = "a b c. d e f " * 500 + "x" * 3000 + " a b"
     whole = Counter()
-    everything, nothing = np.full(4, ~np.uint64(0)), np.zeros(4, np.uint64)
+    everything = np.full(4, ~np.uint64(0))
     for block in (1 << 20, 100):
         monkeypatch.setattr(phrases, "BLOCK", block)
         batch = pa.RecordBatch.from_pydict({"lang": ["x"] * 3, "text": [text, "a b", text[:90]]})
@@ -96,7 +96,7 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
         blocks = list(phrases._blocks(batch))
         assert len(blocks) == 1 if block > 100 else len(blocks) > 50
         for langs, texts in blocks:
-            for _, names, n in phrases.text_counts(phrases.Block(langs, texts), everything, nothing):
+            for _, names, _, n in phrases.border_counts(phrases.Block(langs, texts), everything):
                 for name, count in zip(names.to_pylist(), n, strict=True):
                     found[name] += int(count)
         want = counts([("x", text), ("x", "a b"), ("x", text[:90])])["x"]
