@@ -39,12 +39,12 @@ REPORTED = 2000
 SAMPLE = 1 / 8
 
 #: Bytes of text that a task turns into numbers at once; longer texts are cut between pieces.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Bits of the filter per proposed phrase, and of the largest filter (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 _PROBES = 3
-#: Counts that a task holds before it gives them out.
-HELD = 1_500_000
+#: Named counts that a task holds before it gives them out.
+HELD = 300_000
 _SALTS = 32
 
 # odd multipliers of the words' hashes by place, and of the language's
@@ -245,9 +245,13 @@ def expansion_counts(
 
 def _combined(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.Table]:
     """Counts of several blocks added up, so that a task gives out a phrase once and not
-    once per block; given out early where more than ``HELD`` phrases would be held."""
+    once per block; given out early where more than ``HELD`` phrases would be held.
+    Border phrases, counted by hash, are mostly met once and pass as they are."""
     held: list[pa.Table] = []
     for table in tables:
+        if table.schema.names[0] != "lang" or table["lang"].null_count == table.num_rows:
+            yield table
+            continue
         held.append(table)
         if sum(t.num_rows for t in held) > HELD:
             merged = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")])
