@@ -39,7 +39,7 @@ REPORTED = 2000
 SAMPLE = 1 / 8
 
 #: Bytes of text that a task turns into numbers at once; longer texts are cut between pieces.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bits of the filter per proposed phrase, and of the largest filter (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 _PROBES = 3
