@@ -44,48 +44,92 @@ def test_base_columns_and_gain(llm, small):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
-def state_sums(model):
-    """Total probability after each context; words outside the vocabulary by their base."""
-    tree, width = model.tree, len(model.vocabulary.ids)
-    counts = {bytes(r.word): r.n for r in model.counts.collect()}
-    norm = model.tokens + model.words + 1
-    other = (sum(counts[w] + 1 for w in counts if w not in model.vocabulary.ids) + 1) / norm
-    every = np.arange(width)
-    sums = []
-    for length in (1, 2):
-        total = len(tree.rest[length - 1])
-        for state in range(total):
-            if not tree.kept[length - 1][state]:
-                continue
-            if length == 1:
-                context = [int(np.flatnonzero(tree.number == state)[0])]
-            else:
-                pair = int(tree.pairs[state])
-                context = [int(np.flatnonzero(tree.number == pair // width)[0]), pair % width]
-            size = length + 1
-            ids = np.stack([np.full(width + 1, c) for c in context] + [np.append(every, -1)], 1)
-            logs = tree.score(ids.ravel(), np.full(width + 1, size))[length::size]
-            p = 10.0**logs
-            sums.append(p[:-1].sum() + p[-1] * other)
-    return sums
-
-
-def test_every_state_sums_to_one(llm):
+def plain_tree(texts, limits):
+    """The tree by its definition: {context: (log10 of its next words, log10 of the rest)}."""
+    runs = [[*spaced_words(t), b""] for t in texts]
+    counts = Counter(w for run in runs for w in run)
+    norm = sum(counts.values()) + len(counts) + 1
+    kept = {}
+
+    def log(context, word):
+        if not context:
+            return math.log10((counts[word] + 1) / norm)
+        if context not in kept:
+            return log(context[1:], word)
+        listed, rest = kept[context]
+        return listed[word] if word in listed else rest + log(context[1:], word)
+
+    tried = {(w,): n for w, n in counts.items() if n >= limits.min_count}
+    while tried:
+        size = len(next(iter(tried)))
+        after = {c: Counter() for c in tried}
+        for run in runs:
+            for i in range(size, len(run)):
+                context = tuple(run[i - size : i])
+                if context in after:
+                    after[context][run[i]] += 1
+        new = {}
+        for context, nexts in after.items():
+            total, nexts = tried[context], {w: n for w, n in nexts.items() if n > 1}
+            chance = {w: (n - 0.5) / (total + 1) for w, n in nexts.items()}
+            below = {w: 10 ** log(context[1:], w) for w in nexts}
+            rest = max(1 - sum(chance.values()), 1e-12) / max(1 - sum(below.values()), 1e-9)
+            gain = sum(n * math.log(chance[w] / below[w]) for w, n in nexts.items())
+            gain += (total - sum(nexts.values())) * math.log(rest)
+            if nexts and gain >= limits.min_gain:
+                new[context] = ({w: math.log10(p) for w, p in chance.items()}, math.log10(rest))
+        kept |= new
+        longer = ((*c, w) for c, nexts in after.items() for w, n in nexts.items() if n >= limits.min_count)
+        tried = {c: after[c[:-1]][c[-1]] for c in longer if c[1:] in new}
+    return kept, log
+
+
+def plain_score(text, kept, log):
+    words, deepest = [*spaced_words(text), b""], max(map(len, kept), default=0)
+    total = 0.0
+    for i, word in enumerate(words):
+        context = ()
+        for size in range(1, min(deepest, i) + 1):
+            if tuple(words[i - size : i]) not in kept:
+                break
+            context = tuple(words[i - size : i])
+        total += log(context, word)
+    return total
+
+
+def deep_texts():
+    """What comes next follows from up to four words before."""
     rng = np.random.default_rng(0)
     texts = []
-    for i in range(300):
-        words, w = [], "a"
+    for i in range(200):
+        words = ["a", "b", "a", "b"]
         for _ in range(60):
-            w = {"a": "b", "b": "c", "c": rng.choice(["a", "x", "y"])}.get(w, rng.choice(["a", "b"]))
-            words.append(str(w))
+            ones = words[-4:].count("a")
+            words.append("ab"[ones % 2] if rng.random() < 0.9 else rng.choice(["a", "b", "x"]))
         texts.append((i, " ".join(words) + (f" rare{i}" if i % 3 else "")))
-    limits = st.Limits(min_word=0.001, min_context=0.01, min_next=0.01, min_gain=1.0)
+    return texts
+
+
+def test_equal_to_a_plain_tree_of_any_depth(llm):
+    texts = deep_texts()
+    limits = st.Limits(min_gain=5.0, min_count=10)
     model = st.train(table(llm, texts), limits)
-    sums = state_sums(model)
-    assert len(sums) > 5 and np.allclose(sums, 1.0, atol=1e-6)
-    scored = st.score(table(llm, texts), model).agg(F.sum("score"), F.sum("base_score")).first()
-    assert scored[0] > 0.5 * scored[1]  # half the bits are gone
-    assert any(model.tree.kept[1])
+    kept, log = plain_tree([t for _, t in texts], limits)
+    assert model.contexts.depth == max(map(len, kept)) >= 4
+    others = [(1000, "a b never seen a a b b a"), (1001, ""), (1002, None), (1003, "x x x a b")]
+    got = {r.doc_id: r.score for r in st.score(table(llm, texts + others), model).collect()}
+    for doc_id, text in texts + others:
+        assert got[doc_id] == pytest.approx(plain_score(text, kept, log), abs=1e-6)
+    states = model.contexts.table.count()
+    assert states == sum(1 + len(listed) for listed, _ in kept.values())
+
+
+def test_longer_contexts_lower_the_score_of_unseen_texts(llm):
+    texts = deep_texts()
+    train, unseen = table(llm, texts[:150]), table(llm, texts[150:])
+    limits = st.Limits(min_gain=5.0, min_count=10)
+    deep = st.score(unseen, st.train(train, limits)).agg(F.sum("score"), F.sum("base_score")).first()
+    assert deep[0] > 0.75 * deep[1]
 
 
 def test_edges(llm):
@@ -112,47 +156,42 @@ def test_contexts_grow_with_the_corpus(llm):
             words += [f"a{a}", f"b{a}", f"c{(a * 7 + 3) % 400}", f"n{rng.integers(50)}"]
         texts.append((i, " ".join(words)))
     docs = table(llm, texts)
-    wide = st.Limits(min_word=0.01, min_context=0.01, min_next=0.01)  # few fit the tree
-    shares = st.Limits(min_word=1e-9, min_context=1e-9, min_next=1e-9)  # all do
-    for limits in (wide, shares):
+    few = st.Limits(min_word=0.01, broadcast_keys=10)
+    for limits in (few, st.Limits(min_word=1e-9)):
         got = st.score(docs, st.train(docs, limits)).agg(F.sum("score"), F.sum("base_score"))
         score, base = got.first()
         # two of four words follow from the one before, the others are drawn evenly
         assert score > 0.66 * base, (score, base)
 
 
-def test_probabilities_beyond_the_tree_sum_to_one(llm):
+def test_probabilities_sum_to_one(llm):
     rng = np.random.default_rng(2)
     texts = [
         (i, " ".join(f"w{min(rng.geometric(0.15), 30)}" for _ in range(80)) + " x y z")
         for i in range(60)
     ]
-    limits = st.Limits(min_word=0.02, min_context=0.05, min_next=0.05, min_gain=1.0, min_count=5)
+    limits = st.Limits(min_gain=1.0, min_count=5)
     model = st.train(table(llm, texts), limits)
     counts = {bytes(r.word): r.n for r in model.counts.collect()}
     norm = model.tokens + model.words + 1
-    for context in ("x y", "y", "w1 w2", "w3", "w9", "x", "z"):
+    stored = {r.key for r in model.contexts.table.select("key").collect()}
+    for context in ("x y", "y", "w1 w2", "w1 w1 w2", "w3", "w9", "x", "z"):
         own = spaced_words(context)
-        last = [*(w for w in counts if w), b""]
+        last = [*(w for w in counts if w), b"never-seen", b""]
         words = [[*own, w] if w else own for w in last]
-        ids, sizes = model.vocabulary.encode(words)
-        logs, by = model.tree.walk(ids, sizes)
-        added, left = st._beyond(words, sizes, by, model.beyond, st.beyond.WordHashes())
-        assert not any(left.to_pylist())  # at this size all are broadcast
-        at = np.cumsum(sizes) - sizes + len(own)
-        rare = zip(ids[at] < 0, last, strict=True)
-        base = [math.log10((counts[w] + 1) / norm) if r else 0.0 for r, w in rare]
-        assert sum(10 ** (logs[at] + added[at] + base)) == pytest.approx(1.0, abs=2e-3)
-    assert model.beyond.table.where("value > 0").count() > 0
-
-
-def test_rows_that_are_not_broadcast_count_too(llm, monkeypatch):
+        added, _, asked = st._walked(words, model.contexts, st.WordHashes())
+        assert not stored & set(asked.tolist())  # at this size all are broadcast
+        at = np.cumsum([len(w) + 1 for w in words]) - [len(w) + 1 for w in words] + len(own)
+        base = [math.log10((counts.get(w, 0) + 1) / norm) for w in last]
+        assert sum(10 ** (added[at] + base)) == pytest.approx(1.0, abs=2e-3)
+
+
+def test_rows_that_are_not_broadcast_count_too(llm):
     texts = [(i, f"a{i % 9} b{i % 9} c{i % 9} " * 9) for i in range(90)]
-    limits = st.Limits(min_word=0.05, min_context=0.05, min_next=0.05)
     docs = table(llm, texts)
-    near = st.score(docs, st.train(docs, limits)).agg(F.sum("score")).first()[0]
-    monkeypatch.setattr(st.beyond, "FREQUENT", 2.0)
-    model = st.train(docs, limits)
-    far = st.score(docs, model)
-    assert not len(model.beyond.keys)
-    assert far.agg(F.sum("score")).first()[0] == pytest.approx(near)
+    near, far = (
+        st.train(docs, st.Limits(min_word=0.05, broadcast_keys=k)) for k in (2_000_000, 0)
+    )
+    assert len(near.contexts.keys) and not len(far.contexts.keys)
+    near, far = (st.score(docs, m).agg(F.sum("score")).first()[0] for m in (near, far))
+    assert far == pytest.approx(near)
