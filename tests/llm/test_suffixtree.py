@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docflow.llm import contexts
 from docflow.llm import suffixtree as st
 from docflow.llm.common import spaced_words
 from docflow.llm.queries import lm_score
@@ -172,26 +174,42 @@ def test_probabilities_sum_to_one(llm):
     ]
     limits = st.Limits(min_gain=1.0, min_count=5)
     model = st.train(table(llm, texts), limits)
-    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    by_key = {r.key: r.n for r in model.counts.collect()}
+    counts = Counter(w for _, t in texts for w in [*spaced_words(t), b""])
+    assert sorted(by_key.values()) == sorted(counts.values())
     norm = model.tokens + model.words + 1
     stored = {r.key for r in model.contexts.table.select("key").collect()}
     for context in ("x y", "y", "w1 w2", "w1 w1 w2", "w3", "w9", "x", "z"):
         own = spaced_words(context)
         last = [*(w for w in counts if w), b"never-seen", b""]
-        words = [[*own, w] if w else own for w in last]
-        added, _, asked = st._walked(words, model.contexts, st.WordHashes())
+        runs = pa.array([b" ".join([*own, w]).decode() for w in last])
+        h, place, sizes = st.hashed(runs)
+        added, _, asked = model.contexts.walk(h, place)
         assert not stored & set(asked.tolist())  # at this size all are broadcast
-        at = np.cumsum([len(w) + 1 for w in words]) - [len(w) + 1 for w in words] + len(own)
+        at = np.cumsum(sizes) - sizes + len(own)
         base = [math.log10((counts.get(w, 0) + 1) / norm) for w in last]
         assert sum(10 ** (added[at] + base)) == pytest.approx(1.0, abs=2e-3)
 
 
+def test_hashes_are_those_of_the_words(monkeypatch):
+    texts = ["One  two\tthree", None, "", " x\x0b\x00 \x00\x00 \xe9\u00a0A ", "w" * 70_000 + " two"] * 3
+    words = [[*spaced_words(t), b""] for t in texts]
+    h, place, sizes = st.hashed(pa.array(texts))
+    assert sizes.tolist() == [len(w) for w in words]
+    assert place.tolist() == [i for w in words for i in range(len(w))]
+    by_word = dict(zip((w for own in words for w in own), h.tolist(), strict=True))
+    assert len(set(by_word.values())) == len(by_word)
+    assert [by_word[w] for own in words for w in own] == h.tolist()
+    monkeypatch.setattr(contexts, "CHUNK", 3)
+    assert st.hashed(pa.array(texts))[0].tolist() == h.tolist()
+
+
 def test_rows_that_are_not_broadcast_count_too(llm):
     texts = [(i, f"a{i % 9} b{i % 9} c{i % 9} " * 9) for i in range(90)]
     docs = table(llm, texts)
     near, far = (
         st.train(docs, st.Limits(min_word=0.05, broadcast_keys=k)) for k in (2_000_000, 0)
     )
-    assert len(near.contexts.keys) and not len(far.contexts.keys)
+    assert len(near.contexts.frequent) and not len(far.contexts.frequent)
     near, far = (st.score(docs, m).agg(F.sum("score")).first()[0] for m in (near, far))
     assert far == pytest.approx(near)
