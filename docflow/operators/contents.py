@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.session import durable, spread
+from docflow.sources.keyed import KeyedTable
 
 #: Stored contents are laid out in so many folders by a hash of their id.
 BUCKETS = 64
@@ -65,3 +67,36 @@ def dedup_extract(
     tagged = df.withColumn("cid", content_id(F.col(text)))
     distinct = tagged.select("cid", text).dropDuplicates(["cid"])
     return tagged.drop(text).join(extract(distinct), "cid", "left")
+
+
+def extract_new(
+    df: DataFrame,
+    text: str,
+    extract: Callable[[DataFrame], DataFrame],
+    results: KeyedTable,
+) -> DataFrame:
+    """``dedup_extract`` that keeps its results: what a former call extracted is not sent again.
+
+    ``results`` is a table by ``cid`` with the columns that ``extract`` returns. Texts
+    without a row in it are extracted once each and checkpointed, so no later step calls
+    the model again, and join the table in the buckets of their ids. Every row of ``df`` gets its
+    result from there; ``reused`` tells a former call's from a new one. A text that ``extract``
+    returns no row for has a null result and is sent again by the next call. A null text has
+    no id, is never sent and has no result.
+
+    The result reads the stored table: write it before the call after the next one.
+    """
+    spark = df.sparkSession
+    last = results.newest(spark)
+    tagged = df.withColumn("cid", content_id(F.col(text)))
+    ids = tagged.where(F.col("cid").isNotNull()).select("cid")
+    distinct = tagged.where(F.col("cid").isNotNull()).select("cid", text).dropDuplicates(["cid"])
+    known = results.read(spark, last, ids).select("cid")
+    fresh = durable(extract(distinct.join(known, "cid", "left_anti")))
+    results.write(
+        spark, last + 1, fresh, lambda old: old.unionByName(fresh.select(*old.columns))
+    )
+    new = fresh.select("cid", F.lit(True).alias("_new"))
+    found = results.read(spark, last + 1, ids).join(new, "cid", "left")
+    found = found.withColumn("reused", F.col("_new").isNull()).drop("_new")
+    return tagged.drop(text).join(spread(found), "cid", "left")

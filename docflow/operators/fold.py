@@ -174,6 +174,19 @@ def backoff_streaks(
     )
 
 
+def current_streak(
+    steps: DataFrame, keys: list[str] = CHUNK_KEYS, order: str = "step"
+) -> DataFrame:
+    """Per key the rate-limited steps since its last other one (keys, ``streak``).
+
+    The last row of ``backoff_streaks``, from two aggregates and without any order over rows.
+    """
+    last = steps.groupBy(*keys).agg(F.max(F.when(~F.col("rate_limited"), F.col(order))).alias("_ok"))
+    after = F.col("_ok").isNull() | (F.col(order) > F.col("_ok"))
+    joined = steps.select(*keys, order).join(spread(last), keys)
+    return joined.groupBy(*keys).agg(F.count_if(after).alias("streak"))
+
+
 def chunk_fail_fold(
     failures: DataFrame,
     keys: list[str] = CHUNK_KEYS,

@@ -23,10 +23,11 @@ from docflow.functions.scalars import (
 )
 from docflow.functions.urls import url_variants
 from docflow.operators.contents import content_id
+from docflow.operators.cost import cost_rollup
 from docflow.operators.fold import MAX_RETRIES
 from docflow.plans.extract import Model, extract_once
-from docflow.schema import ATTEMPTS, REF_KEYS
-from docflow.session import is_done, once, set_done
+from docflow.schema import ATTEMPTS, CHUNK_KEYS, REF_KEYS
+from docflow.session import is_done, once, set_done, spread
 
 
 @dataclass(frozen=True)
@@ -234,14 +235,33 @@ def _delay_seconds(streak: int) -> float:
     return delay * (1 + JITTER_SHARE * random.uniform(-1, 1)) / 1000
 
 
-def ref_status(spark: SparkSession, log_path: str, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """Status of every attempted ref.
+def call_cost(
+    spark: SparkSession, log_path: str, keys: list[str] = CHUNK_KEYS
+) -> DataFrame:
+    """Attempts, tokens and cost per key, from the engine's own log.
+
+    Failed attempts count with what their calls were charged; refs that needed no call do not.
+    """
+    calls = read_log(spark, log_path).where(F.col("seq") > 0)
+    return cost_rollup(calls, keys)
+
+
+def ref_status(
+    spark: SparkSession,
+    log_path: str,
+    max_retries: int = MAX_RETRIES,
+    chunks: DataFrame | None = None,
+) -> DataFrame:
+    """Status of every attempted ref, or of those of the given chunks (one row each).
 
     The loop attempts a ref until it has ended and no further, and each row carries
     the failures so far: a ref's last row decides. Texts stay out of it.
     """
     last = F.max_by(F.struct("seq", "outcome", "fails", "message"), "seq").alias("l")
-    folded = read_log(spark, log_path).groupBy(*REF_KEYS).agg(last)
+    log = read_log(spark, log_path)
+    if chunks is not None:
+        log = log.join(spread(chunks), CHUNK_KEYS, "left_semi")
+    folded = log.groupBy(*REF_KEYS).agg(last)
     outcome, spent = F.col("l.outcome"), F.col("l.fails") >= max_retries
     status = (
         F.when(outcome.isin("done", "skipped"), outcome)

@@ -26,11 +26,23 @@ class Request:
 
 @dataclass(frozen=True)
 class Result:
-    """Text and token count, or an error message."""
+    """Text and token counts, or an error message.
+
+    ``prompt_tokens`` and ``completion_tokens`` are what the call is charged for, also when it
+    failed; ``tokens``, if not given, is their sum.
+    """
 
     text: str | None = None
     tokens: int | None = None
     error: str | None = None
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
+
+    def charged(self) -> tuple[int, int]:
+        return self.prompt_tokens or 0, self.completion_tokens or 0
+
+    def counted(self) -> int:
+        return sum(self.charged()) if self.tokens is None else self.tokens
 
 
 Model = Callable[[list[Request]], list[Result]]
@@ -91,7 +103,8 @@ def extract_once(
     requests from ``threads`` threads; calls in flight are tasks x threads.
     ``concurrency`` sets the number of tasks; without it the partitions stay as
     they are and nothing is shuffled. A failed primary call that the rules allow
-    gets one call with the fallback address.
+    gets one call with the fallback address; the attempt's ``prompt_tokens`` and
+    ``completion_tokens`` are those of both calls.
 
     The calls cost money and may differ from run to run, so store the result
     before using it twice.
@@ -109,6 +122,8 @@ def extract_once(
             *kept,
             T.StructField("text", T.StringType()),
             T.StructField("tokens", T.LongType()),
+            T.StructField("prompt_tokens", T.LongType()),
+            T.StructField("completion_tokens", T.LongType()),
             T.StructField("raw_message", T.StringType()),
             T.StructField("on_fallback", T.BooleanType()),
         ]
@@ -128,14 +143,18 @@ def extract_once(
                     for i, r in enumerate(results)
                     if r.error is not None and isinstance(other[i], str) and earns_fallback(r.error)
                 ]
+                charged = [r.charged() for r in results]
                 second = [Request(other[i], loads[i], seq) for i in again]
                 for i, r in zip(again, _call_all(model, second, pool, call_size), strict=True):
                     results[i] = r
+                    charged[i] = tuple(map(sum, zip(charged[i], r.charged(), strict=True)))
                 done = batch[kept_names].copy()
                 failed = [r.error is not None for r in results]
                 done["text"] = [None if f else r.text or "" for f, r in zip(failed, results)]
-                done["tokens"] = [None if f else r.tokens or 0 for f, r in zip(failed, results)]
+                done["tokens"] = [None if f else r.counted() for f, r in zip(failed, results)]
                 done["tokens"] = done["tokens"].astype("Int64")
+                done["prompt_tokens"] = [prompt for prompt, _ in charged]
+                done["completion_tokens"] = [completion for _, completion in charged]
                 done["raw_message"] = [r.error for r in results]
                 used = set(again)
                 done["on_fallback"] = [i in used for i in range(len(results))]

@@ -29,7 +29,7 @@ REFS = (
 ATTEMPTS = (
     "batch_id string, chunk_id string, pi string, filename string, seq long, "
     "attempted_at timestamp, outcome string, text string, tokens long, message string, "
-    "fails long"
+    "fails long, prompt_tokens long, completion_tokens long"
 )
 REPORTS = {
     "chunks": (

@@ -34,18 +34,24 @@ def _page_error(request: Request) -> str | None:
 
 
 def title_model():
-    """Title of the page in the payload; errors follow from the address."""
+    """Title of the page in the payload; errors follow from the address.
+
+    A page that was read is charged by its characters, also if its format was refused.
+    """
 
     def call(requests: list[Request]) -> list[Result]:
         results = []
         for request in requests:
             error = _page_error(request)
+            read = len(request.payload or "")
             if error:
-                results.append(Result(error=error))
+                results.append(Result(error=error, prompt_tokens=read if error == FORMAT else 0))
                 continue
             found = _TITLE.search(request.payload or "")
             text = found.group(1) if found else ""
-            results.append(Result(text=text, tokens=len(text)))
+            results.append(
+                Result(text, len(text), prompt_tokens=read, completion_tokens=len(text))
+            )
         return results
 
     return call

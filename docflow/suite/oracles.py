@@ -235,6 +235,14 @@ SELECT r.batch_id, r.chunk_id, r.pi, r.status, r.new_tip, r.new_version, r.refs_
   CASE WHEN f.filename IS NOT NULL THEN COALESCE(f.error, 'Unknown error') END AS error
 FROM results_v r LEFT JOIN refs_v f ON f.pi = r.pi AND f.status = 'error'"""
 
+STREAKS = """
+steps_v AS (
+  SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS hit FROM events),
+groups_v AS (
+  SELECT *, SUM(1 - hit) OVER (PARTITION BY user_id ORDER BY event_id) AS grp FROM steps_v),
+streaks_v AS (
+  SELECT *, SUM(hit) OVER (PARTITION BY user_id, grp ORDER BY event_id) AS streak FROM groups_v)"""
+
 ORACLES: dict[str, str] = {
     "work_items": f"""
 WITH {PIS}
@@ -345,6 +353,20 @@ WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')
     "dedup_extract": """
 SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS VARCHAR) AS result,
   length(text) AS tokens FROM documents""",
+    "reused_results": """
+SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS VARCHAR) AS result,
+  length(text) AS tokens,
+  sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en') AS reused
+FROM documents""",
+    "streaks_by_user": f"""
+WITH {STREAKS}
+SELECT user_id, event_id, hit = 1 AS rate_limited, CAST(streak AS BIGINT) AS streak,
+  CASE WHEN streak > 0 THEN CAST(LEAST(1000 * pow(2.0, LEAST(streak - 1, 5)), 60000.0) AS BIGINT) END
+    AS delay_ms
+FROM streaks_v""",
+    "current_streaks": f"""
+WITH {STREAKS}
+SELECT user_id, CAST(arg_max(streak, event_id) AS BIGINT) AS streak FROM streaks_v GROUP BY user_id""",
     "attempt_fold": FOLD,
     "stream_attempt_fold": FOLD,
     "backoff_streaks": """
@@ -543,6 +565,27 @@ SELECT CAST(page_id AS VARCHAR) AS pi, 'page' || CAST(page_id AS VARCHAR) || '.r
   CASE WHEN kind = 'old' THEN 'old text' WHEN kind IN ('limited', 'once', 'fine') THEN title END
     AS ocr
 FROM k""",
+    "call_cost": """
+WITH k AS (
+  SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CASE
+      WHEN page_id % 50 = 49 OR page_id % 10 = 9 THEN 'none'
+      WHEN page_id % 4 IN (0, 1) AND page_id % 7 = 0 THEN 'format'
+      WHEN page_id % 4 IN (0, 1) AND page_id % 15 = 0 THEN 'limited'
+      WHEN page_id % 4 = 2 AND page_id % 9 = 0 THEN 'timeout'
+      WHEN page_id % 4 = 2 AND page_id % 9 = 1 THEN 'once' ELSE 'fine' END AS kind
+  FROM pages),
+c AS (
+  SELECT CAST(CAST(floor(page_id / 10.0) AS BIGINT) AS VARCHAR) AS chunk_id,
+    SUM(CASE kind WHEN 'limited' THEN 3 WHEN 'timeout' THEN 3 WHEN 'once' THEN 2 ELSE 1 END)
+      AS n_calls,
+    SUM(CASE WHEN kind = 'timeout' THEN 0 ELSE length(html) END) AS prompt_tokens,
+    SUM(CASE WHEN kind IN ('timeout', 'format') THEN 0 ELSE length(title) END) AS completion_tokens
+  FROM k WHERE kind <> 'none' GROUP BY 1)
+SELECT chunk_id, CAST(n_calls AS BIGINT) AS n_calls, CAST(prompt_tokens AS BIGINT) AS prompt_tokens,
+  CAST(completion_tokens AS BIGINT) AS completion_tokens,
+  CAST(CAST(prompt_tokens * 3 + completion_tokens * 14 AS DECIMAL(38, 0)) / 100000000 AS DOUBLE)
+    AS cost_usd
+FROM c""",
     "process_chunks": PROCESSED,
     "process_resume": PROCESSED,
     "process_failure": f"""
@@ -570,6 +613,48 @@ SELECT CAST(CAST(floor(c_custkey / 10.0) AS BIGINT) AS VARCHAR) AS chunk_id, 'pr
   COUNT(CASE WHEN s.status = 'error' THEN 1 END) AS failed,
   COUNT(CASE WHEN s.status = 'skipped' THEN 1 END) AS skipped
 FROM customer LEFT JOIN s ON s.pi = c_custkey GROUP BY 1""",
+    "process_status": f"""
+WITH {FOUND},
+s AS (
+  SELECT *, CASE WHEN partkey % 5 = 0 THEN 'skipped' WHEN partkey % 3 = 0 THEN 'error'
+    WHEN partkey % 7 = 0 THEN 'pending' ELSE 'done' END AS status FROM found_v),
+c AS (
+  SELECT CAST(floor(c_custkey / 10.0) AS BIGINT) AS chunk_id, COUNT(s.pi) AS total_refs,
+    COUNT(CASE WHEN s.status = 'done' THEN 1 END) AS completed,
+    COUNT(CASE WHEN s.status = 'error' THEN 1 END) AS failed,
+    COUNT(CASE WHEN s.status = 'skipped' THEN 1 END) AS skipped,
+    COUNT(CASE WHEN s.status = 'pending' THEN 1 END) AS pending
+  FROM customer LEFT JOIN s ON s.pi = c_custkey GROUP BY 1),
+k AS (
+  SELECT *, total_refs > 0 AND chunk_id % 7 = 3 AS lost,
+    CASE WHEN total_refs = 0 THEN 0 WHEN chunk_id % 7 = 3 THEN 5 WHEN chunk_id % 7 = 5 THEN 2 ELSE 0
+      END AS failures
+  FROM c),
+e AS (
+  SELECT chunk_id, '1 ' || CAST(pi AS VARCHAR) || '/' || filename || ': ' || CASE status
+      WHEN 'error' THEN 'Permanent OCR failure: Invalid image format'
+      ELSE 'OCR failed: 503 upstream timeout' END AS line,
+    ROW_NUMBER() OVER (PARTITION BY chunk_id ORDER BY CAST(pi AS VARCHAR) DESC, filename DESC) AS age
+  FROM s WHERE status IN ('error', 'pending')),
+l AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY age DESC) AS debug_log FROM e
+  WHERE age <= 50 GROUP BY chunk_id)
+SELECT 'b0' AS batch_id, CAST(k.chunk_id AS VARCHAR) AS chunk_id,
+  CASE WHEN lost THEN 'error' ELSE 'processing' END AS status,
+  CASE WHEN lost THEN 'ERROR' WHEN pending > 0 THEN 'PROCESSING' ELSE 'PUBLISHING' END AS phase,
+  CASE WHEN lost THEN 0 ELSE total_refs END AS total_refs,
+  CASE WHEN lost THEN 0 ELSE completed END AS completed,
+  CASE WHEN lost THEN 0 ELSE failed END AS failed,
+  CASE WHEN lost THEN 0 ELSE skipped END AS skipped,
+  CASE WHEN lost THEN 0 ELSE pending END AS pending,
+  CAST(failures AS BIGINT) AS failures, CASE WHEN lost THEN 'lost connection 5' END AS error,
+  CASE WHEN failures > 0 THEN 'lost connection ' || CAST(failures AS VARCHAR) END AS last_failure,
+  CAST(0 AS BIGINT) AS streak, CAST(NULL AS BIGINT) AS delay_ms,
+  CASE WHEN NOT lost THEN debug_log END AS debug_log
+FROM k LEFT JOIN l ON l.chunk_id = k.chunk_id
+UNION ALL
+SELECT 'none', CAST(s_suppkey AS VARCHAR), 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  NULL, NULL, NULL, NULL
+FROM supplier""",
     "process_versions": f"""
 WITH {PUBLISHED}
 SELECT entity, ver, sha256(entity || '|' || CAST(ver AS VARCHAR) || '|b0|' || chunk_id) AS tip,

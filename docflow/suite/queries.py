@@ -25,9 +25,11 @@ from docflow.operators.cost import cost_rollup as roll_up_cost
 from docflow.operators.prompts import item_text, prompt_lines
 from docflow.operators.requests import admit, reject_reason, work_items as explode_items
 from docflow.operators.requests import assign_chunks as cut_chunks
-from docflow.plans.enrich import Policy, enrich
+from docflow.plans.enrich import Policy, enrich, run_rounds
+from docflow.plans.enrich import call_cost as cost_of_log
 from docflow.plans.extract import extract_once
 from docflow.plans.process import Store, process_chunks as run_process
+from docflow.plans.status import run_status
 from docflow.schema import key_violations as find_violations
 from docflow.session import configure, durable, run_dir
 from docflow.sources.keyed import KeyedTable
@@ -320,18 +322,35 @@ def content_put(spark, sf_dir):
     return fresh.select("cid", utf16_length(F.col("content")).alias("size"))
 
 
+def _letters(distinct: DataFrame) -> DataFrame:
+    sent = distinct.withColumn("primary", F.col("cid")).withColumn(
+        "fallback", F.lit(None).cast("string")
+    )
+    return extract_once(sent, letter_model, ["cid"], payload="text")
+
+
 @query
 def dedup_extract(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = contents.dedup_extract(docs, "text", _letters)
+    return done.select("doc_id", F.col("text").alias("result"), "tokens")
+
+
+@query
+def reused_results(spark, sf_dir):
+    """A first call for the English documents, a second one for all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
     def extract(distinct: DataFrame) -> DataFrame:
-        sent = distinct.withColumn("primary", F.col("cid")).withColumn(
-            "fallback", F.lit(None).cast("string")
-        )
-        return extract_once(sent, letter_model, ["cid"], payload="text")
+        done = _letters(distinct).where(F.col("outcome") == "done")
+        return done.select("cid", F.col("text").alias("result"), "tokens")
 
-    done = contents.dedup_extract(docs, "text", extract)
-    return done.select("doc_id", F.col("text").alias("result"), "tokens")
+    results = KeyedTable(
+        run_dir(spark, "reused-results"), ["cid"], "cid string, result string, tokens long"
+    )
+    contents.extract_new(docs.where("lang = 'en'"), "text", extract, results)
+    done = contents.extract_new(docs, "text", extract, results)
+    return done.select("doc_id", "result", "tokens", "reused")
 
 
 # --- folds -------------------------------------------------------------------
@@ -367,6 +386,23 @@ def backoff_streaks(spark, sf_dir):
     )
 
 
+@query
+def streaks_by_user(spark, sf_dir):
+    """Each event is a step of its user; clicks stand for rate limits."""
+    steps = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", (F.col("event_type") == "click").alias("rate_limited")
+    )
+    return fold.backoff_streaks(steps, ["user_id"], "event_id")
+
+
+@query
+def current_streaks(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", (F.col("event_type") == "click").alias("rate_limited")
+    )
+    return fold.current_streak(steps, ["user_id"], "event_id")
+
+
 @query
 def chunk_fail_fold(spark, sf_dir):
     failures = fixtures.attempts(spark, sf_dir).where(F.col("message").isNotNull())
@@ -649,6 +685,16 @@ def enrich_pages(spark, sf_dir):
     )
 
 
+@query
+def call_cost(spark, sf_dir):
+    """What a run over the pages cost, from its own attempt log."""
+    path = run_dir(spark, "call-cost")
+    refs = durable(page_refs(spark, sf_dir))
+    run_rounds(refs, title_model, path, Policy(cdn_host=CDN, pause=None), payload="html")
+    cost = cost_of_log(spark, path, ["chunk_id"])
+    return cost.withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
 def _process_requests(spark, sf_dir):
     return (
         _customers(spark, sf_dir)
@@ -715,22 +761,36 @@ def process_components(spark, sf_dir):
     return files.join(texts, "cid", "left").select("entity", "ver", "filename", ocr.alias("ocr"))
 
 
+def _fetch_gate(files, attempt):
+    kind = F.col("chunk_id").cast("long") % 7
+    bad = (kind == 3) | ((kind == 5) & F.lit(attempt < 3))
+    message = F.concat(F.lit("lost connection "), F.lit(str(attempt)))
+    return files.where(bad).select("batch_id", "chunk_id", message.alias("message"))
+
+
 @query
 def process_failure(spark, sf_dir):
     """Some chunks cannot be fetched: one kind recovers at the third try, one never."""
-
-    def fetch_gate(files, attempt):
-        kind = F.col("chunk_id").cast("long") % 7
-        bad = (kind == 3) | ((kind == 5) & F.lit(attempt < 3))
-        message = F.concat(F.lit("lost connection "), F.lit(str(attempt)))
-        return files.where(bad).select("batch_id", "chunk_id", message.alias("message"))
-
     path = run_dir(spark, "process-failure")
-    gates = {"FETCHING": fetch_gate}
+    gates = {"FETCHING": _fetch_gate}
     report = _process(spark, sf_dir, path, Policy(cdn_host=CDN, pause=None), gates)
     return report.select(*_REPORT, "error")
 
 
+@query
+def process_status(spark, sf_dir):
+    """The same chunks read after one round, and some that were never asked for."""
+    path = run_dir(spark, "process-status")
+    policy = Policy(cdn_host=CDN, max_rounds=1, pause=None)
+    _process(spark, sf_dir, path, policy, {"FETCHING": _fetch_gate})
+    unknown = table(spark, sf_dir, "supplier").select(
+        F.lit("none").alias("batch_id"), _str("s_suppkey").alias("chunk_id")
+    )
+    wanted = _process_requests(spark, sf_dir).select("batch_id", "chunk_id").unionByName(unknown)
+    status = run_status(spark, f"{path}/run", wanted)
+    return status.withColumn("debug_log", F.array_join("debug_log", "\n"))
+
+
 @query
 def process_rerun(spark, sf_dir):
     """All chunks, then again those that were no full success; the newest report of each."""
