@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow import configure
-from docflow.session import run_dir
+from docflow.session import remove_folder, run_dir
 
 #: Whole texts reach Python in batches of at most this many bytes.
 BATCH_BYTES = 32 * 1024 * 1024
@@ -49,6 +49,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a ``saved`` table that no later step reads."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        remove_folder(table.sparkSession, folder)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
