@@ -169,6 +169,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ref documents by content id: some absent, some broken, some without url."""
     key = F.col("p_partkey")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocr = F.when(key % 5 == 0, F.concat(F.lit("text of part "), key.cast("string"))).when(
         key % 17 == 0, ""
     )
@@ -179,6 +180,8 @@ def part_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "part")
         .where(key % 19 != 0)
+        .select("p_partkey")
+        .repartition(tasks, "p_partkey")  # one small file of keys, but many documents
         .select(
             F.concat(F.lit("cid"), key.cast("string")).alias("cid"),
             F.when(key % 13 == 0, '{"part": ').otherwise(document).alias("content"),

@@ -37,6 +37,13 @@ def is_truthy(doc: Column, name: str) -> Column:
     return F.coalesce(~raw.isin(FALSY_JSON), F.lit(False))
 
 
+def has_value(text: Column, name: str) -> Column:
+    """``is_truthy`` of a text. A text that holds neither the name nor an escape, which could
+    spell it, has no such key and is not parsed."""
+    may_have = F.contains(text, F.lit(name)) | F.contains(text, F.lit("\\"))
+    return F.when(may_have, is_truthy(parse_doc(text), name)).otherwise(F.lit(False))
+
+
 def is_null_doc(doc: Column) -> Column:
     return F.coalesce(F.to_json(doc) == "null", F.lit(False))
 
@@ -137,6 +144,30 @@ def _ocr_place(tokens: Column) -> Column:
     return F.aggregate(tokens, start, step)
 
 
+# One object without objects inside, and no brace in any string.
+_FLAT = r"^\s*+\{[^{}]*+\}\s*+$"
+_BLANK = " \t\n\r"
+
+
+def _is_plain(text: Column) -> Column:
+    """A flat object that has no ``ocr``: neither the name nor an escape occurs in it."""
+    named = F.contains(text, F.lit("ocr")) | F.contains(text, F.lit("\\"))
+    return ~named & F.regexp_like(text, F.lit(_FLAT))
+
+
+def _appended(text: Column, value: Column) -> Column:
+    """A plain object with ``ocr`` behind its last member."""
+    closed = F.rtrim(text, F.lit(_BLANK))
+    body = F.rtrim(F.substring(closed, F.lit(1), F.length(closed) - 1), F.lit(_BLANK))
+    inner = F.substring(F.ltrim(text, F.lit(_BLANK)), F.lit(2), F.length(text))
+    gap = F.substring(inner, F.lit(1), F.length(inner) - F.length(F.ltrim(inner, F.lit(_BLANK))))
+    colon = F.when(gap == "", F.lit('"ocr":')).otherwise(F.lit('"ocr": '))
+    rest = F.substring(text, F.length(body) + 1, F.length(text))
+    return F.when(F.endswith(body, F.lit("{")), F.concat(F.lit('{"ocr":'), value, F.lit("}"))).otherwise(
+        F.concat(body, F.lit(","), gap, colon, value, rest)
+    )
+
+
 def merge_ocr(text: Column, ocr: Column) -> Column:
     """The document's own text with ``ocr`` set; all other characters stay as they are.
 
@@ -170,4 +201,5 @@ def merge_ocr(text: Column, ocr: Column) -> Column:
 
     # one-element transform: the text is scanned once and not once per use of a place
     merged = F.get(F.transform(F.array(place), spliced), F.lit(0))
+    merged = F.when(_is_plain(text), _appended(text, value)).otherwise(merged)
     return F.when(F.json_object_keys(text).isNotNull(), merged)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import count
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docflow.functions.jsondoc import field_text, is_truthy, merge_ocr, parse_doc
+from docflow.functions.jsondoc import field_text, has_value, merge_ocr, parse_doc
 from docflow.functions.scalars import (
     BASE_DELAY_MS,
     JITTER_SHARE,
@@ -30,6 +32,10 @@ from docflow.schema import ATTEMPTS, CHUNK_KEYS, REF_KEYS
 from docflow.session import is_done, once, set_done, spread
 
 
+#: Slices in flight when the policy leaves the concurrency to the session.
+SLICES_AT_ONCE = 4
+
+
 @dataclass(frozen=True)
 class Policy:
     """Limits of the loop.
@@ -92,7 +98,7 @@ def read_log(
 def _settled(refs: DataFrame) -> DataFrame:
     """Round 0: refs that need no model call."""
     missing = F.coalesce(F.col("ref_data_json"), F.lit("")) == ""
-    return refs.where(missing | is_truthy(parse_doc(F.col("ref_data_json")), "ocr")).select(
+    return refs.where(missing | has_value(F.col("ref_data_json"), "ocr")).select(
         *REF_KEYS,
         F.lit(0).cast("long").alias("seq"),
         F.current_timestamp().alias("attempted_at"),
@@ -117,7 +123,7 @@ def _first_todo(refs: DataFrame, policy: Policy, extra: list[str]) -> DataFrame:
     doc = F.col("ref_data_json")
     missing = F.coalesce(doc, F.lit("")) == ""
     urls = url_variants(F.col("cdn_url"), policy.cdn_host)
-    open_refs = refs.where(~missing & ~is_truthy(parse_doc(doc), "ocr"))
+    open_refs = refs.where(~missing & ~has_value(doc, "ocr"))
     return open_refs.select(
         *REF_KEYS, F.lit(0).cast("long").alias("fails"), urls.alias("_urls"), *extra
     ).select(*REF_KEYS, "fails", "_urls.primary", "_urls.fallback", *extra)
@@ -126,26 +132,26 @@ def _first_todo(refs: DataFrame, policy: Policy, extra: list[str]) -> DataFrame:
 def _slices(todo: DataFrame, size: int, policy: Policy, path: str) -> list[DataFrame]:
     """A round's work in slices by a hash of the ref, about ``slice_refs`` each.
 
-    ``size`` is at least the number of rows. Several slices are cut once and stored, so that
-    none of them reads all the work again; the stored cut also stays the same when the
-    round is taken up again.
+    ``size`` is the number of rows, or less than a slice. Several slices are cut once and
+    stored, a folder each with few files, so that none of them reads or lists all the work
+    again; the stored cut also stays the same when the round is taken up again.
     """
     spark = todo.sparkSession
     if size <= policy.slice_refs:
         return [todo]
 
     def cut() -> DataFrame:
-        n = max(1, -(-todo.count() // policy.slice_refs))
+        n = -(-size // policy.slice_refs)
         return todo.withColumn("slice", F.pmod(F.xxhash64(*REF_KEYS), F.lit(n)))
 
     def write() -> None:
-        cut().write.mode("overwrite").partitionBy("slice").parquet(f"{path}/rows")
+        cut().repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(f"{path}/rows")
 
     once(spark, f"{path}/done", write)
     schema = StructType([*todo.schema.fields, StructField("slice", LongType())])
     stored_cut = spark.read.schema(schema).parquet(f"{path}/rows")
     numbers = sorted(r.slice for r in stored_cut.select("slice").distinct().collect())
-    return [stored_cut.where(F.col("slice") == k).drop("slice") for k in numbers]
+    return [spark.read.schema(todo.schema).parquet(f"{path}/rows/slice={k}") for k in numbers]
 
 
 def run_rounds(
@@ -164,10 +170,20 @@ def run_rounds(
 
     A round is kept slice by slice. A call that was cut off goes on behind the last
     finished slice: finished rounds are not looked at again, and neither calls nor waits
-    of theirs are repeated. With ``max_rounds`` this call may stop early.
+    of theirs are repeated. Without a stated concurrency a few slices run at once, so that the
+    start and the last tasks of one leave no core idle; the session's cores bound their calls. With ``max_rounds`` this call may stop early.
     """
     spark = refs.sparkSession
     extra = [payload] if payload else []
+
+    def run_slice(number: int, k: int, part: DataFrame, alone: bool) -> None:
+        flag = f"{_flag(log_path, number)}-slices/{k}"
+        if not alone and is_done(spark, flag):
+            return
+        _write_slice(_attempted(part, load_model, number, policy, payload), log_path, number, k)
+        if not alone:
+            set_done(spark, flag)
+
     if not is_done(spark, _flag(log_path, 0)):
         _write_slice(_settled(refs), log_path, 0)
         set_done(spark, _flag(log_path, 0))
@@ -177,6 +193,8 @@ def run_rounds(
     for number in count(number):
         if number == 1:
             todo, size = _first_todo(refs, policy, extra), n_refs
+            if n_refs > policy.slice_refs:  # the rest of round 0
+                size = n_refs - read_log(spark, log_path, 0).count()
         else:
             last = read_log(spark, log_path, number - 1, f", {_ADDRESSES}")
             todo = _still_pending(last, policy.max_retries)
@@ -189,13 +207,20 @@ def run_rounds(
             return Rounds(number - 1, False)
         called += 1
         parts = _slices(todo, size, policy, f"{log_path}/todo/round={number}")
-        for k, part in enumerate(parts):
-            flag = f"{_flag(log_path, number)}-slices/{k}"
-            if len(parts) > 1 and is_done(spark, flag):
-                continue
-            _write_slice(_attempted(part, load_model, number, policy, payload), log_path, number, k)
-            if len(parts) > 1:
-                set_done(spark, flag)
+        if policy.concurrency or len(parts) == 1:
+            # a stated concurrency holds over all tasks, so its slices follow each other
+            for k, part in enumerate(parts):
+                run_slice(number, k, part, len(parts) == 1)
+        else:
+            target = inheritable_thread_target(spark)(run_slice)
+            with ThreadPoolExecutor(SLICES_AT_ONCE) as pool:
+                running = [pool.submit(target, number, k, p, False) for k, p in enumerate(parts)]
+                try:
+                    for slice_ in running:
+                        slice_.result()
+                finally:
+                    for slice_ in running:
+                        slice_.cancel()
         set_done(spark, _flag(log_path, number))
         if policy.pause:
             limited = read_log(spark, log_path, number).where(F.col("outcome") == "rate_limit")
@@ -302,9 +327,10 @@ def enriched_refs(refs: DataFrame, log_path: str, max_retries: int = MAX_RETRIES
     length = F.when(done, utf16_length(F.col("text"))).when(
         skipped, utf16_length(field_text(parse_doc(old), "ocr"))
     )
+    # exploded from one element, or the id's hash would make the document once more
+    joined = joined.select("*", F.inline(F.array(F.struct(document.alias("content")))))
     return (
         joined.withColumn("status", F.coalesce("status", F.lit("pending")))
-        .withColumn("content", document)
         .withColumn("result_cid", content_id(F.col("content")))
         .withColumn("ocr_text_length", length)
         .drop("ref_data_json", "text")

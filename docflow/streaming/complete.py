@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from docflow.operators.versions import chain_updates, entity_tip, only_entities
 from docflow.schema import CHUNK_KEYS
@@ -69,6 +70,18 @@ def write_complete_chunks(
     )
 
 
+def _of_updates(components: DataFrame, plan: DataFrame) -> DataFrame:
+    """Components between the first and the last committed update of a plan.
+
+    Updates of a micro-batch mostly lie together, so most other components leave before
+    the join and are not shuffled by every micro-batch.
+    """
+    if not isinstance(plan.schema["update_id"].dataType, (IntegralType, StringType)):
+        return components
+    low, high = plan.where("committed").agg(F.min("update_id"), F.max("update_id")).first()
+    return components.where(F.col("update_id").between(low, high))
+
+
 def publish_batches(
     updates: DataFrame,
     versions: Callable[[SparkSession], DataFrame],
@@ -103,7 +116,7 @@ def publish_batches(
         plan_path = f"{path}/plans/write={batch_id}"
         chain_updates(batch, tips).write.mode("overwrite").parquet(plan_path)
         plan = spark.read.parquet(plan_path)
-        append_versions(plan, components, path, str(batch_id))
+        append_versions(plan, _of_updates(components, plan), path, str(batch_id))
         won = plan.where("committed").select(
             "entity", F.col("new_tip").alias("tip"), F.col("new_version").alias("ver")
         )

@@ -31,7 +31,7 @@ from docflow.plans.extract import extract_once
 from docflow.plans.process import Store, process_chunks as run_process
 from docflow.plans.status import run_status
 from docflow.schema import key_violations as find_violations
-from docflow.session import configure, durable, run_dir
+from docflow.session import configure, durable, run_dir, stored
 from docflow.sources.keyed import KeyedTable
 from docflow.sources.sinks import write_contents, write_reports
 from docflow.sources.tables import (
@@ -704,11 +704,21 @@ def _process_requests(spark, sf_dir):
 
 
 def _process_store(spark, sf_dir, path):
-    tips = _tips(spark, sf_dir).withColumn("entity", _str("entity"))
-    manifest = _manifest(spark, sf_dir).join(tips.select(F.col("entity").cast("long"), "ver"), "entity")
+    """The tables before the run, built once for all calls with the same path."""
+
+    def build_tips():
+        return _tips(spark, sf_dir).withColumn("entity", _str("entity"))
+
+    tips = stored(spark, f"{path}/before/versions", build_tips)
+
+    def build_manifest():
+        manifest = _manifest(spark, sf_dir)
+        manifest = manifest.join(tips.select(F.col("entity").cast("long"), "ver"), "entity")
+        return manifest.withColumn("entity", _str("entity"))
+
     return Store(
-        versions=durable(tips),
-        components=durable(manifest.withColumn("entity", _str("entity"))),
+        versions=tips,
+        components=stored(spark, f"{path}/before/components", build_manifest),
         contents=fixtures.part_contents(spark, sf_dir),
         path=f"{path}/store",
     )
@@ -862,11 +872,16 @@ def stream_publish(spark, sf_dir):
         F.lit("streamed").alias("note"),
         F.lit(1).cast("long").alias("n_components"),
     )
-    files = fixtures.components(spark, sf_dir).where(is_ref(F.col("filename")))
+    def build_files():
+        files = fixtures.components(spark, sf_dir).where(is_ref(F.col("filename")))
+        return files.select("entity", F.col("version_id").alias("update_id"), "filename", "cid")
+
+    # built once and not once per micro-batch
+    stored(spark, f"{path}/before/versions", lambda: _tips(spark, sf_dir))
     publish_batches(
         updates,
-        lambda session: _tips(session, sf_dir),
-        files.select("entity", F.col("version_id").alias("update_id"), "filename", "cid"),
+        lambda session: session.read.parquet(f"{path}/before/versions/rows"),
+        stored(spark, f"{path}/before/components", build_files),
         path,
         f"{path}/checkpoint",
     ).awaitTermination()

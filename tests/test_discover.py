@@ -140,3 +140,17 @@ def test_all_folders_wanted_means_no_filter(spark, tmp_path):
     part = only_wanted(read_contents(spark, f"{tmp_path}/*"), rows_)
     assert part.count() == 3000 and part.columns == ["cid", "content"]
     assert "bucket" not in part._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_a_content_is_parsed_once(spark):
+    refs = spark.createDataFrame([("c1",), ("c1",), ("c2",), ("c3",)], "cid string")
+    contents = spark.createDataFrame(
+        [("c1", '{"url":"u"}'), ("c2", "{"), ("c2", '{"url":0}'), ("c3", None)], "cid string, content string"
+    )
+    found = lookup_contents(refs, contents)
+    assert rows(found.select("cid", F.coalesce("drop_reason", "cdn_url"))) == [
+        ("c1", "u"), ("c1", "u"), ("c2", "bad_json"), ("c2", "no_url"), ("c3", "not_found")
+    ]
+    kept = found.where("drop_reason IS NULL")
+    assert kept.count() == 2
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1

@@ -270,3 +270,25 @@ def test_pending_refs_stay_pending_at_the_limit(spark, refs, tmp_path):
     }
     some = few.where("filename != 'forever'")
     assert run_rounds(some, scripted, str(tmp_path), policy, payload="script").number >= 3
+
+
+def test_slices_are_cut_into_few_files_and_all_run(spark, tmp_path):
+    refs, log = many(spark, tmp_path), str(tmp_path / "log")
+    policy = Policy(cdn_host=HOST, pause=None, slice_refs=8)
+    refs.repartition(4).write.parquet(str(tmp_path / "dealt"))
+    refs = spark.read.parquet(str(tmp_path / "dealt"))
+    assert run_rounds(refs, noting(str(tmp_path / "calls")), log, policy, payload="script").finished
+    cut = sorted((tmp_path / "log/todo/round=1/rows").glob("slice=*"))
+    assert len(cut) > 1 and all(len(list(c.glob("*.parquet"))) == 1 for c in cut)
+    status = {r.filename: (r.status, r.retry_count) for r in loop.ref_status(spark, log).collect()}
+    assert status == {f"f{i}": ("done", 0 if i % 4 else 2) for i in range(40)}
+    kept = read_log(spark, log, 1).select("filename")
+    assert kept.count() == kept.distinct().count() == 40
+
+
+def test_a_document_is_merged_once(spark, tmp_path):
+    refs, log = many(spark, tmp_path), str(tmp_path / "log")
+    run_rounds(refs, noting(str(tmp_path / "calls")), log, Policy(cdn_host=HOST, pause=None), payload="script")
+    merged = enriched_refs(refs, log)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert all(len(r.result_cid) == 64 and json.loads(r.content)["ocr"] == "t" for r in merged.collect())

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.functions.jsondoc import field_text, is_null_doc, is_truthy, merge_ocr, parse_doc, render_doc
+from docflow.functions.jsondoc import field_text, has_value, is_null_doc, is_truthy, merge_ocr, parse_doc, render_doc
 from docflow.functions.scalars import (
     backoff_ms,
     backoff_remaining,
@@ -188,3 +188,29 @@ def test_merge_into_a_long_document(spark):
     df = spark.createDataFrame([(old,)], "j string")
     got = df.select(merge_ocr(F.col("j"), F.lit("t"))).first()[0]
     assert json.loads(got) == {**json.loads(old), "ocr": "t"}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"ocr":"t"}', '{"ocr":""}', '{"a":"ocr"}', '{"\\u006fcr":"t"}', '{"a":1}', '{"a":"\\n"}', "{", "", None, '["ocr"]', '{"x":{"ocr":1}}'],
+)
+def test_a_value_is_found_without_a_needless_parse(spark, text):
+    df = spark.createDataFrame([(text,)], "j string")
+    short, parsed = df.select(has_value(F.col("j"), "ocr"), is_truthy(parse_doc(F.col("j")), "ocr")).first()
+    assert short is parsed
+
+
+@pytest.mark.parametrize(
+    ("text", "merged"),
+    [
+        (' {"a": [1, 2] } ', ' {"a": [1, 2],"ocr":"t" } '),
+        ('\n{\n\t"a": "x y "\n}\n', '\n{\n\t"a": "x y ",\n\t"ocr": "t"\n}\n'),
+        (" {\n} ", '{"ocr":"t"}'),
+        ('{"a":"é😀"}', '{"a":"é😀","ocr":"t"}'),
+        ('{"a":"}"}', '{"a":"}","ocr":"t"}'),
+        ('{"a":{}}', '{"a":{},"ocr":"t"}'),
+    ],
+)
+def test_flat_documents_are_merged_like_all_others(spark, text, merged):
+    df = spark.createDataFrame([(text,)], "j string")
+    assert df.select(merge_ocr(F.col("j"), F.lit("t"))).first()[0] == merged

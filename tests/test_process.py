@@ -228,3 +228,20 @@ def test_runs_are_kept_apart(spark, tmp_path):
     again = [rows(t) for t in read_latest_reports(spark, path)]
     assert again == want
     assert spark.read.parquet(f"{path}/entities").count() == 2
+
+
+def test_the_tables_before_a_run_are_built_once_for_all_its_calls(spark, tmp_path, monkeypatch):
+    from docflow.suite import queries
+
+    spark.createDataFrame([(1,), (2,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    tips = spark.createDataFrame([(1, "t1", 4)], "entity long, tip string, ver long")
+    files = spark.createDataFrame([(1, "a", "c1"), (2, "a", "c2")], "entity long, filename string, cid string")
+    built = []
+    monkeypatch.setattr(queries, "_tips", lambda *a: built.append("tips") or tips)
+    monkeypatch.setattr(queries, "_manifest", lambda *a: built.append("files") or files)
+    for _ in range(2):
+        store = queries._process_store(spark, str(tmp_path), str(tmp_path / "run"))
+        assert [tuple(r) for r in store.versions.collect()] == [("1", "t1", 4)]
+        assert [tuple(r) for r in store.components.collect()] == [("1", "a", "c1", 4)]
+        assert store.contents.count() == 2
+    assert built == ["tips", "files"]

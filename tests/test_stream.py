@@ -161,3 +161,13 @@ def test_keyed_table_touches_only_what_it_must(spark, tmp_path):
         append_log(table, spark.createDataFrame([(f"c{c}", t, t) for c in range(30)], schema), ["ts", "id"], k=3)
     assert sorted(p.name for p in (tmp_path / "log" / "rows").iterdir() if p.is_dir()) == ["3", "4"]
     assert table.read(spark, 3).count() == table.read(spark, 4).count() == 90
+
+
+def test_a_batch_joins_the_components_between_its_updates_only(spark):
+    from docflow.streaming.complete import _of_updates
+
+    plan = spark.createDataFrame([(3, True), (5, True), (9, False)], "update_id long, committed boolean")
+    files = spark.range(20).select(F.col("id").alias("update_id"), F.lit("f").alias("filename"))
+    files = files.unionByName(spark.createDataFrame([(None, "f")], "update_id long, filename string"))
+    assert sorted(r.update_id for r in _of_updates(files, plan).collect()) == [3, 4, 5]
+    assert _of_updates(files, plan.where("NOT committed")).count() == 0
