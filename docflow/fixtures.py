@@ -152,9 +152,15 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(
         line % 4 == 0, F.concat(F.lit("meta"), line.cast("string"), F.lit(".json"))
     ).otherwise(F.concat(F.lit("img"), line.cast("string"), F.lit(".ref.json")))
-    files = (
+    # dealt by order once, as numbers: the aggregate and the join both keep to it
+    lines = (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
+        .where(F.col("l_orderkey").isNotNull())
+        .select("l_orderkey", "l_linenumber", "l_partkey")
+        .repartition("l_orderkey")
+    )
+    files = (
+        lines.groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_partkey").alias("partkey"))
         .select(
             "l_orderkey",

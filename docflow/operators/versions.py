@@ -155,29 +155,31 @@ def chain_updates(
     base = ranked.join(spread(heads), "entity")
     committed = F.col("cur_tip").isNotNull()
     version = F.col("cur_ver") + F.col("_rank") - F.col("_first") + 1
-    tip = next_tip(F.col("entity"), F.col("new_version"), *[F.col(c) for c in update_keys])
-    base = base.withColumn("new_version", F.when(committed, version)).withColumn(
-        "new_tip", F.when(committed, tip)
-    )
-    # the row before it in the global order is the entity's version before
+    # the row before it in the global order is the entity's version before; its keys
+    # are joined, and its tip is made again from them, as tips are long and do not compress
+    before = {c: f"_before_{i}" for i, c in enumerate(update_keys)}
     last = base.select(
-        (F.col("_rank") + 1).alias("_rank"),
-        F.col("entity").alias("_entity"),
-        F.col("new_tip").alias("_last"),
+        (F.col("_rank") + 1).alias("_rank"), *[F.col(c).alias(b) for c, b in before.items()]
     )
+    last_tip = next_tip(
+        F.col("entity"), F.col("new_version") - 1, *[F.col(b) for b in before.values()]
+    )
+    tip = next_tip(F.col("entity"), F.col("new_version"), *[F.col(c) for c in update_keys])
     name = F.col("entity").cast("string")
     return (
         base.join(last, "_rank", "left")
+        .withColumn("new_version", F.when(committed, version))
+        .withColumn("new_tip", F.when(committed, tip))
         .withColumn("committed", committed)
         .withColumn(
             "prev_tip",
-            F.when(F.col("_rank") == F.col("_first"), F.col("cur_tip")).otherwise(F.col("_last")),
+            F.when(F.col("_rank") == F.col("_first"), F.col("cur_tip")).when(committed, last_tip),
         )
         .withColumn(
             "entity_error",
             F.when(~committed, F.concat(F.lit("Entity not found: "), name)),
         )
-        .drop("cur_tip", "cur_ver", "_rank", "_first", "_entity", "_last")
+        .drop("cur_tip", "cur_ver", "_rank", "_first", *before.values())
     )
 
 
