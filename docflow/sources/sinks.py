@@ -44,7 +44,9 @@ def append_versions(
     rows = components.join(won, keys)
     rows = rows.select("entity", "ver", "filename", "cid")
     rows.write.mode("overwrite").parquet(f"{path}/components/write={write_id}")
-    version_rows(plan).write.mode("overwrite").parquet(f"{path}/versions/write={write_id}")
+    # tips are hex digits: only an entropy coder makes them smaller
+    versions = version_rows(plan).write.mode("overwrite").option("compression", "zstd")
+    versions.parquet(f"{path}/versions/write={write_id}")
 
 
 def write_reports(

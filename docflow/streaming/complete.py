@@ -114,7 +114,8 @@ def publish_batches(
             first = entity_tip(only_entities(base, fresh.withColumnRenamed("entity", "pi")))
             tips = known.unionByName(first)
         plan_path = f"{path}/plans/write={batch_id}"
-        chain_updates(batch, tips).write.mode("overwrite").parquet(plan_path)
+        planned = chain_updates(batch, tips).write.mode("overwrite")
+        planned.option("compression", "zstd").parquet(plan_path)
         plan = spark.read.parquet(plan_path)
         append_versions(plan, _of_updates(components, plan), path, str(batch_id))
         won = plan.where("committed").select(

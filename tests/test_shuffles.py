@@ -2,6 +2,7 @@
 
 from docflow import fixtures
 from docflow.operators.versions import chain_updates
+from docflow.sources.sinks import append_versions
 
 
 def plan_of(df):
@@ -49,3 +50,12 @@ def test_chain_joins_keys_and_not_tips(spark):
         own = sorted((r.update_id, r.prev_tip, r.new_tip) for r in plan.collect() if r.entity == entity)
         assert [r[1] for r in own] == [tip, *[r[2] for r in own[:-1]]]
     assert {(r.prev_tip, r.new_tip) for r in plan.collect() if r.entity == 3} == {(None, None)}
+
+
+def test_version_files_are_entropy_coded(spark, tmp_path):
+    updates = spark.createDataFrame([(1, 4, "n", 1)], "entity long, update_id long, note string, n_components long")
+    tips = spark.createDataFrame([(1, "t1", 7)], "entity long, tip string, ver long")
+    files = spark.createDataFrame([(1, 4, "a", "c")], "entity long, update_id long, filename string, cid string")
+    append_versions(chain_updates(updates, tips), files, str(tmp_path), "0")
+    assert list(tmp_path.glob("versions/write=0/*.zstd.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/versions/write=0").first().prev_tip == "t1"
