@@ -7,7 +7,7 @@ ordered by (date, key) instead of being numbered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.classify import classify_error
@@ -16,6 +16,8 @@ CDN = "cdn.example.org"
 CHUNK_SIZE = 10
 CHUNKS_PER_BATCH = 100
 AS_OF = "2001-01-01 00:00:00"
+#: Microseconds before any date.
+_NO_DATE = -(10**18) + 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,21 +139,55 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of entities: one per order of a customer, ordered by ``at``."""
+def tip_name(order: Column) -> Column:
+    return F.concat(F.lit("tip"), order.cast("string"))
+
+
+def part_cid(part: Column) -> Column:
+    return F.concat(F.lit("cid"), part.cast("string"))
+
+
+def file_name(line: Column) -> Column:
+    return F.when(
+        line % 4 == 0, F.concat(F.lit("meta"), line.cast("string"), F.lit(".json"))
+    ).otherwise(F.concat(F.lit("img"), line.cast("string"), F.lit(".ref.json")))
+
+
+def version_order(date: Column, order: Column) -> Column:
+    """(date, key) as one number, dates first and a missing one lowest.
+
+    A number of fixed width lets a maximum by it be hash-aggregated, where a struct is sorted.
+    """
+    wide = "decimal(38,0)"
+    at = F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(_NO_DATE)).cast("decimal(18,0)")
+    return (at * F.lit("20000000000000000000").cast("decimal(20,0)") + order.cast("decimal(19,0)")).cast(wide)
+
+
+def versions(spark: SparkSession, sf_dir: str, tip: str | None = None) -> DataFrame:
+    """Versions of entities: one per order of a customer, ordered by ``at``.
+
+    ``tip``: a column that stands for the tip and makes ``at`` one number.
+    """
+    date, order = F.col("o_orderdate"), F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("entity"),
-        F.concat(F.lit("tip"), F.col("o_orderkey").cast("string")).alias("tip"),
-        F.struct("o_orderdate", "o_orderkey").alias("at"),
+        (F.col(tip) if tip else tip_name(order)).alias("tip"),
+        (version_order(date, order) if tip else F.struct(date, order)).alias("at"),
     )
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files per version in long form."""
-    line = F.col("l_linenumber")
-    name = F.when(
-        line % 4 == 0, F.concat(F.lit("meta"), line.cast("string"), F.lit(".json"))
-    ).otherwise(F.concat(F.lit("img"), line.cast("string"), F.lit(".ref.json")))
+def numbered_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``components`` with the line as ``filename``, the part as ``cid`` and one number as ``at``."""
+    heads = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity"),
+        version_order(F.col("o_orderdate"), F.col("o_orderkey")).alias("at"),
+        F.col("o_orderkey").alias("l_orderkey"),
+    )
+    return _files(spark, sf_dir).join(heads, "l_orderkey").withColumnRenamed("l_orderkey", "version_id")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each order, by numbers."""
     # dealt by order once, as numbers: the aggregate and the join both keep to it
     lines = (
         table(spark, sf_dir, "lineitem")
@@ -159,14 +195,17 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("l_orderkey", "l_linenumber", "l_partkey")
         .repartition("l_orderkey")
     )
-    files = (
-        lines.groupBy("l_orderkey", "l_linenumber")
-        .agg(F.max("l_partkey").alias("partkey"))
-        .select(
-            "l_orderkey",
-            name.alias("filename"),
-            F.concat(F.lit("cid"), F.col("partkey").cast("string")).alias("cid"),
-        )
+    return lines.groupBy("l_orderkey", F.col("l_linenumber").alias("filename")).agg(
+        F.max("l_partkey").alias("cid")
+    )
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per version in long form."""
+    files = _files(spark, sf_dir).select(
+        "l_orderkey",
+        file_name(F.col("filename")).alias("filename"),
+        part_cid(F.col("cid")).alias("cid"),
     )
     heads = versions(spark, sf_dir).select("entity", "at", F.col("at.o_orderkey").alias("l_orderkey"))
     return files.join(heads, "l_orderkey").withColumnRenamed("l_orderkey", "version_id")

@@ -147,12 +147,24 @@ def _ocr_place(tokens: Column) -> Column:
 # One object without objects inside, and no brace in any string.
 _FLAT = r"^\s*+\{[^{}]*+\}\s*+$"
 _BLANK = " \t\n\r"
+# The same with a member right behind the first brace and right before the last one, and
+# nothing around: what to_json writes.
+_COMPACT = r"^\{(?![ \t\n\r])[^{}]++(?<![ \t\n\r])\}\z"
+
+
+def _no_ocr(text: Column) -> Column:
+    """Neither the name nor an escape, which could spell it, occurs in the text."""
+    return ~(F.contains(text, F.lit("ocr")) | F.contains(text, F.lit("\\")))
 
 
 def _is_plain(text: Column) -> Column:
     """A flat object that has no ``ocr``: neither the name nor an escape occurs in it."""
-    named = F.contains(text, F.lit("ocr")) | F.contains(text, F.lit("\\"))
-    return ~named & F.regexp_like(text, F.lit(_FLAT))
+    return _no_ocr(text) & F.regexp_like(text, F.lit(_FLAT))
+
+
+def _is_compact(text: Column) -> Column:
+    """A plain object that ``to_json`` could have written: ``ocr`` goes before its last brace."""
+    return _no_ocr(text) & F.regexp_like(text, F.lit(_COMPACT))
 
 
 def _appended(text: Column, value: Column) -> Column:
@@ -201,5 +213,10 @@ def merge_ocr(text: Column, ocr: Column) -> Column:
 
     # one-element transform: the text is scanned once and not once per use of a place
     merged = F.get(F.transform(F.array(place), spliced), F.lit(0))
-    merged = F.when(_is_plain(text), _appended(text, value)).otherwise(merged)
+    front = F.substring(text, F.lit(1), F.length(text) - 1)
+    merged = (
+        F.when(_is_compact(text), F.concat(front, F.lit(',"ocr":'), value, F.lit("}")))
+        .when(_is_plain(text), _appended(text, value))
+        .otherwise(merged)
+    )
     return F.when(F.json_object_keys(text).isNotNull(), merged)

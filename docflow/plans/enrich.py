@@ -73,6 +73,9 @@ class Rounds(NamedTuple):
     finished: bool
 
 
+#: A ref's keys, the most varied first: sorts compare few rows beyond the first key then.
+_BY_REF = ["pi", "filename", "chunk_id", "batch_id"]
+
 #: What a round keeps besides the log's columns, so that the next one follows from it.
 _ADDRESSES = "primary string, fallback string"
 
@@ -282,11 +285,16 @@ def ref_status(
     The loop attempts a ref until it has ended and no further, and each row carries
     the failures so far: a ref's last row decides. Texts stay out of it.
     """
-    last = F.max_by(F.struct("seq", "outcome", "fails", "message"), "seq").alias("l")
     log = read_log(spark, log_path)
     if chunks is not None:
         log = log.join(spread(chunks), CHUNK_KEYS, "left_semi")
-    folded = log.groupBy(*REF_KEYS).agg(last)
+    return _status_rows(log, max_retries, _BY_REF)
+
+
+def _status_rows(log: DataFrame, max_retries: int, keys: list[str]) -> DataFrame:
+    """Status of every ref that the rows tell of, from its last row."""
+    last = F.max_by(F.struct("seq", "outcome", "fails", "message"), "seq").alias("l")
+    folded = log.groupBy(*keys).agg(last)
     outcome, spent = F.col("l.outcome"), F.col("l.fails") >= max_retries
     status = (
         F.when(outcome.isin("done", "skipped"), outcome)
@@ -311,16 +319,30 @@ def enriched_refs(refs: DataFrame, log_path: str, max_retries: int = MAX_RETRIES
 
     Skipped refs get a document too: the old one as it is, so its content id stays.
     """
-    spark = refs.sparkSession
-    status = ref_status(spark, log_path, max_retries)
-    texts = (
-        read_log(spark, log_path)
-        .where(F.col("outcome") == "done")
-        .select(*REF_KEYS, "seq", "text", "tokens")
+    log = read_log(refs.sparkSession, log_path)
+    # a ref with a text has ended, so only the other rows are reduced to each ref's last one;
+    # both are slim, and refs, rows and texts are shuffled and sorted once, by the same keys
+    done_row = F.col("outcome") == "done"
+    others = _status_rows(log.where(~done_row), max_retries, _BY_REF).withColumnRenamed(
+        "seq", "_seq"
+    )
+    texts = log.where(done_row).select(
+        *_BY_REF, F.col("seq").alias("_done_seq"), F.col("fails").alias("_fails"), "text", "tokens"
+    )
+    joined = refs.join(others, _BY_REF, "left").join(texts, _BY_REF, "left")
+    has_text = F.col("_done_seq").isNotNull() & (
+        F.coalesce(F.col("_seq"), F.lit(-1)) <= F.col("_done_seq")
+    )
+    joined = joined.select(
+        *REF_KEYS,
+        *[c for c in refs.columns if c not in REF_KEYS],
+        F.when(has_text, "done").otherwise(F.col("status")).alias("status"),
+        F.when(has_text, F.col("_fails")).otherwise(F.col("retry_count")).alias("retry_count"),
+        F.when(~has_text, F.col("error")).alias("error"),
+        F.when(has_text, F.col("_done_seq")).otherwise(F.col("_seq")).alias("seq"),
+        F.when(has_text, F.col("text")).alias("text"),
+        F.when(has_text, F.col("tokens")).alias("tokens"),
     )
-    # both are slim and have one row per ref; the documents are shuffled once
-    ended = status.join(texts, [*REF_KEYS, "seq"], "left")
-    joined = refs.join(ended, REF_KEYS, "left")
     old = F.col("ref_data_json")
     done, skipped = F.col("status") == "done", F.col("status") == "skipped"
     document = F.when(done, merge_ocr(old, F.col("text"))).when(skipped, old)

@@ -30,6 +30,9 @@ from docflow.schema import CHUNK_FAILURES, CHUNK_KEYS, PHASES, PI_KEYS, REF_KEYS
 from docflow.session import is_done, once, spread, stored
 from docflow.sources.sinks import append_versions, write_contents, write_reports
 
+#: An entity's keys, the most varied first: sorts compare few rows beyond the first key then.
+_BY_PI = ["pi", "chunk_id", "batch_id"]
+
 
 @dataclass(frozen=True)
 class Store:
@@ -76,7 +79,7 @@ def publish(
 
     def plan_versions() -> DataFrame:
         tips = entity_tip(only_entities(store.versions, pis))
-        heads = publish_heads(pis, ref_results, PI_KEYS).withColumnRenamed("pi", "entity")
+        heads = publish_heads(pis, ref_results, _BY_PI).withColumnRenamed("pi", "entity")
         return chain_updates(heads.where(F.col("n_components") > 0), tips, CHUNK_KEYS)
 
     plan = stored(spark, f"{run_path}/plan", plan_versions)
@@ -94,7 +97,7 @@ def publish(
     outcome = plan.select(
         *CHUNK_KEYS, F.col("entity").alias("pi"), "new_tip", "new_version", "entity_error"
     )
-    return pis.select(*PI_KEYS).join(outcome, PI_KEYS, "left")
+    return pis.select(*_BY_PI).join(outcome, _BY_PI, "left")
 
 
 Gate = Callable[[DataFrame, int], DataFrame]
@@ -257,7 +260,7 @@ def process_chunks(
     slim = results.drop("content")
     pis = publish(failures.without_lost(items), slim, store, run_path, write_id)
 
-    entities = stored(spark, f"{run_path}/entities", lambda: pi_results(pis, slim, PI_KEYS))
+    entities = stored(spark, f"{run_path}/entities", lambda: pi_results(pis, slim, _BY_PI))
     ended = chunks.withColumn("completed_at", F.current_timestamp())
     if failures.parts:
         lost = failures.folded().select(*CHUNK_KEYS, "phase", "global_error")

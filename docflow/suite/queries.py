@@ -236,13 +236,20 @@ def doc_merge(spark, sf_dir):
 
 
 def _tips(spark, sf_dir):
-    return versions.entity_tip(
-        fixtures.versions(spark, sf_dir), "at", ver=F.count(F.lit(1))
-    )
+    # numbers are aggregated, the tip's text is made from them
+    known = fixtures.versions(spark, sf_dir, "o_orderkey")
+    tips = versions.entity_tip(known, "at", ver=F.count(F.lit(1)))
+    return tips.withColumn("tip", fixtures.tip_name(F.col("tip")))
 
 
 def _manifest(spark, sf_dir):
-    return versions.manifest_merge(fixtures.components(spark, sf_dir), "at")
+    # as with the tips: files and contents go by their numbers and are named in the end
+    files = versions.manifest_merge(fixtures.numbered_components(spark, sf_dir), "at")
+    return files.select(
+        "entity",
+        fixtures.file_name(F.col("filename")).alias("filename"),
+        fixtures.part_cid(F.col("cid")).alias("cid"),
+    )
 
 
 def _customers(spark, sf_dir):

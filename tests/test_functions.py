@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docflow.functions import jsondoc
 from docflow.functions.jsondoc import field_text, has_value, is_null_doc, is_truthy, merge_ocr, parse_doc, render_doc
 from docflow.functions.scalars import (
     backoff_ms,
@@ -214,3 +215,30 @@ def test_a_value_is_found_without_a_needless_parse(spark, text):
 def test_flat_documents_are_merged_like_all_others(spark, text, merged):
     df = spark.createDataFrame([(text,)], "j string")
     assert df.select(merge_ocr(F.col("j"), F.lit("t"))).first()[0] == merged
+
+
+@pytest.mark.parametrize(
+    ("text", "compact"),
+    [
+        ('{"url":"u","part":1}', True),
+        ('{"n": 1e3, "m": "ä💡"}', True),
+        ('{"a":[1,2]}', True),
+        ('{ "a":1}', False),
+        ('{"a":1 }', False),
+        ('{"a":1}\n', False),
+        (' {"a":1}', False),
+        ("{}", False),
+        ('{"a":{}}', False),
+        ('{"ocr":""}', False),
+        ('{"a":"\\n"}', False),
+    ],
+)
+def test_compact_documents_take_the_short_path(spark, text, compact):
+    """It gives what the scan for the place of the text gives."""
+    assert values(spark, jsondoc._is_compact(F.lit(text))) is compact
+    df = spark.createDataFrame([(text, 't"x')], "j string, t string")
+    merged = df.select(merge_ocr(F.col("j"), F.col("t"))).first()[0]
+    assert json.loads(merged) == {**json.loads(text), "ocr": 't"x'}
+    if compact:
+        appended = df.select(jsondoc._appended(F.col("j"), F.lit('"t\\"x"'))).first()[0]
+        assert merged == appended

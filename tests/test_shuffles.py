@@ -1,8 +1,12 @@
 """What the steps shared by publishing and processing send through shuffles."""
 
+from pyspark.sql import functions as F
+
 from docflow import fixtures
-from docflow.operators.versions import chain_updates
+from docflow.operators.versions import chain_updates, entity_tip, manifest_merge
+from docflow.plans.enrich import enriched_refs
 from docflow.sources.sinks import append_versions
+from docflow.suite import queries
 
 
 def plan_of(df):
@@ -59,3 +63,69 @@ def test_version_files_are_entropy_coded(spark, tmp_path):
     append_versions(chain_updates(updates, tips), files, str(tmp_path), "0")
     assert list(tmp_path.glob("versions/write=0/*.zstd.parquet"))
     assert spark.read.parquet(f"{tmp_path}/versions/write=0").first().prev_tip == "t1"
+
+
+def test_numbered_components_name_the_same_files(spark, tmp_path):
+    """Newest version by (date, key): ties, missing dates and negative keys as with structs."""
+    lines = "l_orderkey long, l_linenumber int, l_partkey long"
+    spark.createDataFrame(
+        [(k, n, 100 + abs(k) + n) for k in (1, 2, 3, -4, 5, 6) for n in (1, 4)]
+        + [(3, 1, 900), (3, 1, 901), (7, None, 1), (8, 1, None), (None, 1, 8), (99, 1, 8)],
+        lines,
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    day = "timestamp_ntz '1996-01-0{}'".format
+    orders = [(1, 10, day(2)), (2, 10, day(1)), (3, 11, day(1)), (-4, 11, day(1)), (5, 12, "NULL"),
+              (6, 12, "timestamp_ntz '0001-01-01'"), (7, 13, day(1)), (8, 14, "NULL"), (8, "NULL", day(1))]
+    values = ", ".join(f"({k}L, {c if c == 'NULL' else f'{c}L'}, {d})" for k, c, d in orders)
+    spark.sql(f"SELECT * FROM VALUES {values} AS t(o_orderkey, o_custkey, o_orderdate)").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    by_struct = manifest_merge(fixtures.components(spark, str(tmp_path)), "at")
+    manifest = queries._manifest(spark, str(tmp_path))
+    assert sorted(map(str, manifest.collect())) == sorted(map(str, by_struct.collect()))
+    tips = queries._tips(spark, str(tmp_path))
+    known = entity_tip(fixtures.versions(spark, str(tmp_path)), "at", ver=F.count(F.lit(1)))
+    assert sorted(map(str, tips.collect())) == sorted(map(str, known.collect()))
+    for numbers in (manifest, tips):
+        assert "SortAggregate" not in plan_of(numbers)[1]
+
+
+def test_enriched_refs_shuffles_refs_rows_and_texts_once(spark, tmp_path):
+    """No text joins by another key before the documents, so nothing is dealt twice."""
+    text = '{"url":"u"}'
+    rows = [("b", "c", p, "f", "u", doc) for p, doc in (("1", text), ("2", text), ("3", '{"ocr":"o"}'), ("4", ""))]
+    schema = "batch_id string, chunk_id string, pi string, filename string, cdn_url string, ref_data_json string"
+    # the second ref comes twice
+    refs = spark.createDataFrame([*rows, rows[1]], schema)
+
+    def attempt(pi, seq, outcome, words=None, fails=0, message=None):
+        return ("b", "c", pi, "f", seq, outcome, words, message, fails)
+
+    log = spark.createDataFrame(
+        [
+            attempt("3", 0, "skipped"),
+            attempt("4", 0, "permanent", message="gone"),
+            attempt("1", 1, "transient", None, 1, "late"),
+            attempt("1", 2, "done", "one", 1),
+            attempt("2", 1, "rate_limit", None, 1, "429"),
+            attempt("2", 1, "rate_limit", None, 1, "429"),
+        ],
+        "batch_id string, chunk_id string, pi string, filename string, seq long, outcome string, "
+        "text string, message string, fails long",
+    )
+    log.write.parquet(f"{tmp_path}/attempts/round=0/slice=0")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = enriched_refs(refs, str(tmp_path))
+        assert plan_of(found)[1].count("Exchange hashpartitioning") == 3
+        got = sorted((r.pi, r.status, r.retry_count, r.error, r.seq, r.content) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [
+        ("1", "done", 1, None, 2, '{"url":"u","ocr":"one"}'),
+        ("2", "pending", 1, None, 1, None),
+        ("2", "pending", 1, None, 1, None),
+        ("3", "skipped", 0, None, 0, '{"ocr":"o"}'),
+        ("4", "error", 0, "gone", 0, None),
+    ]
