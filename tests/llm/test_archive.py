@@ -71,6 +71,61 @@ def test_the_special_string_is_one_id():
     assert tokens.encoder(tokenizer_path())(["<|endoftext|>"])[0].tolist() == [50256]
 
 
+marked = st.text(alphabet=" \n\tab'sSé漢1.,;:!?<|>", max_size=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(marked, min_size=1, max_size=4))
+def test_marks_and_line_ends_encode_like_the_whole(texts):
+    encode = tokens.encoder(tokenizer_path())
+    wanted = [whole.ids for whole in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encode(texts)] == wanted
+
+
+class Counting:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_a_word_is_tokenized_once_whatever_mark_follows():
+    encode = tokens.UnitEncoder(tokenizer_path())
+    encode.tokenizer = counting = Counting(encode.tokenizer)
+    words = ["house", "tree", "water", "street", "garden", "window", "table", "paper"]
+    text = "x " + " ".join(w + mark for w in words for mark in ("", ",", ".", ";", "!", ":"))
+    assert encode([text])[0].tolist() == plain_tokenizer().encode(text).ids
+    assert counting.given.count(" house") == 1 and len(counting.given) <= 1 + len(words) + 5
+
+
+def test_frequent_units_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
+    encode = tokens.UnitEncoder(tokenizer_path())
+    encode.tokenizer = counting = Counting(encode.tokenizer)
+    plain = plain_tokenizer()
+    for i in range(30):
+        text = "so often it " + " ".join(f"w{i}x{j}" for j in range(10))
+        assert encode([text])[0].tolist() == plain.encode(text).ids
+        assert len(encode.known) + len(encode.older) <= 40
+    assert counting.given.count(" often") == 1 and len(counting.given) <= 303
+
+
+def test_blocks_decode_alike_in_any_company():
+    """Records and weights of a lane must not depend on the lanes beside it."""
+    rng = np.random.default_rng(2)
+    values = np.minimum(rng.zipf(1.4, 9 * idcoder.BLOCK + 700), 40_000)
+    heads, payloads = idcoder.split_blocks(idcoder.encode_ids(values))
+    for some in ([3], [0, 8, 9], [5, 2, 7, 1, 9]):
+        found = idcoder._decode_lanes([heads[i] for i in some], [payloads[i] for i in some])
+        for lane, i in enumerate(some):
+            own = values[i * idcoder.BLOCK : (i + 1) * idcoder.BLOCK]
+            assert (found[: len(own), lane] == own).all()
+
+
 def text_hash(text):
     value = xxhash.xxh64_intdigest(text.encode(), 42)
     return value - (1 << 64 if value >> 63 else 0)
