@@ -213,3 +213,43 @@ def test_rows_that_are_not_broadcast_count_too(llm):
     assert len(near.contexts.frequent) and not len(far.contexts.frequent)
     near, far = (st.score(docs, m).agg(F.sum("score")).first()[0] for m in (near, far))
     assert far == pytest.approx(near)
+
+
+def test_a_tree_grown_in_many_parts_is_the_plain_one(llm, monkeypatch):
+    """Hot words dealt out by context too, texts left for the runs that are still tried."""
+    monkeypatch.setattr(contexts, "LEAST_PART", 100)
+    monkeypatch.setattr(contexts, "TASK_ROWS", 1)
+    monkeypatch.setattr(contexts, "SPARSE", 1)
+    texts = deep_texts()
+    docs, limits = table(llm, texts), st.Limits(min_gain=5.0, min_count=10, broadcast_keys=0)
+    model = st.train(docs, limits)
+    kept, log = plain_tree([t for _, t in texts], limits)
+    assert model.contexts.parts > 1 and model.contexts.depth == max(map(len, kept))
+    assert model.contexts.table.count() == sum(1 + len(listed) for listed, _ in kept.values())
+    got = {r.doc_id: r.score for r in st.score(docs, model).collect()}
+    for doc_id, text in texts:
+        assert got[doc_id] == pytest.approx(plain_score(text, kept, log), abs=1e-6)
+
+
+def test_keys_to_look_up_are_moved_in_pieces(llm):
+    """Neither a join nor an aggregate of single keys: two shuffles of pieces by part and by text."""
+    docs = table(llm, [(i, f"a{i % 9} b{i % 9} c{i % 9} " * 9) for i in range(90)])
+    scored = st.score(docs, st.train(docs, st.Limits(min_word=0.05, broadcast_keys=0)))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 2
+
+
+def test_columns_are_packed_as_they_are():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, 5_000)
+    keys[:10] = keys[10:20]
+    ascending = keys[contexts.ordered(keys)]
+    assert (np.diff(ascending.view(np.uint64)) < 2**63).all() and sorted(ascending) == sorted(keys)
+    near = np.array([-1, -2, -1, 5, 4, 5], dtype=np.int64)  # their leading bits are the same
+    assert near[contexts.ordered(near)].tolist() == [4, 5, 5, -2, -1, -1]
+    none = np.zeros(0, dtype=np.int64)
+    for x in (keys, ascending, np.sort(keys), ascending[:9], np.arange(300), none, keys / 3, np.repeat(keys[:1], 20)):
+        (found,) = contexts.unpacked(contexts.packed(x))
+        assert found.dtype == x.dtype and found.tolist() == x.tolist()
+    parts = contexts.part_of(ascending, 7)
+    assert parts.tolist() == sorted(parts.tolist()) and set(parts.tolist()) == set(range(7))
