@@ -253,3 +253,14 @@ def test_columns_are_packed_as_they_are():
         assert found.dtype == x.dtype and found.tolist() == x.tolist()
     parts = contexts.part_of(ascending, 7)
     assert parts.tolist() == sorted(parts.tolist()) and set(parts.tolist()) == set(range(7))
+
+
+def test_broadcast_rows_fill_their_room(llm):
+    """The most frequent rows, as many as may be, though all counts lie within one power of two."""
+    texts = [(i, f"a{j} b{j} " * (33 + j)) for i, j in enumerate(range(30))]
+    docs = table(llm, texts)
+    every = st.train(docs, st.Limits(min_gain=5.0)).contexts
+    ns = sorted((r.n for r in every.table.collect()), reverse=True)
+    assert ns[0] < 64 and ns[-1] >= 32
+    some = st.train(docs, st.Limits(min_gain=5.0, broadcast_keys=len(ns) // 2)).contexts
+    assert len(ns) // 3 < len(some.frequent) <= len(ns) // 2
